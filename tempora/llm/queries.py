@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import decontam, mixing
 
-_ALL = {"op6_curriculum_mix": (mixing.query, mixing.SQL)}
+_ALL = {
+    "op3_decontaminate": (decontam.query, decontam.SQL),
+    "op6_curriculum_mix": (mixing.query, mixing.SQL),
+}
 
 
 def queries() -> dict:
