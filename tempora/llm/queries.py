@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontam, mixing
+from . import decontam, mixing, quality
 
 _ALL = {
     "op3_decontaminate": (decontam.query, decontam.SQL),
     "op6_curriculum_mix": (mixing.query, mixing.SQL),
+    "op9_quality": (quality.query, None),
 }
 
 
