@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontam, mixing, quality
+from . import decontam, minhash, mixing, quality
 
 _ALL = {
+    "op1_minhash": (minhash.query, minhash.SQL),
     "op3_decontaminate": (decontam.query, decontam.SQL),
     "op6_curriculum_mix": (mixing.query, mixing.SQL),
     "op9_quality": (quality.query, None),
