@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontam, minhash, mixing, quality
+from . import decontam, linededup, minhash, mixing, quality
 
 _ALL = {
     "op1_minhash": (minhash.query, minhash.SQL),
     "op3_decontaminate": (decontam.query, decontam.SQL),
     "op6_curriculum_mix": (mixing.query, mixing.SQL),
     "op9_quality": (quality.query, None),
+    "op10_line_dedup": (linededup.query, None),
 }
 
 
