@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from . import decontam, linededup, minhash, mixing, quality
+from . import decontam, htmltext, langid, linededup, minhash, mixing, quality, spotsigs, toxicity
 
 _ALL = {
     "op1_minhash": (minhash.query, minhash.SQL),
+    "op2_spotsigs": (spotsigs.query, spotsigs.SQL),
     "op3_decontaminate": (decontam.query, decontam.SQL),
+    "op5_language": (langid.query, None),
     "op6_curriculum_mix": (mixing.query, mixing.SQL),
+    "op7_html_text": (htmltext.query, None),
+    "op8_toxicity": (toxicity.query, None),
     "op9_quality": (quality.query, None),
     "op10_line_dedup": (linededup.query, None),
 }
