@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontam, htmltext, langid, linededup, minhash, mixing, quality, spotsigs, toxicity
+from . import decontam, htmltext, langid, linededup, minhash, mixing, quality, spotsigs, suffixdedup, toxicity
 
 _ALL = {
     "op1_minhash": (minhash.query, minhash.SQL),
     "op2_spotsigs": (spotsigs.query, spotsigs.SQL),
     "op3_decontaminate": (decontam.query, decontam.SQL),
+    "op4_suffix_dedup": (suffixdedup.query, suffixdedup.SQL),
     "op5_language": (langid.query, None),
     "op6_curriculum_mix": (mixing.query, mixing.SQL),
     "op7_html_text": (htmltext.query, None),
