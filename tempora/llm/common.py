@@ -26,11 +26,23 @@ def shared_dir(spark: SparkSession) -> str:
     return d.rstrip("/")
 
 
+#: Lets Spark delete a query's shuffle files as soon as its result is written.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def saved(df: DataFrame) -> DataFrame:
-    """``df`` written as a Parquet table to the shared folder and read again: lineage is cut, and lost executors cost nothing of it."""
+    """``df`` written as a Parquet table to the shared folder and read again.
+
+    Lineage is cut, lost executors cost nothing of it, and its shuffle files go at once.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tempora/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

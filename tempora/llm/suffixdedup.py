@@ -136,12 +136,13 @@ def _marks(docs: DataFrame, length: int, gram: int) -> DataFrame:
     opened = first.join(several, "gram").select("first._id", "first.at").groupBy("_id").agg(F.collect_list("at").alias("_at"))
     again = every.join(first.filter("n > 1").select("gram", "around", "first"), ["gram", "around"])
     again = again.filter((F.col("_id") != F.col("first._id")) | (F.col("at") != F.col("first.at"))).groupBy("_id").agg(F.collect_set("at").alias("_whole"))
+    again = saved(again)
 
     strings = _each(_with_marks(docs, saved(opened), "inner"), "string long, _id long, start int", windows, ["string", "_id", "start"], length, gram)
     strings = saved(strings)
     least = strings.groupBy("string").agg(F.min(F.struct("_id", "start")).alias("first"), F.count("*").alias("n")).filter("n > 1")
     later = strings.join(least, "string").filter((F.col("_id") != F.col("first._id")) | (F.col("start") != F.col("first.start")))
-    later = later.groupBy("_id").agg(F.collect_set("start").alias("_starts"))
+    later = saved(later.groupBy("_id").agg(F.collect_set("start").alias("_starts")))
     return saved(again.join(later, "_id", "full"))
 
 
