@@ -43,7 +43,17 @@ def saved(df: DataFrame) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.saved_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that ``saved`` has made and that nothing reads any more."""
+    for t in tables:
+        jvm, sc = t.sparkSession._jvm, t.sparkSession.sparkContext
+        path = jvm.org.apache.hadoop.fs.Path(t.saved_at)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def words_of(raw: bytes) -> list[bytes]:

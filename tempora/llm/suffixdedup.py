@@ -25,10 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mixed, saved, table
+from .common import discard, mixed, saved, table
 
 #: Bytes of a string and of an anchor.
-LENGTH, GRAM = 100, 32
+LENGTH, GRAM = 100, 56
 #: Marks up to this many bytes are broadcast to the documents; more are joined by shuffle.
 BROADCAST_BYTES = 48 << 20
 
@@ -133,13 +133,14 @@ def _marks(docs: DataFrame, length: int, gram: int) -> DataFrame:
     every = saved(every.join(often, "gram"))
     first = saved(every.groupBy("gram", "around").agg(F.min(F.struct("_id", "at")).alias("first"), F.count("*").alias("n")))
     several = first.groupBy("gram").agg((F.min("around") != F.max("around")).alias("several")).filter("several").select("gram")
-    opened = first.join(several, "gram").select("first._id", "first.at").groupBy("_id").agg(F.collect_list("at").alias("_at"))
+    opened = saved(first.join(several, "gram").select("first._id", "first.at").groupBy("_id").agg(F.collect_list("at").alias("_at")))
     again = every.join(first.filter("n > 1").select("gram", "around", "first"), ["gram", "around"])
     again = again.filter((F.col("_id") != F.col("first._id")) | (F.col("at") != F.col("first.at"))).groupBy("_id").agg(F.collect_set("at").alias("_whole"))
     again = saved(again)
+    discard(often, every, first)
 
-    strings = _each(_with_marks(docs, saved(opened), "inner"), "string long, _id long, start int", windows, ["string", "_id", "start"], length, gram)
-    strings = saved(strings)
+    # read twice below: hashing windows again costs less than keeping them
+    strings = _each(_with_marks(docs, opened, "inner"), "string long, _id long, start int", windows, ["string", "_id", "start"], length, gram)
     least = strings.groupBy("string").agg(F.min(F.struct("_id", "start")).alias("first"), F.count("*").alias("n")).filter("n > 1")
     later = strings.join(least, "string").filter((F.col("_id") != F.col("first._id")) | (F.col("start") != F.col("first.start")))
     later = saved(later.groupBy("_id").agg(F.collect_set("start").alias("_starts")))
