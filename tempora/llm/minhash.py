@@ -10,9 +10,11 @@
    with the smallest member of the band's bucket only. Sketches sort out what
    is too far, full sets confirm the rest, and components are formed.
 4. In a second round, members of one bucket that are still in different
-   components are paired. All pairs of a bucket are thus settled, by a test or by
-   being connected already, while a large group of copies costs as many pairs
-   as it has members.
+   components are paired: directly in small buckets, in others if their sets
+   share one of their rarest items, as sets of enough similarity must, at
+   places that leave room for the overlap. All pairs of a bucket are thus
+   settled, by a test or by being connected already, while texts that share a
+   long common passage but are otherwise different are not paired.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ from .graph import components
 BANDS, ROWS = 40, 5
 #: Longs of an odd sketch (512 bits).
 SKETCH = 8
+#: Buckets with more members (but for the hub) are paired by rare items in the second round.
+SMALL = 8
 _ODD = [f"o{i}" for i in range(SKETCH)]
 
 
@@ -139,6 +143,46 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataF
     return both.filter(100 * F.col("inter") >= percent * (F.size("x") + F.size("y") - F.col("inter"))).select("src", "dst").distinct()
 
 
+def _pairs(rows: DataFrame, key: str, also: Column | None = None) -> DataFrame:
+    """Distinct pairs (src, dst) of rows that share ``key`` but no component, and for which ``also`` holds."""
+    a, b = (rows.select(*[F.col(c).alias(c + x) for c in rows.columns]) for x in "ab")
+    on = (F.col(f"{key}a") == F.col(f"{key}b")) & (F.col("componenta") < F.col("componentb"))
+    met = a.join(b, on if also is None else on & also)
+    return met.select(F.greatest("nodea", "nodeb").alias("src"), F.least("nodea", "nodeb").alias("dst")).distinct()
+
+
+def _split(rows: DataFrame, key: str) -> DataFrame:
+    """The keys of ``rows`` that have several components, and how many rows."""
+    got = rows.groupBy(key).agg(F.count("*").alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    return got.filter("lo <> hi").select(key, "size")
+
+
+def _prefixes(docs: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
+    """node, n (size of the set), item and place of the rarest items of each set: sets of enough similarity share one of them."""
+    items = saved(full_sets(docs, nodes, k).select("node", F.size("items").alias("n"), F.explode("items").alias("item")))
+    often = items.groupBy("item").agg(F.count("*").alias("c")).filter("c > 1")
+    ranked = items.join(often, "item", "left").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("c", F.lit(1)).alias("c"), "item"))).alias("all"))
+    need = F.ceil(F.col("n") * percent / 100).cast("int")
+    rare = ranked.select("node", "n", F.posexplode(F.slice("all", 1, F.col("n") - need + 1)).alias("place", "x"))
+    return rare.filter("x.c > 1").select("node", "n", F.col("x.item").alias("item"), "place")
+
+
+def _unsettled(docs: DataFrame, shared: DataFrame, comp: DataFrame, k: int, percent: int) -> DataFrame:
+    """Pairs of nodes that share a bucket but no component, other than with its hub, which have been tried."""
+    comp = comp.withColumnRenamed("id", "node")
+    of = shared.filter("node <> hub").select("key", "node").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    of = saved(of)
+    rest = saved(of.join(_split(of, "key"), "key"))
+    few = _pairs(rest.filter(F.col("size") <= SMALL).select("key", "node", "component"), "key")
+    many = saved(rest.filter(F.col("size") > SMALL).select("node", "component").distinct())
+    if many.isEmpty():
+        return few
+    rare = saved(_prefixes(docs, many.select("node"), k, percent).join(many, "node"))
+    rare = rare.join(_split(rare, "item").select("item"), "item")
+    left = F.least(F.col("na") - F.col("placea"), F.col("nb") - F.col("placeb"))
+    return few.unionByName(_pairs(rare, "item", (100 + percent) * left >= percent * (F.col("na") + F.col("nb")))).distinct()
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of ``docs`` (doc_id, text; other columns are ignored).
 
@@ -168,14 +212,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     links = saved(_confirmed(docs, star, k, percent))
     comp = saved(components(links))
 
-    member = shared.select("key", "node").join(comp.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    member = saved(member)
-    split = member.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
-    rest = member.join(split, "key")
-    a, b = rest.select("key", F.col("node").alias("src"), F.col("component").alias("ca")), rest.select("key", F.col("node").alias("dst"), F.col("component").alias("cb"))
-    pairs = a.join(b, "key").filter("ca < cb").select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct()
-    tried = shared.filter("node <> hub").select(F.col("node").alias("src"), F.col("hub").alias("dst")).distinct()
-    pairs = saved(close(pairs.join(tried, ["src", "dst"], "left_anti")))
+    pairs = saved(close(_unsettled(docs, shared, comp, k, percent)))
     if not pairs.isEmpty():
         more = saved(_confirmed(docs, pairs, k, percent))
         if not more.isEmpty():

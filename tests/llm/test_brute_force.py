@@ -3,6 +3,7 @@
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from tempora.llm import linededup, minhash
@@ -72,8 +73,10 @@ def test_lines_are_brute_force(spark):
     assert got == want and any(len(a) < len(b) for a, b in zip(want, texts, strict=True))
 
 
-def test_near_groups_are_brute_force(spark):
-    rng = random.Random(5)
+@pytest.mark.parametrize("small", [0, 8])
+def test_near_groups_are_brute_force(spark, monkeypatch, small):
+    monkeypatch.setattr(minhash, "SMALL", small)
+    rng = random.Random(5 + small)
     bases = [[rng.choice(WORDS) for _ in range(rng.choice((1, 4, 40, 150)))] for _ in range(8)]
     rows = [(i, " ".join(varied(rng, rng.choice(bases), rng.choice((0, 1, 2, 4))))) for i in range(60)]
 
