@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import WordHashes, mixed, saved, shingle_hashes, table, words_of
 from .graph import components
@@ -36,6 +37,8 @@ BANDS, ROWS = 40, 5
 SKETCH = 8
 #: Buckets with more members (but for the hub) are paired by rare items in the second round.
 SMALL = 8
+#: Up to so many numeric ids are broadcast to fetch their texts; more, or other ids, are joined as Spark decides.
+BROADCAST_NODES = 1_000_000
 _ODD = [f"o{i}" for i in range(SKETCH)]
 
 
@@ -121,6 +124,9 @@ def full_sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
             sets = [shingle_set(raw, k, hashes).view(np.int64) for raw in batch.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "items"])
 
+    nodes = saved(nodes)
+    if isinstance(docs.schema["doc_id"].dataType, T.NumericType) and nodes.count() <= BROADCAST_NODES:
+        nodes = F.broadcast(nodes)  # else every text would be shuffled to find a few
     kind = docs.schema["doc_id"].dataType.simpleString()
     some = docs.select(F.col("doc_id").alias("node"), "text").join(nodes, "node", "left_semi")
     return some.mapInArrow(run, f"node {kind}, items array<long>")
