@@ -98,3 +98,27 @@ def test_simhash_counts_words_in_all_lanes(spark):
         sim = linededup.lines(df).first().sim
         hashes = [r[0] for r in df.select(F.explode(F.transform(F.split("text", " "), lambda w: F.xxhash64(w)))).collect()]
         assert sim == sum(1 << b for b in range(56) if 2 * sum(h >> b & 1 for h in hashes) > n)
+
+
+def test_lines_are_linked_by_edit_similarity_alone(spark):
+    rng = random.Random(11)
+
+    def typed(line, changes):
+        out = list(line)
+        for _ in range(changes):
+            out[rng.randrange(len(out))] = rng.choice("abcdefghij")
+        return "".join(out)
+
+    bases = [" ".join(rng.choice(WORDS) for _ in range(n)) for n in (1, 2, 3, 4, 6, 8, 10, 15, 20, 30, 50, 80)]
+    bases = [b + f" {rng.getrandbits(24):x}" for b in bases]
+    texts = [*bases, *(typed(b, rng.choice((1, max(1, len(b) // 25)))) for b in bases for _ in range(3))]
+    texts += [" ".join(varied(rng, b.split(), 1 + len(b.split()) // 12)) for b in bases for _ in range(2)]
+    texts += ["page 12", "page 13", "abcdefghij", "abXcdeYghij", "chapter xy one", "chapter one"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    text = {i: normal(x) for i, x in enumerate(texts)}
+    near = {(a, b) for a in text for b in text if edits(text[a], text[b]) <= int(0.2 * max(len(text[a]), len(text[b])) + 1e-9)}
+    top = grouped(sorted(text), lambda a, b: (a, b) in near)
+    got = {r.doc_id: r.n_removed for r in linededup.dedup_lines(docs, grams=True).collect()}
+    assert got == {i: int(top[i] != i) for i in text}
+    few = {r.doc_id: r.n_removed for r in linededup.dedup_lines(docs).collect()}
+    assert sum(few.values()) < sum(got.values())
