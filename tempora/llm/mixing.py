@@ -147,17 +147,23 @@ def plan_mix(
     )
 
 
-def curriculum(docs: DataFrame, **how) -> DataFrame:
-    """The training stream: a row for each read of a document, in order of ``position``, with ``copy`` and ``words`` to read."""
-    rows = plan_mix(docs, **how).withColumn("_c", F.explode("copies"))
+def curriculum(docs: DataFrame, unread: bool = False, **how) -> DataFrame:
+    """The training stream: a row for each read of a document, in order of ``position``, with ``copy`` and ``words`` to read.
+
+    With ``unread``, documents that are never read follow at the end, a row each with null ``copy``, ``words`` and ``position``.
+    """
+    rows = plan_mix(docs, **how).withColumn("_c", F.explode_outer("copies") if unread else F.explode("copies"))
     keep = [c for c in rows.columns if c not in ("copies", "_c", "copy", "words", "position")]
     rows = rows.select(*[F.col(f"`{c}`") for c in keep], "_c.copy", "_c.words", "_c.position")
-    return rows.repartitionByRange(F.col("position"), F.col("doc_id")).sortWithinPartitions("position", "doc_id", "copy")
+    order = [F.col("position").asc_nulls_last(), F.col("doc_id").asc(), F.col("copy").asc()]
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
-    return plan_mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+    # a row for each document, where the stream reads it first; later reads are in ``taken``
+    stream = curriculum(docs, unread=True).filter("copy is null or copy = 0")
+    return stream.select("doc_id", "size", "source_size", "target", "taken")
 
 
 SQL = r"""

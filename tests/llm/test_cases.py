@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tempora.llm import decontam, htmltext, langid, linededup, minhash, mixing, quality, spotsigs, suffixdedup, toxicity
 
 COLS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -109,3 +110,21 @@ def test_missing_letters_are_unknown(spark):
     rows = spark.createDataFrame([(i, "12 34 !!" if i == 0 else TEXT, "en") for i in range(20)], "doc_id long, text string, lang string")
     got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(rows, langid.fit(rows)).collect()}
     assert got[0] == ("und", 0.0) and got[1][0] == "en"
+
+
+def test_reads_come_in_order_of_position(spark, tmp_path):
+    rows = [(i, "w " * (1 + i * 7 % 11), f"s{i % 3}") for i in range(400)] + [(400, "", "s0"), (401, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    docs.repartition(7).write.parquet(f"{tmp_path}/documents.parquet")
+    plan = {r.doc_id: r for r in mixing.plan_mix(docs).collect()}
+    reads = sorted((c.position, i, c.copy, c.words) for i, r in plan.items() for c in r.copies)
+    assert len(reads) > len(plan)
+
+    stream = corpus_pipeline.mix(spark, docs, "").collect()
+    assert [(r.position, r.doc_id, r.copy, r.words) for r in stream if r.copy is not None] == reads
+    unread = sorted(i for i, r in plan.items() if not r.copies)
+    assert unread and [r.doc_id for r in stream[len(reads) :]] == unread
+
+    out = mixing.query(spark, str(tmp_path)).collect()
+    assert [r.doc_id for r in out] == [i for _, i, copy, _ in reads if copy == 0] + unread
+    assert all(r.taken == plan[r.doc_id].taken == sum(c.words for c in plan[r.doc_id].copies) for r in out)
