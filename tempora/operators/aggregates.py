@@ -29,9 +29,13 @@ def row_estimate(rows: int, span: float, full_span: float) -> float:
     return rows * min(1.0, abs(span) / full_span) if full_span > 0 else float(rows)
 
 
-def raw_range(df: DataFrame, time: str, values: list[str], lo: int, hi: int, limit: int = 500_000) -> DataFrame:
-    """Exact samples of a range in order of time; one row more than ``limit`` tells that it was cut."""
-    return df.filter(between_ms(time, lo, hi)).select(epoch_ms(time).alias("t"), *values).orderBy("t", *values).limit(limit + 1)
+def raw_range(df: DataFrame, time: str, values: list[str], lo: int, hi: int, limit: int | None = None) -> DataFrame:
+    """Exact samples of a range in order of time; with ``limit``, its first ones, and ``truncated`` tells that there are more."""
+    rows = df.filter(between_ms(time, lo, hi)).select(epoch_ms(time).alias("t"), *values).orderBy("t", *values)
+    if limit is None:
+        return rows
+    more = rows.limit(limit + 1).agg((F.count("*") > limit).alias("truncated"))
+    return rows.limit(limit).crossJoin(F.broadcast(more)).orderBy("t", *values)
 
 
 def missing_buckets(df: DataFrame, time: str, values: list[str], lo: int, hi: int, n: int) -> DataFrame:

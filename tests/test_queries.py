@@ -67,3 +67,15 @@ def test_formula_errors():
     for text in ("1 +", "foo(2)", "(1", "a $ b"):
         with pytest.raises(ValueError):
             compile_formula(text, {})
+
+
+def test_raw_range_is_whole(spark, tmp_path):
+    n = 500_002
+    # all in the week of the registered query, one a second
+    spark.range(n).selectExpr("id as event_id", "timestamp_millis(1704412800000 + id * 1000) as ts", "double(id) as value").write.parquet(f"{tmp_path}/events.parquet")
+    out = QUERIES["raw_range"](spark, str(tmp_path))
+    assert out.columns == ["t", "value"] and out.count() == n
+    df = spark.read.parquet(f"{tmp_path}/events.parquet")
+    span = ("ts", ["value"], 1704412800000, 1704412800000 + 9_000)
+    assert [(r.value, r.truncated) for r in aggregates.raw_range(df, *span, limit=3).collect()] == [(0, True), (1, True), (2, True)]
+    assert [r.truncated for r in aggregates.raw_range(df, *span, limit=10).collect()] == [False] * 10
