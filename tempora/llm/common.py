@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space of the word rule ``[^\x20\x09-\x0D]+``, as a Java regular expression; bytes.split() has the same set.
@@ -18,9 +20,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which driver and executors share; one of our own only where it is unset."""
+    """The folder of spark.checkpoint.dir, which driver and executors share.
+
+    Where it is unset, a session of one machine takes a folder of its own; on a cluster, where each machine would write its own, it is an error.
+    """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = "file://" + tempfile.mkdtemp(prefix="tempora-")
         spark.conf.set("spark.checkpoint.dir", d)
     return d.rstrip("/")
@@ -45,9 +52,33 @@ def saved(df: DataFrame) -> DataFrame:
         spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.saved_at = path
+    if _SCRATCH:
+        _SCRATCH[-1].append(out)
     return out
 
 
+_SCRATCH: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes at its end what ``saved`` has written within it, but for results that its function ``keep`` has saved."""
+    _SCRATCH.append([])
+    kept = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(saved(df))
+        return kept[-1]
+
+    try:
+        yield keep
+    finally:
+        mine = _SCRATCH.pop()
+        discard(*[t for t in mine if all(t is not k for k in kept)])
+        if _SCRATCH:
+            _SCRATCH[-1].extend(kept)
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes tables that ``saved`` has made and that nothing reads any more."""
     for t in tables:
@@ -56,6 +87,11 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def held(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with a column that is computed once a row, whatever later expressions refer to it."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def words_of(raw: bytes) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+`` of UTF-8 text with A-Z lower-cased; splitting bytes keeps other white space in words."""
     return raw.lower().split()
