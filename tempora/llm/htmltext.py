@@ -5,7 +5,8 @@
 2. Pages of one host are merged: for each place, how many distinct pages have
    it, in which presentations (sequences of children), and with which contents.
    A presentation that varies and contents that seldom repeat make a place
-   important; a place that looks and reads the same everywhere is not.
+   important; a place that looks and reads the same everywhere is not, and the
+   less so the more pages show it.
 3. Pages are parsed again: branches whose role says what they are (menus,
    forms, adverts, comments ...) and branches at places of low importance are left
    out, and the blocks of the article are joined.
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -26,25 +28,31 @@ from pyspark.sql import types as T
 
 from .common import saved, table
 
-#: Places below this importance are left out if at least so many distinct pages of the host have them.
-LEAST_IMPORTANCE, LEAST_PAGES = 0.25, 10
+#: Places below this importance are left out.
+LEAST_IMPORTANCE = 0.25
+#: Pages that count as unlike the others, so that a place of few pages is not judged by them alone.
+PRIOR_PAGES = 1
 #: Share of the contents in the importance of a place (the rest is the presentation's).
 CONTENT_SHARE = 0.9
 #: Tables of unimportant places up to this many rows are broadcast; larger ones are joined by shuffle.
 BROADCAST_PLACES = 100_000
 
-_TAG = re.compile(r"<!--(?:.*?-->|.*)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+# no alternative but a comment or a quoted value runs past the next "<", so that broken tags take linear time
+_TAG = re.compile(r"<!--(?:.*?-->|.*)|<[!?][^<>]*>|<(/?)([a-zA-Z][^\s/<>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/<>]*)([^<>]*)>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s\"'=<>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _RAW = {t: re.compile(rf"</{t}\s*[^>]*>", re.I) for t in ("script", "style", "title", "textarea", "noscript", "iframe", "noembed", "noframes", "xmp")}
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
 _DROPPED = frozenset("head script style title noscript template iframe object embed svg canvas audio video map nav footer aside form button select option textarea input dialog menu noembed noframes xmp".split())
-#: Words of class, id and role that say that a branch is not the article.
+#: Words of class, id and role that say that a container is not the article, beside words that say nothing of its content.
 _ROLES = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription "
     "sidebar menu menus nav navbar navigation breadcrumb breadcrumbs footer masthead toolbar pagination pager comment comments disqus replies respond share sharing social related recommended widget login signup search "
     "complementary contentinfo dialog".split()
 )
+_PLAIN = frozenset("area bar block body bottom box bottom button buttons col column container content form fixed full group holder icons inner item items left link links list main menu outer panel right row section site slot thread top unit wrap wrapper".split())
+#: Elements that such words are looked for in; headings, text and tables are never judged by them.
+_CONTAINERS = frozenset("div section aside ul ol dl nav header footer form details fieldset address".split())
 #: Ends an open paragraph.
 _BLOCKS = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 #: An open element of the second kind ends where one of the first kind starts, up to a container of the third.
@@ -59,12 +67,13 @@ def _hash(s: str) -> int:
 
 
 class Node:
-    """An open element: tag, path in the style tree, whether it is left out, and whether it is in an article or in the main part."""
+    """An open element: tag, hash of its path in the style tree, whether it is left out, whether it is in an article or in the main part, and the block it is in."""
 
-    __slots__ = ("tag", "path", "out", "kind", "children")
+    __slots__ = ("tag", "path", "out", "kind", "children", "block")
 
-    def __init__(self, tag: str, path: str, out: bool, kind: int):
+    def __init__(self, tag: str, path: int, out: bool, kind: int, block: Node | None):
         self.tag, self.path, self.out, self.kind, self.children = tag, path, out, kind, []
+        self.block = block if tag in _INLINE and block else self
 
 
 def _left_out(tag: str, attributes: dict[str, str], kind: int) -> bool:
@@ -72,25 +81,29 @@ def _left_out(tag: str, attributes: dict[str, str], kind: int) -> bool:
         return True
     if "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attributes.get("style", ""), re.I):
         return True
-    if tag in ("html", "body", "main") or not attributes:
+    if tag not in _CONTAINERS or not attributes:
         return False
-    words = set(re.split(r"[^a-z0-9]+", " ".join(attributes.get(k, "") for k in ("class", "id", "role")).lower()))
-    return bool(words & _ROLES) or "header" in words and not kind
+    for name in " ".join(attributes.get(k, "") for k in ("class", "id", "role")).lower().split():
+        words = set(re.split(r"[^a-z]+", name)) - {""}
+        if words & _ROLES and words <= _ROLES | _PLAIN or words and words <= {"header"} | _PLAIN and "header" in words and not kind:
+            return True
+    return False
 
 
-def blocks(page: str | None, low: frozenset[int] = frozenset()) -> tuple[list[tuple[int, str, str]], dict[str, set[tuple[str, ...]]]]:
-    """Blocks (1 in an article, 2 in the main part, 0 elsewhere; path; text) that no role or place leaves out, and the presentations of each path."""
+def blocks(page: str | None, low: frozenset[int] = frozenset()) -> tuple[list[tuple[int, int, str]], dict[int, set[tuple[str, ...]]]]:
+    """Blocks (1 in an article, 2 in the main part, 0 elsewhere; hash of the path; text) that no role or place leaves out, and the presentations of each path."""
     page = page or ""
-    top = Node("", "", False, 0)
+    top = Node("", 0, False, 0, None)
     stack, text, found = [top], [], []
-    styles: dict[str, set[tuple[str, ...]]] = {}
+    styles: dict[int, set[tuple[str, ...]]] = {}
+    still_open: Counter[str] = Counter()
 
     def end_block() -> None:
         if text:
             s = " ".join(entities.unescape("".join(text)).split())
             text.clear()
             if s and not stack[-1].out:
-                n = next(n for n in reversed(stack) if n.tag not in _INLINE)
+                n = stack[-1].block
                 found.append((n.kind, n.path, s))
 
     def close(i: int) -> None:
@@ -98,11 +111,14 @@ def blocks(page: str | None, low: frozenset[int] = frozenset()) -> tuple[list[tu
         if any(n.tag not in _INLINE or n.out for n in stack[i:]):
             end_block()
         for n in stack[i:]:
+            still_open[n.tag] -= 1
             if not n.out and n.tag not in _INLINE:
                 styles.setdefault(n.path, set()).add(tuple(n.children))
         del stack[i:]
 
     def last(tags, fences) -> int:
+        if not any(still_open[t] for t in tags):
+            return 0
         for i in range(len(stack) - 1, 0, -1):
             if stack[i].tag in tags:
                 return i
@@ -143,15 +159,16 @@ def blocks(page: str | None, low: frozenset[int] = frozenset()) -> tuple[list[tu
         parent = stack[-1]
         kind = parent.kind
         name = tag + "".join("." + c for c in sorted(set(attributes.get("class", "").lower().split())))
-        path = f"{parent.path}/{name}"
-        out = parent.out or _left_out(tag, attributes, kind) or bool(low) and _hash(path) in low
+        path = _hash(f"{parent.path}/{name}")
+        out = parent.out or _left_out(tag, attributes, kind) or path in low
         if tag == "article" or tag == "main" or attributes.get("role", "").lower() in ("main", "article"):
             kind = 1 if tag == "article" or kind == 1 or attributes.get("role", "").lower() == "article" else 2
         if tag not in _INLINE or out and not parent.out:
             end_block()
             parent.children.append(name)
         if not raw.rstrip().endswith("/") or tag not in ("svg", "path"):
-            stack.append(Node(tag, path, out, kind))
+            still_open[tag] += 1
+            stack.append(Node(tag, path, out, kind, parent.block))
     if not stack[-1].out:
         text.append(page[at:])
     close(1)
@@ -160,11 +177,11 @@ def blocks(page: str | None, low: frozenset[int] = frozenset()) -> tuple[list[tu
 
 
 def main_text(page: str | None, low: frozenset[int] = frozenset()) -> str:
-    """The blocks of the page's articles, or else of its main part, or else all, joined by a space."""
+    """The blocks that are left, joined by a space: those in articles and the main part if these hold half of the text or more, or else all."""
     found, _ = blocks(page, low)
-    kinds = {k for k, _, _ in found}
-    only = 1 if 1 in kinds else 2 if 2 in kinds else 0
-    return " ".join(s for k, _, s in found if k == only)
+    marked = sum(len(s) for k, _, s in found if k)
+    only = 2 * marked >= sum(len(s) for _, _, s in found)
+    return " ".join(s for k, _, s in found if k or not only)
 
 
 def host() -> F.Column:
@@ -185,7 +202,7 @@ def unimportant_places(pages: DataFrame) -> DataFrame:
                 seen |= {(p, 0, 0) for _, p, _ in found}
                 seen |= {(p, 1, _hash(" ".join(c))) for _, p, _ in found for c in styles.get(p, ())}
                 for p, kind, x in seen:
-                    for c, v in zip(cols, (h, _hash(p), kind, x, doc), strict=True):
+                    for c, v in zip(cols, (h, p, kind, x, doc), strict=True):
                         c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64()), strict=True)], ["host", "place", "kind", "x", "page"])
 
@@ -198,12 +215,13 @@ def unimportant_places(pages: DataFrame) -> DataFrame:
         F.avg(F.when(F.col("kind") == 2, F.log("n"))).alias("content_log"),
         F.count(F.when(F.col("kind") == 2, True)).alias("contents"),
     )
-    some = some.filter(F.col("m") >= LEAST_PAGES)
+    some = some.filter("m > 1")
     size = F.log("m")
     presentation = F.coalesce(F.least(F.lit(1.0), (F.log("shown") - F.col("shown_log") / F.col("shown")) / size), F.lit(0.0))
     content = F.greatest(F.lit(0.0), 1 - F.col("content_log") / size)
     importance = (1 - CONTENT_SHARE) * presentation + CONTENT_SHARE * content
-    return some.filter(importance < LEAST_IMPORTANCE).select("host", "place")
+    sure = (F.col("m") - 1) / (F.col("m") - 1 + PRIOR_PAGES)
+    return some.filter(1 - sure * (1 - importance) <= LEAST_IMPORTANCE).select("host", "place")
 
 
 def extract_text(pages: DataFrame) -> DataFrame:
@@ -220,13 +238,20 @@ def extract_text(pages: DataFrame) -> DataFrame:
     rows = pages.select(*[F.col(f"`{c}`") for c in keep], host().alias("_host"), F.col("html").alias("_html"))
     by_host = low.groupBy(F.col("host").alias("_host")).agg(F.collect_set("place").alias("_low"))
     rows = rows.join(F.broadcast(by_host) if n <= BROADCAST_PLACES else by_host, "_host", "left") if n else rows.withColumn("_low", F.lit(None).cast("array<long>"))
-    rows = rows.select(*[F.col(f"`{c}`") for c in keep], "_low", "_html")
+    rows = rows.select(*[F.col(f"`{c}`") for c in keep], "_host", "_low", "_html")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets: dict[str, frozenset[int]] = {}
         for batch in batches:
             k = batch.num_columns
-            text = [main_text(p.as_py(), frozenset(x.as_py() or ())) for x, p in zip(batch.column(k - 2), batch.column(k - 1), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: k - 2], pa.array(text, pa.string()), pa.array(list(map(len, text)), pa.int64())], [*keep, "text", "n_chars"])
+            text = []
+            for h, x, p in zip(batch.column(k - 3).to_pylist(), batch.column(k - 2), batch.column(k - 1), strict=True):
+                if h not in sets:
+                    if len(sets) > 200:
+                        sets.clear()
+                    sets[h] = frozenset(x.as_py() or ())
+                text.append(main_text(p.as_py(), sets[h]))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: k - 3], pa.array(text, pa.string()), pa.array(list(map(len, text)), pa.int64())], [*keep, "text", "n_chars"])
 
     out = T.StructType([rows.schema[c] for c in keep]).add("text", "string").add("n_chars", "long")
     return rows.mapInArrow(run, out)
