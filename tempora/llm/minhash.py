@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordHashes, mixed, saved, shingle_hashes, table, words_of
+from .common import WordHashes, mixed, saved, scratch, shingle_hashes, table, words_of
 from .graph import components
 
 #: 40 bands of 5 samples miss a pair of similarity 0.8 with probability 1.3e-7.
@@ -199,6 +199,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     them all. A null id takes the smallest id it is linked with, or null, and is
     never kept. An empty table gives no rows.
     """
+    with scratch() as keep:
+        return keep(_grouped(docs, k, percent))
+
+
+def _grouped(docs: DataFrame, k: int, percent: int) -> DataFrame:
     sk = saved(sketches(docs, k))
     limit = farthest(percent / 100)
     one = [F.first(c).alias(c) for c in ("bands", *_ODD)]

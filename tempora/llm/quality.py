@@ -46,7 +46,7 @@ class WordBins(dict):
             self.clear()
         shape = _RUNS.sub(rb"\1", word.translate(_CLASSES))
         a = xxhash.xxh3_64_intdigest(b"w" + word.lower()) % BINS
-        b = xxhash.xxh3_64_intdigest(b"s" + shape[:32]) % BINS
+        b = xxhash.xxh3_64_intdigest(b"s" + shape) % BINS
         x = self[word] = a | b << 16
         return x
 

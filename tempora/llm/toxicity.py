@@ -61,6 +61,7 @@ class WordCodes(dict):
         self.lexicon = lexicon
         self.entry = {k: i + 1 for i, k in enumerate(lexicon)}
         self.weight = np.array([0.0, *lexicon.values()])
+        self.beyond: dict[str, np.ndarray] = {}
 
     def find(self, word: str) -> int:
         return max((self.entry.get(t, 0) for t in tokens(word)), key=lambda i: self.weight[i], default=0)
@@ -82,7 +83,13 @@ class WordCodes(dict):
         other = sum(not c.isalnum() and c not in "!?.,'-" for c in word)
         # fields of bits: entry 10, hidden 10, then flags and small counts
         x = entry | hidden << 10 | you << 20 | (letters > 1 and capitals == letters) << 21 | digits << 22 | stretched << 23
-        x |= min(word.count("!"), 15) << 24 | min(word.count("?"), 15) << 28 | min(other, 15) << 32 | min(capitals, 63) << 36 | min(letters, 63) << 42
+        counts = np.array([word.count("!"), word.count("?"), other, capitals, letters])
+        packed = np.minimum(counts, [15, 15, 15, 63, 63])
+        for count, shift in zip(packed.tolist(), (24, 28, 32, 36, 42), strict=True):
+            x |= count << shift
+        if (counts > packed).any():  # what the fields have no room for is kept beside them
+            x |= 1 << 48
+            self.beyond[word] = counts - packed
         self[word] = x
         return x
 
@@ -105,11 +112,15 @@ def features(text: str | None, codes: WordCodes) -> np.ndarray:
             near = np.count_nonzero(gap <= NEAR)
         sums = np.concatenate([[0], np.cumsum(entry > 0)])
         densest = (sums[np.minimum(at + 50, n)] - sums[at]).max()
-    letters = max(1, int((x >> 42 & 63).sum()))
-    rate = lambda shift, bits: float((x >> shift & bits).sum()) / n
+    beyond = sum((codes.beyond[words[i]] for i in np.flatnonzero(x >> 48 & 1)), np.zeros(5, np.int64))
+    if len(codes.beyond) > 10_000:
+        codes.clear()
+        codes.beyond.clear()
+    letters = max(1, int((x >> 42 & 63).sum() + beyond[4]))
+    rate = lambda shift, bits, more=0: float((x >> shift & bits).sum() + more) / n
     return np.array([
-        len(at), len(at) / n, codes.weight[entry[at]].sum() / math.sqrt(n), densest, np.count_nonzero(hidden), near, len(you) / n, float((x >> 36 & 63).sum()) / letters,
-        rate(21, 1), rate(24, 15), rate(28, 15), rate(32, 15), rate(22, 1), rate(23, 1), math.log1p(n), len(np.unique(entry[at])),
+        len(at), len(at) / n, codes.weight[entry[at]].sum() / math.sqrt(n), densest, np.count_nonzero(hidden), near, len(you) / n, float((x >> 36 & 63).sum() + beyond[3]) / letters,
+        rate(21, 1), rate(24, 15, beyond[0]), rate(28, 15, beyond[1]), rate(32, 15, beyond[2]), rate(22, 1), rate(23, 1), math.log1p(n), len(np.unique(entry[at])),
     ])
 
 

@@ -1,6 +1,7 @@
 """Small cases of the text operators: nulls, empty tables, ties, long texts, extra columns, and brute force."""
 
 import hashlib
+import time
 
 import numpy as np
 import pytest
@@ -128,3 +129,87 @@ def test_reads_come_in_order_of_position(spark, tmp_path):
     out = mixing.query(spark, str(tmp_path)).collect()
     assert [r.doc_id for r in out] == [i for _, i, copy, _ in reads if copy == 0] + unread
     assert all(r.taken == plan[r.doc_id].taken == sum(c.words for c in plan[r.doc_id].copies) for r in out)
+
+
+def test_content_is_not_judged_by_words_of_its_names():
+    assert htmltext.main_text('<article><h2 id="social-impact">Impact</h2><p>One</p><table class="share prices"><tr><td>7</td></tr></table></article>') == "Impact One 7"
+    assert htmltext.main_text("<main><h1>Title</h1><p>Lead</p><article><p>Text of the article</p></article></main>") == "Title Lead Text of the article"
+    post = "A long post that stands in no article at all and is the page's text"
+    assert htmltext.main_text(f"<div class='post'><p>{post}</p></div><article><p>Other story</p></article>") == f"{post} Other story"
+    assert htmltext.main_text('<div class="comment-list"><p>Nice</p></div><ul class="nav"><li>Home</ul><article><p>One</p></article>') == "One"
+
+
+def test_broken_and_deep_pages_take_linear_time():
+    start = time.perf_counter()
+    assert htmltext.main_text("<a " * 350_000 + "x") != ""
+    assert htmltext.main_text("<div>" * 20_000 + "deep" + "</div>" * 20_000) == "deep"
+    assert htmltext.main_text("<i>x<hr>" * 20_000).count("x") == 20_000
+    assert htmltext.main_text("<i></em>" * 20_000 + "y") == "y"
+    assert time.perf_counter() - start < 5
+
+
+def test_small_sites_lose_what_their_pages_share(spark):
+    def got(n):
+        rows = [(i, "http://h.example/x", f"<body><div class='x'><p>Same words on all pages</p></div><div class='y'><p>Story number {i} is long</p></div></body>") for i in range(n)]
+        out = htmltext.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string"))
+        return {r.page_id: (r.text, r.n_chars) for r in out.collect()}
+
+    assert got(2)[0][0] == "Same words on all pages Story number 0 is long"
+    assert got(5) == {i: (f"Story number {i} is long", 22) for i in range(5)}
+
+
+def test_html_of_empty_and_clashing_tables(spark):
+    none = spark.createDataFrame([], "page_id long, url string, html string")
+    assert htmltext.extract_text(none).count() == 0
+    one = spark.createDataFrame([(1, None, "<p>a&amp;b", "old", 3)], "page_id long, url string, html string, text string, n_chars int")
+    assert [tuple(r) for r in htmltext.extract_text(one).collect()] == [(1, None, "a&b", 3)]
+
+
+def test_importance_is_brute_force(spark):
+    rng = np.random.default_rng(4)
+    pages = []
+    for i in range(12):
+        words = ["menu one", f"story {i}", ["red", "blue"][int(rng.integers(2))], "note" if i < 6 else f"note {i}"]
+        pages.append((i, "http://s.example/", "<body>" + "".join(f"<div class='c{k}'>{w}</div>" for k, w in enumerate(words)) + "</body>"))
+    low = {r.place for r in htmltext.unimportant_places(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    places = {}
+    for _, _, page in pages:
+        for _, p, s in htmltext.blocks(page)[0]:
+            places.setdefault(p, []).append(s)
+    want = set()
+    for p, texts in places.items():
+        counts = [texts.count(t) for t in set(texts)]
+        importance = htmltext.CONTENT_SHARE * max(0.0, 1 - np.log(counts).mean() / np.log(len(texts)))  # one presentation each
+        sure = (len(texts) - 1) / len(texts)
+        if 1 - sure * (1 - importance) <= htmltext.LEAST_IMPORTANCE:
+            want.add(p)
+    assert low == want and 0 < len(want) < len(places)
+
+
+def test_long_words_are_counted_whole():
+    codes = toxicity.WordCodes({})
+    at = {n: i for i, n in enumerate(toxicity.FEATURES)}
+    x = toxicity.features("a" * 100 + "B" * 300 + "!" * 50, codes)
+    assert x[at["exclaim_rate"]] == 50 and x[at["capital_rate"]] == 0.75
+
+
+def test_many_classes_are_all_sampled(spark):
+    from tempora.llm.samples import bounded_sample
+
+    rows = spark.range(3000).selectExpr("id as doc_id", "id % 300 as y")
+    some, weight = bounded_sample(rows, "y", 5, total=600)
+    got = {r.y: r["count"] for r in some.groupBy("y").count().collect()}
+    assert len(weight) == 300 and set(weight.values()) == {5.0} and 300 < sum(got.values()) < 900
+    with pytest.raises(ValueError):
+        bounded_sample(rows, "y", 5, total=100)
+
+
+def test_grades_in_order(spark):
+    words = ["dull", "plain", "good", "great"]
+    rows = [(i, " ".join(words[min(3, max(0, i % 4 + d))] for d in (0, 0, 0, 1, -1) for _ in range(3)), i % 4) for i in range(400)]
+    docs = spark.createDataFrame([(a, b) for a, b, _ in rows], "doc_id long, text string")
+    model = quality.fit(docs, spark.createDataFrame([(a, c) for a, _, c in rows], "doc_id long, quality int"))
+    assert model.grades == [0, 1, 2, 3] and list(model.thresholds) == sorted(model.thresholds)
+    got = {r.doc_id: r.expected_grade for r in quality.score(docs, model, 2.0).collect()}
+    mean = [np.mean([got[i] for i in range(g, 400, 4)]) for g in range(4)]
+    assert mean == sorted(mean) and all(abs(m - g) < 0.6 for g, m in enumerate(mean))
