@@ -4,10 +4,10 @@ A spot signature is an anchor, which is a common word, and the chain of the two
 content words that follow it. Common words are the short ones (three letters at
 most) and some longer ones; the start of a text is an anchor too, and in a text
 without common words every word is one. The fingerprint of a text is the set
-of its signatures' hashes, as the sorted smallest of them; its likeness to
-another one is the Jaccard estimate of the two bottom samples, exact for sets that
-fit in. Near duplicates among all texts are found by set length: only sets of
-about the same length can be alike, and they must share a rare signature.
+of its signatures' hashes, of which the string shows the sorted smallest and a
+digest of all; its likeness to another one is the exact Jaccard of the whole sets.
+Near duplicates among all texts are found by set length: only sets of about the
+same length can be alike, and they must share a rare signature.
 """
 
 from __future__ import annotations
@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from .common import saved, table
 from .graph import components
 
-#: Hashes in a fingerprint at most, and hex digits of each.
-SIZE, DIGITS = 64, 8
+#: Hashes that a fingerprint shows, and hex digits of each.
+SIZE, DIGITS = 64, 16
 #: Content words of a chain.
 CHAIN = 2
 #: Longer common words of English, French, German and Spanish (fixed values).
@@ -61,17 +61,16 @@ def with_signatures(df: DataFrame, text: str, name: str) -> DataFrame:
     return df.withColumn(name, sigs).drop("_w", "_some", "_c", "_k")
 
 
-def likeness(a: Column, b: Column, size: int = SIZE) -> Column:
-    """The Jaccard estimate of two sorted bottom samples: the share of the smallest hashes of their union that both have."""
-    union = F.slice(F.sort_array(F.array_union(a, b)), 1, size)
-    both = F.size(F.array_intersect(F.array_intersect(a, b), union))
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).otherwise(both / F.greatest(F.size(union), F.lit(1))).cast("double")
+def likeness(a: Column, b: Column) -> Column:
+    """The Jaccard of two sets, 1 for two empty ones."""
+    both = F.size(F.array_intersect(a, b))
+    return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).otherwise(both / F.greatest(F.size(a) + F.size(b) - both, F.lit(1))).cast("double")
 
 
-def fingerprints(docs: DataFrame, size: int = SIZE) -> DataFrame:
-    """``docs`` with ``signatures`` (number) and ``sample``, the ``size`` smallest hashes in order."""
-    df = with_signatures(docs.drop("signatures", "sample"), "text", "_sigs")
-    return df.withColumn("signatures", F.size("_sigs").cast("long")).withColumn("sample", F.slice("_sigs", 1, size)).drop("_sigs")
+def shown(sigs: Column, size: int = SIZE) -> Column:
+    """The fingerprint: the ``size`` smallest hashes in order and, of a larger set, a digest of all."""
+    rest = F.when(F.size(sigs) > size, F.concat(F.lit("+"), F.md5(F.array_join(sigs, "").cast("binary")))).otherwise("")
+    return F.concat(F.array_join(F.slice(sigs, 1, size), ""), rest)
 
 
 def ranged(docs: DataFrame) -> DataFrame:
@@ -107,17 +106,17 @@ def compared(docs: DataFrame, size: int = SIZE) -> DataFrame:
     text without words has no signatures and is alike only to another such text.
     Repeated rows stand next to each other. An empty table gives no rows.
     """
-    own = fingerprints(ranged(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))), size)
+    own = with_signatures(ranged(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))), "text", "sigs")
     order = Window.partitionBy("_range").orderBy("_halo", F.desc_nulls_last("doc_id"), F.xxhash64("text"))
-    near = own.withColumn("next", F.lead(F.struct("text", "sample")).over(order)).filter("_halo = 0")
+    near = own.withColumn("next", F.lead(F.struct("text", "sigs")).over(order)).filter("_halo = 0")
     n = F.char_length("text")
     cut = F.floor(n / 3).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - cut), F.substring(F.col("next.text"), F.lit(1), cut))
-    near = near.select("doc_id", n.cast("long").alias("n_chars"), "sample", "signatures", F.col("next.sample").alias("next_sample"), edited.alias("edited"))
-    near = with_signatures(near, "edited", "_e").withColumn("edited_sample", F.slice("_e", 1, size))
+    near = near.select("doc_id", n.cast("long").alias("n_chars"), "sigs", F.col("next.sigs").alias("next_sigs"), edited.alias("edited"))
+    near = with_signatures(near, "edited", "edited_sigs")
     return near.select(
-        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.array_join("sample", "").alias("fingerprint"), F.array_join("edited_sample", "").alias("edited_fingerprint"),
-        likeness(F.col("sample"), F.col("edited_sample"), size).alias("near_edited"), likeness(F.col("sample"), F.col("next_sample"), size).alias("near_next"),
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), shown(F.col("sigs"), size).alias("fingerprint"), shown(F.col("edited_sigs"), size).alias("edited_fingerprint"),
+        likeness(F.col("sigs"), F.col("edited_sigs")).alias("near_edited"), likeness(F.col("sigs"), F.col("next_sigs")).alias("near_next"),
     )
 
 
@@ -169,17 +168,18 @@ _SIGS = f"""
                               lambda s: NOT (len(s.w) <= 3 OR s.w IN ({_COMMON}))) AS c,
         len(list_filter(w, lambda x: len(x) <= 3 OR x IN ({_COMMON}))) > 0 AS any_common
   FROM (SELECT *, regexp_extract_all(lower(txt), '[\\p{{L}}\\p{{N}}]+') AS w FROM"""
+_SHOWN = f"array_to_string(list_slice({{0}}, 1, {SIZE}), '') || CASE WHEN len({{0}}) > {SIZE} THEN '+' || md5(array_to_string({{0}}, '')) ELSE '' END"
 SQL = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS txt FROM documents),
 n AS (SELECT doc_id, txt, coalesce(lead(txt) OVER o, first_value(txt) OVER o) AS nxt, coalesce(lead(doc_id) OVER o, first_value(doc_id) OVER o) AS nid FROM d WINDOW o AS (ORDER BY doc_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
 e AS (SELECT *, left(txt, length(txt) - length(txt) // 3) || left(nxt, length(txt) // 3) AS edited FROM n),
 f AS ({_SIGS} d)))),
 g AS ({_SIGS} (SELECT doc_id, edited AS txt FROM e))))),
-s AS (SELECT e.doc_id, length(e.txt) AS n_chars, e.edited, list_slice(f.sigs, 1, {SIZE}) AS a, list_slice(g.sigs, 1, {SIZE}) AS b, list_slice(x.sigs, 1, {SIZE}) AS c
+s AS (SELECT e.doc_id, length(e.txt) AS n_chars, e.edited, f.sigs AS a, g.sigs AS b, x.sigs AS c
       FROM e JOIN f ON f.doc_id = e.doc_id JOIN g ON g.doc_id = e.doc_id JOIN f x ON x.doc_id = e.nid),
-u AS (SELECT *, list_slice(list_sort(list_distinct(list_concat(a, b))), 1, {SIZE}) AS ab, list_slice(list_sort(list_distinct(list_concat(a, c))), 1, {SIZE}) AS ac FROM s)
-SELECT doc_id, CAST(n_chars AS BIGINT) AS n_chars, sha256(edited) AS edited_sha256, array_to_string(a, '') AS fingerprint, array_to_string(b, '') AS edited_fingerprint,
-       CASE WHEN len(ab) = 0 THEN 1.0::DOUBLE ELSE len(list_filter(ab, lambda x: list_contains(a, x) AND list_contains(b, x))) / len(ab)::DOUBLE END AS near_edited,
-       CASE WHEN len(ac) = 0 THEN 1.0::DOUBLE ELSE len(list_filter(ac, lambda x: list_contains(a, x) AND list_contains(c, x))) / len(ac)::DOUBLE END AS near_next
+u AS (SELECT *, len(list_intersect(a, b)) AS ab, len(list_intersect(a, c)) AS ac FROM s)
+SELECT doc_id, CAST(n_chars AS BIGINT) AS n_chars, sha256(edited) AS edited_sha256, {_SHOWN.format("a")} AS fingerprint, {_SHOWN.format("b")} AS edited_fingerprint,
+       CASE WHEN len(a) + len(b) = 0 THEN 1.0::DOUBLE ELSE ab / (len(a) + len(b) - ab)::DOUBLE END AS near_edited,
+       CASE WHEN len(a) + len(c) = 0 THEN 1.0::DOUBLE ELSE ac / (len(a) + len(c) - ac)::DOUBLE END AS near_next
 FROM u
 """
