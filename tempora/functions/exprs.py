@@ -28,6 +28,12 @@ def safe_div(a: Column, b: Column) -> Column:
     return F.when(b == 0, zero).otherwise(F.try_divide(a, b))
 
 
+def safe_div_once(a: Column, b: Column) -> Column:
+    """``safe_div`` that computes its arguments once, so that plans of nested divisions stay in proportion to their text."""
+    both = F.array(F.struct(a.cast("double").alias("a"), b.cast("double").alias("b")))
+    return F.element_at(F.transform(both, lambda x: safe_div(x["a"], x["b"])), 1)
+
+
 def safe_ln(x: Column) -> Column:
     return F.when(x == 0, F.lit(-INF)).when(x < 0, F.lit(NAN)).otherwise(F.ln(x))
 

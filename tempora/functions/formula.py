@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .exprs import NAN, safe_div, safe_ln
+from .exprs import NAN, safe_div, safe_div_once, safe_ln
 
 _TOKEN = re.compile(r"\s*(?:(\d+\.?\d*(?:[eE][+-]?\d+)?|\.\d+(?:[eE][+-]?\d+)?)|`([^`]+)`|([A-Za-z_][A-Za-z0-9_.\[\]]*)|([-+*/^(),]))")
 
@@ -37,9 +37,14 @@ def tokens(text: str) -> list[tuple[str, str]]:
     return out
 
 
+#: Brackets in each other at most.
+DEEPEST = 100
+
+
 class _Reader:
     def __init__(self, text: str, names: dict[str, Column]):
-        self.left, self.names = tokens(text), names
+        self.left, self.names, self.depth = tokens(text), names, 0
+        self.div = safe_div_once if text.count("/") > 1 else safe_div
 
     def take(self, *signs: str) -> str | None:
         if self.left and self.left[0][0] == "sign" and self.left[0][1] in signs:
@@ -59,7 +64,7 @@ class _Reader:
     def product(self) -> Column:
         out = self.signed()
         while s := self.take("*", "/"):
-            out = out * self.signed() if s == "*" else safe_div(out, self.signed())
+            out = out * self.signed() if s == "*" else self.div(out, self.signed())
         return out
 
     def signed(self) -> Column:
@@ -70,8 +75,12 @@ class _Reader:
 
     def atom(self) -> Column:
         if self.take("("):
+            self.depth += 1
+            if self.depth > DEEPEST:
+                raise ValueError(f"formula: more than {DEEPEST} brackets in each other")
             out = self.total()
             self.need(")")
+            self.depth -= 1
             return out
         if not self.left or self.left[0][0] == "sign":
             raise ValueError("formula: a value is missing")

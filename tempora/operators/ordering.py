@@ -15,6 +15,8 @@ from ..functions.exprs import INF
 
 #: Rows of a chunk.
 ROWS = 200_000
+#: Tables of one row a chunk are broadcast up to this many rows.
+BROADCAST_CHUNKS = 100_000
 
 
 def indexed(df: DataFrame, t: str, key: str, rows: int = ROWS) -> DataFrame:
@@ -32,7 +34,8 @@ def indexed(df: DataFrame, t: str, key: str, rows: int = ROWS) -> DataFrame:
     before = Window.orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
     start = rows_of.groupBy("_c").agg(F.count("*").alias("_n")).select("_c", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     own = F.row_number().over(Window.partitionBy("_c").orderBy(F.asc_nulls_last(t), key)) - 1
-    return rows_of.withColumn("_own", own).join(F.broadcast(start), "_c").withColumn("_i", F.col("_start") + F.col("_own")).drop("_c", "_start", "_own")
+    start = F.broadcast(start) if chunks <= BROADCAST_CHUNKS else start
+    return rows_of.withColumn("_own", own).join(start, "_c").withColumn("_i", F.col("_start") + F.col("_own")).drop("_c", "_start", "_own")
 
 
 def chunked(df: DataFrame, before: int, after: int, rows: int = ROWS) -> DataFrame:

@@ -63,7 +63,9 @@ def time_stats(s: DataFrame, rows: int = ROWS) -> DataFrame:
 def nan_runs(s: DataFrame, rows: int = ROWS) -> DataFrame:
     """Runs of non-finite values as (last good time, first good time, rows); an open end is null."""
     near = nearest_valid(s.withColumn("_tv", F.col("t")), F.when(finite("v"), F.col("t")), rows).filter(~finite("v"))
-    return near.groupBy(F.col("_prev.v").alias("last_good"), F.col("_next.v").alias("first_good")).agg(F.count("*").alias("n"))
+    # by the places of the good samples: their times may be equal
+    runs = near.groupBy(F.col("_prev.i"), F.col("_next.i")).agg(F.first("_prev.v").alias("last_good"), F.first("_next.v").alias("first_good"), F.count("*").alias("n"))
+    return runs.select("last_good", "first_good", "n")
 
 
 def iqr_bounds(s: DataFrame, factor: float = 1.5) -> tuple[float, float] | None:
@@ -117,9 +119,10 @@ def _spikes(v: np.ndarray, sensitivity: int) -> np.ndarray:
                 m = np.median(around)
                 s = thr * spread(around, m)
                 run = np.median(v[i : j + 1])
-                while a > 0 and np.isfinite(v[a - 1]) and abs(v[a - 1] - run) <= s and b - a + 1 <= most:
+                like = max(s, 32 * np.finfo(float).eps * max(1, abs(run)), 1e-12)  # how far the run's own values may be
+                while a > 0 and np.isfinite(v[a - 1]) and abs(v[a - 1] - run) <= like and b - a + 1 <= most:
                     a -= 1
-                while b + 1 < n and np.isfinite(v[b + 1]) and abs(v[b + 1] - run) <= s and b - a + 1 <= most:
+                while b + 1 < n and np.isfinite(v[b + 1]) and abs(v[b + 1] - run) <= like and b - a + 1 <= most:
                     b += 1
                 out[i : j + 1] = abs(np.median(lo) - np.median(hi)) <= s and b - a + 1 <= most and abs(run - m) > s
         i = j + 1
@@ -171,12 +174,16 @@ def next_sample(s: DataFrame, x: float, forward: bool = True) -> DataFrame:
 
 
 def extremum(s: DataFrame, x: float, kind: str = "max", forward: bool = True, rows: int = ROWS) -> DataFrame:
-    """The next (or previous) plateau strictly above (below) both finite neighbours, as its ends and value."""
-    turn = framed(s, 1, 0, lambda w: {"fresh": F.coalesce(F.col("v") != F.lag("v").over(w), F.lit(True))}, rows).filter("fresh")
-    w_cols = lambda w: {"pv": F.lag("v").over(w), "nv": F.lead("v").over(w), "nt": F.lead("_i").over(w)}
-    runs = framed(indexed(turn.select("t", "v", F.col("_i").alias("i0")), "t", "i0", rows), 1, 1, w_cols, rows)
+    """The next (or previous) plateau strictly above (below) both finite neighbours: its first (or last) time and value.
+
+    A plateau is next if it begins after ``x``, and previous if it ends before.
+    """
+    turn = framed(s, 1, 0, lambda w: {"fresh": F.coalesce(F.col("v") != F.lag("v").over(w), F.lit(True)), "pt": F.lag("t").over(w)}, rows).filter("fresh")
+    w_cols = lambda w: {"pv": F.lag("v").over(w), "nv": F.lead("v").over(w), "right": F.lead("pt").over(w)}
+    runs = framed(indexed(turn.select("t", "v", "pt", F.col("_i").alias("i0")), "t", "i0", rows), 1, 1, w_cols, rows)
     better = (lambda a, b: a > b) if kind == "max" else (lambda a, b: a < b)
     hit = runs.filter(finite("v") & finite("pv") & finite("nv") & better(F.col("v"), F.col("pv")) & better(F.col("v"), F.col("nv")))
+    hit = hit.withColumn("t", F.col("t") if forward else F.col("right"))
     return hit.filter(F.col("t") > x if forward else F.col("t") < x).orderBy("t" if forward else F.desc("t")).limit(1).select("t", "v")
 
 

@@ -2,22 +2,28 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.exprs import DAY, HOUR, epoch_ms
 from ..functions.formula import compile_formula
 from ..operators import aggregates as agg
 from ..operators import calendar as cal
+from ..operators import intervals
 from ..operators import series as ser
 from ..operators.ordering import indexed
 from ..operators.spectrum import spectrum
+from ..sources import delimited
+from ..streaming import live
 from .registry import query, table
 
 T0, T1 = 1_704_412_800_000, 1_705_017_600_000  # 2024-01-05 and 2024-01-12
 MS = "CAST(floor(epoch_us(ts) / 1000.0) AS BIGINT)"
 EVENTS = f"e AS (SELECT event_id, {MS} AS t, value AS v FROM events)"
-#: events with missing values and with rows left out
-HOLES = f"e AS (SELECT event_id, {MS} AS t, CASE WHEN event_id % 17 = 0 THEN NULL ELSE value END AS v FROM events WHERE event_id % 100 >= 10)"
+#: events with missing values
+HOLES = f"e AS (SELECT event_id, {MS} AS t, CASE WHEN event_id % 17 = 0 THEN NULL ELSE value END AS v FROM events)"
 RANGE = "ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-12 00:00:00.001'"
 
 
@@ -30,7 +36,7 @@ def events(spark, sf):
 
 
 def holes(spark, sf):
-    df = table(spark, sf, "events").filter(F.col("event_id") % 100 >= 10)
+    df = table(spark, sf, "events")
     return ser.series(df.withColumn("value", F.when(F.col("event_id") % 17 != 0, F.col("value"))), "ts", "value", "event_id")
 
 
@@ -164,7 +170,7 @@ def heatmap_week_day(spark, sf):
 
 @query("heatmap_day_hour", f"WITH {HOLES} SELECT t - t % 86400000 AS col_start, t % 86400000 // 3600000 AS row_idx, {CELLS} FROM e GROUP BY 1, 2")
 def heatmap_day_hour(spark, sf):
-    df = table(spark, sf, "events").filter(F.col("event_id") % 100 >= 10).withColumn("value", F.when(F.col("event_id") % 17 != 0, F.col("value")))
+    df = table(spark, sf, "events").withColumn("value", F.when(F.col("event_id") % 17 != 0, F.col("value")))
     return _cells(cal.heatmap(df, "ts", "value", "day_hour"))
 
 
@@ -205,7 +211,7 @@ WITH {HOLES}, q AS (SELECT *, t - t % 86400000 AS p, t % 86400000 // 3600000 AS
 p AS (SELECT DISTINCT p, CASE WHEN (p // 86400000 + 3) % 7 < 5 THEN 'workday' WHEN (p // 86400000 + 3) % 7 = 5 THEN 'saturday' ELSE 'sunday' END AS category FROM q), g AS (SELECT p, category, i AS bin FROM p, range(24) r(i))
 SELECT category, bin, round(avg(m), 6) AS mean, round(CASE WHEN count(m) > 1 THEN stddev_samp(m) END, 6) AS std, count(m) AS n_periods, count(*) AS n_expected, CAST(coalesce(sum(inv), 0) AS BIGINT) AS n_invalid FROM g LEFT JOIN b USING (p, bin) GROUP BY 1, 2""")
 def profile_day_type(spark, sf):
-    df = table(spark, sf, "events").filter(F.col("event_id") % 100 >= 10).withColumn("value", F.when(F.col("event_id") % 17 != 0, F.col("value")))
+    df = table(spark, sf, "events").withColumn("value", F.when(F.col("event_id") % 17 != 0, F.col("value")))
     return cal.profile(df, "ts", "value", "event_id", category="daytype").select("category", "bin", *r6("mean", "std"), "n_periods", "n_expected", "n_invalid")
 
 
@@ -452,3 +458,75 @@ def spectrum_hann(spark, sf):
 @query("spectrum_db")
 def spectrum_db(spark, sf):
     return spectrum(_hourly(spark, sf).withColumn("series", F.lit("value")), "series", scale="relative_db")
+
+
+def _folder(spark) -> str:
+    """A new folder that the driver and all executors share (a local one in a session of one machine)."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        top = "file://" + tempfile.mkdtemp(prefix="tempora-")
+    return f"{top.rstrip('/')}/tempora/{uuid.uuid4().hex}"
+
+
+def _as_text(spark, sf) -> str:
+    """The events as a folder of delimited text."""
+    path = f"{_folder(spark)}.csv"
+    delimited.export(table(spark, sf, "events").withColumn("t", epoch_ms("ts")), ["event_id", "event_type", "value"], path)
+    return path
+
+
+_TEXT = f"SELECT CAST({MS} AS DOUBLE) AS t, CAST(event_id AS DOUBLE) AS event_id, event_type, value FROM events"
+
+
+@query("csv_read", _TEXT)
+def csv_read(spark, sf):
+    return delimited.read_delimited(spark, _as_text(spark, sf)).drop("_row")
+
+
+@query("csv_row_filter", _TEXT + " WHERE event_type = 'purchase'")
+def csv_row_filter(spark, sf):
+    return delimited.read_delimited(spark, _as_text(spark, sf), keep=delimited.row_filter("event_type", "==", " purchase ")).drop("_row")
+
+
+@query("csv_to_parquet", _TEXT)
+def csv_to_parquet(spark, sf):
+    path = f"{_folder(spark)}.parquet"
+    delimited.to_parquet(delimited.read_delimited(spark, _as_text(spark, sf)), path)
+    return spark.read.parquet(path)
+
+
+@query("column_kinds", """SELECT 'l_quantity' AS name, min(l_quantity) = max(l_quantity) AS constant, false AS boolean FROM lineitem
+UNION ALL SELECT 'one', true, false UNION ALL SELECT 'returned', false, true""")
+def column_kinds(spark, sf):
+    df = table(spark, sf, "lineitem").select("l_quantity", F.lit(1).alias("one"), (F.col("l_returnflag") == "R").cast("int").alias("returned"))
+    return delimited.column_kinds(df, ["l_quantity", "one", "returned"])
+
+
+@query("time_text", f"SELECT event_id, strftime(make_timestamp({MS} * 1000), '%Y-%m-%d %H:%M:%S.%g') AS at FROM events")
+def time_text(spark, sf):
+    return table(spark, sf, "events").select("event_id", delimited.time_text(epoch_ms("ts")).alias("at"))
+
+
+@query("interval_union", f"""
+WITH i AS (SELECT {MS} AS a, {MS} + 120000 AS b FROM events), m AS (SELECT a, b, max(b) OVER (ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM i),
+g AS (SELECT *, sum(CASE WHEN seen IS NULL OR a > seen THEN 1 ELSE 0 END) OVER (ORDER BY a, b) AS k FROM m) SELECT min(a) AS a, max(b) AS b FROM g GROUP BY k""")
+def interval_union(spark, sf):
+    t = epoch_ms("ts")
+    return intervals.interval_union(table(spark, sf, "events").select(t.alias("a"), (t + 120_000).alias("b")), "a", "b")
+
+
+@query("live_append", f"SELECT {MS} AS t, value FROM events")
+def live_append(spark, sf):
+    """The events as a base and two batches appended to it."""
+    all_ = table(spark, sf, "events").select(epoch_ms("ts").alias("t"), "value")
+    at = live.LiveTable(all_.filter(F.col("t") < T0), _folder(spark))
+    at.append(all_.filter((F.col("t") >= T0) & (F.col("t") < T1)), 0)
+    at.append(all_.filter(F.col("t") >= T1), 1)
+    return at.view()
+
+
+@query("parquet_row_count", "SELECT count(*) AS n FROM lineitem")
+def parquet_row_count(spark, sf):
+    return table(spark, sf, "lineitem").agg(F.count("*").alias("n"))

@@ -1,0 +1 @@
+"""Appending streams of samples: growing text files, checked batches, live tables."""
