@@ -12,7 +12,7 @@ from tempora.plans.registry import QUERIES
 from tempora.session import get_session
 
 NAMES = [
-    "profile_day_all", "envelope_bucketed", "envelope_multi_var", "missing_buckets", "pair_correlation", "linear_fit", "histogram_auto_fd",
+    "csv_read", "profile_day_all", "envelope_bucketed", "envelope_multi_var", "missing_buckets", "pair_correlation", "linear_fit", "histogram_auto_fd",
     "heatmap_week_day", "heatmap_integral_day_hour", "sampling_gaps", "moving_average", "integral_trapezoidal", "derivative_centered", "derived_formula", "spectrum_hann",
 ]
 

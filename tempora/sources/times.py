@@ -147,14 +147,24 @@ def _part(c: Column, pattern: str, i: int) -> Column:
     return F.when(got != "", got)
 
 
+def _groups(c: Column, pattern: str, made) -> Column:
+    """``made(part)``, where ``part(i)`` is the i-th group of an anchored pattern; null where it doesn't match.
+
+    The pattern runs once a cell, and what is made of the groups is kept out of generated code, which it would outgrow.
+    """
+    n = re.compile(pattern.replace("\\p{L}", "\\w")).groups
+    cells = F.split(F.regexp_replace(c, pattern, "\u0001".join(f"${i}" for i in range(1, n + 1))), "\u0001", -1)
+    return F.element_at(F.transform(F.array(cells), lambda g: F.when((F.size(g) == n) & c.rlike(pattern), made(lambda i: F.nullif(F.get(g, F.lit(i - 1)), F.lit(""))))), 1)
+
+
 def _year(y: Column) -> Column:
     n = y.try_cast("int")
     return F.when(F.length(y) <= 2, F.when(n < 70, n + 2000).otherwise(n + 1900)).otherwise(n)
 
 
-def _clock_ms(c: Column, pattern: str, first: int) -> Column:
+def _clock_ms(part, first: int) -> Column:
     """Milliseconds of the day of a clock time whose groups begin at ``first``; 0 without one, null if it is none."""
-    h, m, s, half = (_part(c, pattern, first + k) for k in range(4))
+    h, m, s, half = (part(first + k) for k in range(4))
     hour = h.try_cast("int")
     afternoon = F.lower(F.substring(half, 1, 1)) == "p"
     hour = F.when(half.isNull(), hour).when(hour > 12, None).otherwise(hour % 12 + F.when(afternoon, 12).otherwise(0))
@@ -170,13 +180,18 @@ def _day_ms(y: Column, m: Column, d: Column) -> Column:
     return F.when(month.isNotNull() & d.between(1, F.day(F.last_day(first))), (F.unix_date(first) + d - 1).cast("double") * DAY)
 
 
-def _date_ms(c: Column, mode: str, order: str) -> Column:
-    p = PATTERNS[mode]
-    parts = [_part(c, p, i) for i in (1, 2, 3)]
-    at = dict(zip("YMD" if mode == "iso" else order, parts, strict=True))
+def _date_ms(part, mode: str, order: str) -> Column:
+    at = dict(zip("YMD" if mode == "iso" else order, (part(i) for i in (1, 2, 3)), strict=True))
     return _day_ms(_year(at["Y"]), at["M"].try_cast("int"), at["D"].try_cast("int"))
 
 
+def _zone_ms(zone: Column) -> Column:
+    """Milliseconds by which a zone such as +01:00 is ahead; 0 for Z and none."""
+    bare = F.regexp_replace(F.coalesce(zone, F.lit("Z")), ":", "")
+    minutes = F.substring(bare, 2, 2).try_cast("int") * 60 + F.substring(bare, 4, 2).try_cast("int")
+    return F.when(bare == "Z", F.lit(0.0)).otherwise(F.when(F.substring(bare, 1, 1) == "-", -60_000.0).otherwise(60_000.0) * minutes)
+
+
 _TOKENS = {"yyyy": (r"(\d{4})", "Y"), "yy": (r"(\d{2})", "Y"), "MMMM": (r"(\p{L}+)\.?", "N"), "MMM": (r"(\p{L}+)\.?", "N"), "MM": (r"(\d{2})", "M"), "M": (r"(\d{1,2})", "M"), "dd": (r"(\d{2})", "D"), "d": (r"(\d{1,2})", "D"), "HH": (r"(\d{2})", "h"), "H": (r"(\d{1,2})", "h"), "hh": (r"(\d{2})", "h"), "h": (r"(\d{1,2})", "h"), "mm": (r"(\d{2})", "m"), "m": (r"(\d{1,2})", "m"), "ss": (r"(\d{2})", "s"), "s": (r"(\d{1,2})", "s"), "SSS": (r"(\d{1,3})", "f"), "AM/PM": (r"([AaPp])\.?[Mm]\.?", "a")}
 
 
@@ -192,15 +207,19 @@ def _by_pattern(c: Column, pattern: str) -> Column:
         part, what = _TOKENS.get(t, (re.escape(t), ""))
         regex += part
         meaning += [what] if what else []
-    got = {w: _part(c, regex + "$", i) for i, w in enumerate(meaning, 1)}
-    n = lambda w, other: got[w].try_cast("int") if w in got else F.lit(other)
-    month = _month_of(got["N"]) if "N" in got else n("M", 1)
-    hour = n("h", 0)
-    if "a" in got:
-        hour = hour % 12 + F.when(F.lower(got["a"]) == "p", 12).otherwise(0)
-    day = _day_ms(_year(got["Y"]) if "Y" in got else F.lit(2001), month, n("D", 1))
-    clock = (hour * 60 + n("m", 0)) * 60_000.0 + n("s", 0) * 1000 + n("f", 0)
-    return F.when(c.rlike(regex + "$") & (hour < 24) & (n("m", 0) < 60) & (n("s", 0) < 60), day + clock)
+
+    def made(part) -> Column:
+        got = {w: part(i) for i, w in enumerate(meaning, 1)}
+        n = lambda w, other: got[w].try_cast("int") if w in got else F.lit(other)
+        month = _month_of(got["N"]) if "N" in got else n("M", 1)
+        hour = n("h", 0)
+        if "a" in got:
+            hour = hour % 12 + F.when(F.lower(got["a"]) == "p", 12).otherwise(0)
+        day = _day_ms(_year(got["Y"]) if "Y" in got else F.lit(2001), month, n("D", 1))
+        clock = (hour * 60 + n("m", 0)) * 60_000.0 + n("s", 0) * 1000 + n("f", 0)
+        return F.when((hour < 24) & (n("m", 0) < 60) & (n("s", 0) < 60), day + clock)
+
+    return _groups(c, regex + "$", made)
 
 
 def time_ms(axis: TimeAxis, row: Column | None = None, comma: bool = False) -> Column:
@@ -208,30 +227,25 @@ def time_ms(axis: TimeAxis, row: Column | None = None, comma: bool = False) -> C
     if axis.mode == "index":
         return row.cast("double")
     c = F.trim(F.col(f"`{axis.columns[0]}`"))
-    if axis.mode in ("iso", "slash", "dash"):
-        p = PATTERNS[axis.mode]
-        out = F.when(c.rlike(p), _date_ms(c, axis.mode, axis.order) + _clock_ms(c, p, 4))
-        if axis.mode == "iso":
-            zone = F.regexp_replace(F.coalesce(_part(c, p, 8), F.lit("Z")), ":", "")
-            minutes = F.when(zone == "Z", 0).otherwise(F.substring(zone, 1, 1).eqNullSafe("-").cast("int") * -2 + 1) * (F.coalesce(F.substring(zone, 2, 2).try_cast("int"), F.lit(0)) * 60 + F.coalesce(F.substring(zone, 4, 2).try_cast("int"), F.lit(0)))
-            out = out - minutes * 60_000.0
-        return out
+    if axis.mode == "iso":
+        return _groups(c, PATTERNS["iso"], lambda g: _date_ms(g, "iso", "YMD") + _clock_ms(g, 4) - _zone_ms(g(8)))
+    if axis.mode in ("slash", "dash"):
+        return _groups(c, PATTERNS[axis.mode], lambda g: _date_ms(g, axis.mode, axis.order) + _clock_ms(g, 4))
     if axis.mode == "year_month":
-        p = PATTERNS["year_month"]
-        return _day_ms(_part(c, p, 1).try_cast("int"), _part(c, p, 2).try_cast("int"), F.lit(1))
+        return _groups(c, PATTERNS["year_month"], lambda g: _day_ms(g(1).try_cast("int"), g(2).try_cast("int"), F.lit(1)))
     if axis.mode == "yearless":
-        p, (m, d) = PATTERNS["yearless"], (2, 1) if axis.order == "DMY" and axis.pattern == "DM" else (1, 2)
-        return F.when(c.rlike(p), _day_ms(F.lit(2001), _part(c, p, m).try_cast("int"), _part(c, p, d).try_cast("int")) + _clock_ms(c, p, 3))
+        return _groups(c, PATTERNS["yearless"], lambda g: _day_ms(F.lit(2001), g(1).try_cast("int"), g(2).try_cast("int")) + _clock_ms(g, 3))
     if axis.mode == "month_name":
         names = F.filter(F.transform(F.regexp_extract_all(c, F.lit(r"(\p{L}{3,})"), F.lit(1)), _month_of), lambda m: m.isNotNull())
         clock = r"(?:^|[^\d:])" + _CLOCK
         days = F.regexp_replace(c, _CLOCK, " ")
         year = F.coalesce(_part(days, r"(?:^|\D)(\d{4})(?!\d)", 1), F.lit("2001")).try_cast("int")
         day = F.coalesce(_part(F.regexp_replace(days, r"\d{4}", " "), r"(?:^|\D)(\d{1,2})(?!\d)", 1), F.lit("1")).try_cast("int")
-        return _day_ms(year, F.try_element_at(names, F.lit(1)), day) + _clock_ms(c, clock, 1)
+        return _day_ms(year, F.try_element_at(names, F.lit(1)), day) + _clock_ms(lambda i: _part(c, clock, i), 1)
     if axis.mode == "split":
         second = F.trim(F.col(f"`{axis.columns[1]}`"))
-        return F.when(second.rlike(PATTERNS["clock"]), _date_ms(c, axis.pattern, axis.order) + _clock_ms(second, PATTERNS["clock"], 1))
+        day = _groups(c, PATTERNS[axis.pattern], lambda g: _date_ms(g, axis.pattern, axis.order))
+        return day + _groups(second, PATTERNS["clock"], lambda g: _clock_ms(g, 1))
     if axis.mode == "pattern":
         return _by_pattern(c, axis.pattern)
     if axis.mode == "parts":  # columns of year, month, day, hour, minute and second, as many as there are
