@@ -106,14 +106,16 @@ def compared(docs: DataFrame, size: int = SIZE) -> DataFrame:
     text without words has no signatures and is alike only to another such text.
     Repeated rows stand next to each other. An empty table gives no rows.
     """
-    own = with_signatures(ranged(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))), "text", "sigs")
+    # texts are brought side by side first: their signatures would take more room in the shuffle
+    rows = ranged(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
     order = Window.partitionBy("_range").orderBy("_halo", F.desc_nulls_last("doc_id"), F.xxhash64("text"))
-    near = own.withColumn("next", F.lead(F.struct("text", "sigs")).over(order)).filter("_halo = 0")
+    near = rows.withColumn("next", F.lead("text").over(order)).filter("_halo = 0")
     n = F.char_length("text")
     cut = F.floor(n / 3).cast("int")
-    edited = F.concat(F.substring("text", F.lit(1), n - cut), F.substring(F.col("next.text"), F.lit(1), cut))
-    near = near.select("doc_id", n.cast("long").alias("n_chars"), "sigs", F.col("next.sigs").alias("next_sigs"), edited.alias("edited"))
-    near = with_signatures(near, "edited", "edited_sigs")
+    edited = F.concat(F.substring("text", F.lit(1), n - cut), F.substring("next", F.lit(1), cut))
+    near = near.select("doc_id", n.cast("long").alias("n_chars"), "text", "next", edited.alias("edited"))
+    for text, name in (("text", "sigs"), ("next", "next_sigs"), ("edited", "edited_sigs")):
+        near = with_signatures(near, text, name)
     return near.select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), shown(F.col("sigs"), size).alias("fingerprint"), shown(F.col("edited_sigs"), size).alias("edited_fingerprint"),
         likeness(F.col("sigs"), F.col("edited_sigs")).alias("near_edited"), likeness(F.col("sigs"), F.col("next_sigs")).alias("near_next"),
