@@ -48,6 +48,46 @@ def missing_buckets(df: DataFrame, time: str, values: list[str], lo: int, hi: in
     return rows.groupBy(b.alias("bucket")).agg(F.count("*").alias("n_total"), F.count_if("bad").alias("n_missing"), F.min("t").alias("t_min"), F.max("t").alias("t_max"))
 
 
+def missing_intervals(buckets: DataFrame, lo: float, hi: float, n: int) -> DataFrame:
+    """What ``missing_buckets`` shows as intervals (kind, t0, t1): ``any`` missing data, and ``solid`` where all of it is.
+
+    The nominal step is the middle one of the steps within and between buckets. Steps of more
+    than 1.5 of it are gaps, a bucket whose samples lie too far apart is one as a whole, and a
+    bucket without a finite value reaches one step over its samples. Intervals that touch are
+    one. There are as many rows as buckets on a screen, which one window holds.
+    """
+    span, step, prev = float(hi - lo), F.col("step"), F.col("prev")
+    b = buckets.filter("n_total > 0").withColumn("prev", F.lag("t_max").over(Window.orderBy("bucket")))
+    width = F.col("t_max") - F.col("t_min")
+    steps = F.array_compact(F.array(F.when((F.col("n_total") > 1) & (width > 0), width / (F.col("n_total") - 1)), F.when(F.col("t_min") > prev, (F.col("t_min") - prev).cast("double"))))
+    sorted_ = b.select(F.explode(steps).alias("s")).agg(F.sort_array(F.collect_list("s")).alias("s"))
+    b = b.crossJoin(F.broadcast(sorted_.select(F.try_element_at("s", F.floor(F.size("s") / 2).cast("int") + 1).alias("step"))))
+    edge = lambda i: lo + i / n * span
+    item = lambda kind, a, z: F.struct(F.lit(kind).alias("kind"), a.cast("double").alias("t0"), z.cast("double").alias("t1"))
+    here = (edge(F.col("bucket")), edge(F.col("bucket") + 1))
+    full = F.col("n_missing") >= F.col("n_total")
+    sides = (F.greatest(F.lit(float(lo)), F.col("t_min") - step), F.least(F.lit(float(hi)), F.col("t_max") + step))
+    found = [
+        (F.col("t_min") - prev > 1.5 * step, (prev, F.col("t_min")), ("any", "solid")),
+        ((F.col("n_total") > 1) & (width > (F.col("n_total") - 0.5) * step), here, ("any", "solid")),
+        (full & step.isNotNull(), sides, ("any", "solid")),
+        (full & step.isNull(), here, ("any", "solid")),
+        ((F.col("n_missing") > 0) & ~full, here, ("any",)),
+    ]
+    rows = b.select(F.explode(F.array_compact(F.array(*[F.when(c, item(k, *ends)) for c, ends, kinds in found for k in kinds]))).alias("i")).select("i.*").filter("t0 < t1")
+    by = Window.partitionBy("kind").orderBy("t0", "t1")
+    seen = F.max("t1").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("new", (seen.isNull() | (F.col("t0") > seen)).cast("int")).withColumn("run", F.sum("new").over(by))
+    return rows.groupBy("kind", "run").agg(F.min("t0").alias("t0"), F.max("t1").alias("t1")).drop("run")
+
+
+def missing_summary(buckets: DataFrame, n: int) -> DataFrame:
+    """Buckets with missing and with some missing data, their share, and whether they are too many to be told apart."""
+    some = F.count_if((F.col("n_missing") > 0) & (F.col("n_missing") < F.col("n_total")))
+    bad = F.count_if((F.col("n_missing") > 0) & (F.col("n_total") > 0))
+    return buckets.agg(bad.alias("missing"), some.alias("partial"), (bad / F.lit(float(n))).alias("coverage"), (some >= max(3, n // 100)).alias("dense"))
+
+
 def panel_stats(df: DataFrame, value: str) -> DataFrame:
     v = clean(value)
     return df.agg(F.min(v).alias("v_min"), F.max(v).alias("v_max"), F.avg(v).alias("v_mean"), F.sqrt(F.avg(v * v)).alias("v_rms"))
@@ -62,9 +102,13 @@ def bounds_count(df: DataFrame, value: str, lo: float, hi: float) -> DataFrame:
     return df.agg(F.count_if((v < lo) | (v > hi)).alias("n_out"), F.count(v).alias("n_finite"))
 
 
-def _pair(df: DataFrame, x: str, y: str) -> DataFrame:
+def _both(x: str, y: str) -> list[Column]:
     both = finite(x) & finite(y)
-    return df.select(F.when(both, col(x).cast("double")).alias("x"), F.when(both, col(y).cast("double")).alias("y"))
+    return [F.when(both, col(x).cast("double")).alias("x"), F.when(both, col(y).cast("double")).alias("y")]
+
+
+def _pair(df: DataFrame, x: str, y: str) -> DataFrame:
+    return df.select(*_both(x, y))
 
 
 def _moments() -> list[Column]:
@@ -76,12 +120,23 @@ def _moments() -> list[Column]:
 
 def correlation(df: DataFrame, x: str, y: str) -> DataFrame:
     """Pearson's r over the rows where both are finite; null if it is undefined."""
-    m = _pair(df, x, y).agg(*_moments())
+    return _correlation(_pair(df, x, y).agg(*_moments()))
+
+
+def correlations(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """``correlation`` and the straight line's b0, b1 and r2 of every pair of columns, in one scan: a row a pair, for a report."""
+    one = lambda x, y: F.struct(F.lit(x).alias("x_name"), F.lit(y).alias("y_name"), *_both(x, y))
+    m = df.select(F.explode(F.array(*[one(x, y) for x, y in pairs])).alias("p")).select("p.*").groupBy("x_name", "y_name").agg(*_moments())
+    b1 = F.when((F.col("n") >= 2) & (F.col("sxx") > 0), F.try_divide("sxy", "sxx"))
+    return _correlation(m, "x_name", "y_name", (F.col("my") - b1 * F.col("mx")).alias("b0"), b1.alias("b1")).withColumn("r2", F.col("r") * F.col("r"))
+
+
+def _correlation(m: DataFrame, *more) -> DataFrame:
     defined = (F.col("n") >= 2) & (F.col("sxx") > 0) & (F.col("syy") > 0)
     r = F.when(defined, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide("sxy", F.sqrt(F.col("sxx") * F.col("syy"))))))
     std = lambda s: F.when(F.col("n") > 1, F.sqrt(F.try_divide(F.col(s), F.col("n") - 1)))
     return m.select(
-        "n", "n_scope", (F.col("n_scope") - F.col("n")).alias("n_excluded"), F.col("mx").alias("mean_x"), F.col("my").alias("mean_y"),
+        *more, "n", "n_scope", (F.col("n_scope") - F.col("n")).alias("n_excluded"), F.col("mx").alias("mean_x"), F.col("my").alias("mean_y"),
         std("sxx").alias("std_x"), std("syy").alias("std_y"), r.alias("r"),
     )
 
@@ -145,16 +200,19 @@ def histogram_edges(df: DataFrame, value: str, bins: int | None = None, width: f
 
 
 def histogram(df: DataFrame, value: str, **how) -> DataFrame:
-    """bin, edges, count, percent, density and cumulative count of every bin of a series."""
+    """bin, edges, count, percent, density and cumulative count of every bin of a series; ``underflow`` and ``overflow`` count the values outside of the edges."""
     edges = histogram_edges(df, value, **how)
     lo, hi, k = edges or (0.0, 1.0, 0)
     w = (hi - lo) / max(k, 1)
-    v = clean(value)
-    inside = df.select(v.alias("v")).filter(F.col("v").between(lo, hi))
-    counts = inside.groupBy(F.least(F.lit(k - 1), F.floor((F.col("v") - lo) / w)).cast("long").alias("bin")).agg(F.count("*").alias("n"))
-    every = df.sparkSession.range(k).withColumnRenamed("id", "bin").join(F.broadcast(counts), "bin", "left").fillna(0, ["n"])
-    total = F.sum("n").over(Window.partitionBy())
-    return every.select(
+    v = F.col("v")
+    place = F.when(v < lo, -1).when(v > hi, k).otherwise(F.least(F.lit(k - 1), F.floor((v - lo) / w))).cast("long")
+    counts = df.select(clean(value).alias("v")).filter("v is not null").groupBy(place.alias("bin")).agg(F.count("*").alias("n"))
+    every = df.sparkSession.range(-1, k + 1).withColumnRenamed("id", "bin").join(F.broadcast(counts), "bin", "left").fillna(0, ["n"])
+    whole = Window.partitionBy()
+    every = every.withColumns({"underflow": F.max(F.when(F.col("bin") == -1, F.col("n"))).over(whole), "overflow": F.max(F.when(F.col("bin") == k, F.col("n"))).over(whole)})
+    total = F.sum("n").over(whole)
+    return every.filter((F.col("bin") >= 0) & (F.col("bin") < k)).select(
         "bin", (lo + F.col("bin") * w).alias("lo"), F.when(F.col("bin") == k - 1, F.lit(hi)).otherwise(lo + (F.col("bin") + 1) * w).alias("hi"), "n",
         F.try_divide(100.0 * F.col("n"), total).alias("percent"), F.try_divide(F.col("n"), total * w).alias("density"), F.sum("n").over(Window.orderBy("bin")).alias("cumulative"),
+        "underflow", "overflow",
     )

@@ -79,6 +79,14 @@ def profile(df: DataFrame, time: str, value: str, key: str, period: str = "day",
     Bins that a period cannot have are not expected of it. ``category`` "daytype"
     splits days into workday, saturday and sunday; "combined" into workday and weekend.
     """
+    return period_bins(df, time, value, key, period, resolution, discard, category, rows).groupBy("category", "bin").agg(
+        F.avg("m").alias("mean"), F.when(F.count("m") > 1, F.stddev_samp("m")).alias("std"), F.count("m").alias("n_periods"), F.count("*").alias("n_expected"),
+        F.coalesce(F.sum("invalid"), F.lit(0)).alias("n_invalid"), F.count("gap").alias("n_gaps"), safe_div(F.count("m").cast("double"), F.count("*").cast("double")).alias("coverage"),
+    )
+
+
+def period_bins(df: DataFrame, time: str, value: str, key: str, period: str = "day", resolution: int = HOUR, discard: bool = False, category=None, rows: int = ROWS) -> DataFrame:
+    """A row for each bin that a period of ``profile`` can have: its mean ``m``, rows ``n``, ``invalid`` ones, ``gap`` (1 if one reaches into it), and whether the period is ``partial``."""
     s = df.select(epoch_ms(time).alias("t"), clean(value).alias("v"), F.col(key).alias("_k")).filter("t is not null")
     start, length = _period(period, F.col("t"))
     s = indexed(s.withColumn("p", start.cast("long")).withColumn("len", length.cast("long")), "t", "_k", rows)
@@ -91,7 +99,7 @@ def profile(df: DataFrame, time: str, value: str, key: str, period: str = "day",
     tol = 1.5 * median_step(s, rows)
     steps = with_previous(s, ["t", "p", "bin"], rows).filter((F.col("prev_p") == F.col("p")) & (F.col("t") - F.col("prev_t") > tol))
     gaps = steps.select("p", F.explode(F.sequence("prev_bin", "bin")).alias("bin")).distinct().withColumn("gap", F.lit(1))
-    by_bin = s.groupBy("p", "bin").agg(F.avg("v").alias("m"), F.count_if(F.col("v").isNull()).alias("invalid"))
+    by_bin = s.groupBy("p", "bin").agg(F.avg("v").alias("m"), F.count("*").alias("n"), F.count_if(F.col("v").isNull()).alias("invalid"))
     lo, hi = s.agg(F.min("t"), F.max("t")).first()
     if lo is None:
         lo = hi = 0
@@ -105,14 +113,10 @@ def profile(df: DataFrame, time: str, value: str, key: str, period: str = "day",
     periods = periods.withColumn("category", kinds[category])
     if discard:
         periods = periods.filter(~F.col("partial") & ~F.col("p_gap") & (F.col("p_invalid") == 0))
-    bins = periods.select("p", "len", "category", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_bins - 1).cast("long"))).alias("bin"))
+    bins = periods.select("p", "len", "category", "partial", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_bins - 1).cast("long"))).alias("bin"))
     at = F.col("bin") * resolution
     if period == "month":
         bins = bins.filter(at < F.col("len"))
     elif period == "year":
         bins = bins.filter((F.col("len") == 366 * DAY) | (at < 59 * DAY) | (at + resolution > 60 * DAY))
-    full = bins.join(by_bin, ["p", "bin"], "left").join(gaps, ["p", "bin"], "left")
-    return full.groupBy("category", "bin").agg(
-        F.avg("m").alias("mean"), F.when(F.count("m") > 1, F.stddev_samp("m")).alias("std"), F.count("m").alias("n_periods"), F.count("*").alias("n_expected"),
-        F.coalesce(F.sum("invalid"), F.lit(0)).alias("n_invalid"), F.count("gap").alias("n_gaps"), safe_div(F.count("m").cast("double"), F.count("*").cast("double")).alias("coverage"),
-    )
+    return bins.join(by_bin, ["p", "bin"], "left").join(gaps, ["p", "bin"], "left")

@@ -187,11 +187,11 @@ def extremum(s: DataFrame, x: float, kind: str = "max", forward: bool = True, ro
     return hit.filter(F.col("t") > x if forward else F.col("t") < x).orderBy("t" if forward else F.desc("t")).limit(1).select("t", "v")
 
 
-def zero_crossing(s: DataFrame, x: float, forward: bool = True, rows: int = ROWS) -> DataFrame:
-    """The time of the next (or previous) zero: a sample at zero, or the root of the line between opposite signs."""
+def zero_crossing(s: DataFrame, x: float, forward: bool = True, rows: int = ROWS, step: bool = False) -> DataFrame:
+    """The time of the next (or previous) zero: a sample at zero, or the root of the line between opposite signs (of a stepped series, where the sign changes)."""
     near = with_previous(s, ["t", "v"], rows).filter(finite("v") & finite("prev_v"))
     root = F.col("prev_t") - F.col("prev_v") * (F.col("t") - F.col("prev_t")) / F.nullif(F.col("v") - F.col("prev_v"), F.lit(0.0))
-    z = F.when(F.col("v") == 0, F.col("t").cast("double")).when(F.col("prev_v") == 0, F.col("prev_t").cast("double")).when(F.col("v") * F.col("prev_v") < 0, root)
+    z = F.when(F.col("v") == 0, F.col("t").cast("double")).when(F.col("prev_v") == 0, F.col("prev_t").cast("double")).when(F.col("v") * F.col("prev_v") < 0, F.col("t").cast("double") if step else root)
     z = near.select(z.alias("t")).filter(F.col("t") > x if forward else F.col("t") < x)
     return z.agg((F.min if forward else F.max)("t").alias("t"))
 

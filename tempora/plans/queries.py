@@ -7,11 +7,12 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..functions import axes
 from ..functions.exprs import DAY, HOUR, epoch_ms
 from ..functions.formula import compile_formula
 from ..operators import aggregates as agg
 from ..operators import calendar as cal
-from ..operators import intervals
+from ..operators import display, intervals, lookup, tools
 from ..operators import series as ser
 from ..operators.ordering import indexed
 from ..operators.spectrum import spectrum
@@ -335,8 +336,8 @@ def spike_outliers(spark, sf):
 
 @query("tool_pipeline", f"WITH {EVENTS}, m AS (SELECT event_id, t, avg(v) OVER (ORDER BY t, event_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS v FROM e), n AS ({_NEAR.replace('FROM e', 'FROM m')}) SELECT event_id AS key, round(sum(coalesce(pv * (t - pt) / 1000.0, 0)) OVER (ORDER BY t, event_id ROWS UNBOUNDED PRECEDING), 3) AS integral FROM n")
 def tool_pipeline(spark, sf):
-    s = ser.moving_average(events(spark, sf), 5).withColumn("v", F.col("ma"))
-    return ser.integral(s, "rectangular").select("key", F.round("integral", 3).alias("integral"))
+    steps = [tools.Step("moving_average", "v", params={"window": 5}), tools.Step("integral", "v", "integral", {"how": "rectangular"})]
+    return tools.replay(events(spark, sf), tools.from_json(tools.to_json(steps))).select("key", F.round("integral", 3).alias("integral"))
 
 
 X = 1_705_000_000_000
@@ -405,8 +406,7 @@ def transform_gain_shift_crop(spark, sf):
 @query("elapsed_axis", f"WITH {EVENTS}, o AS (SELECT min(t) AS o FROM e) SELECT event_id AS key, (t - o) / 1000.0 AS elapsed FROM e, o")
 def elapsed_axis(spark, sf):
     df = table(spark, sf, "events").select(F.col("event_id").alias("key"), epoch_ms("ts").alias("t"))
-    first = df.agg(F.min("t")).first()[0]
-    return df.select("key", ((F.col("t") - F.lit(first)) / 1000.0).alias("elapsed"))
+    return axes.elapsed(df, "t").select("key", "elapsed")
 
 
 @query("derived_formula", "SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount) / l_quantity - sqrt(l_tax) ^ 2, 6) AS y FROM lineitem")
@@ -444,11 +444,14 @@ def _hourly(spark, sf):
     return table(spark, sf, "events").groupBy((F.floor(epoch_ms("ts") / HOUR) * HOUR).cast("long").alias("t")).agg(F.avg("value").alias("v"))
 
 
-@query("spectrum_hann", f"""
+_SPECTRUM = f"""
 WITH h AS (SELECT {MS} // 3600000 AS h, avg(value) AS v FROM events GROUP BY 1), i AS (SELECT row_number() OVER (ORDER BY h) - 1 AS i, v - avg(v) OVER () AS v, count(*) OVER () AS n FROM h),
 w AS (SELECT i, n, v, 0.5 - 0.5 * cos(2 * pi() * i / n) AS w, CAST(2 ^ ceil(log2(n)) AS BIGINT) AS nf FROM i)
 SELECT k, round(CASE WHEN k > 0 AND k < any_value(nf) / 2 THEN 2 ELSE 1 END * sqrt(sum(v * w * cos(2 * pi() * k * i / nf)) ^ 2 + sum(v * w * sin(2 * pi() * k * i / nf)) ^ 2) / sum(w), 6) AS amplitude
-FROM w, range(600) r(k) WHERE k <= nf / 2 GROUP BY k""")
+FROM w, range(600) r(k) WHERE k <= nf / 2 GROUP BY k"""
+
+
+@query("spectrum_hann", _SPECTRUM)
 def spectrum_hann(spark, sf):
     hourly = _hourly(spark, sf)
     s = indexed(hourly, "t", "t").select(F.lit("value").alias("series"), F.col("_i").cast("double").alias("t"), "v")
@@ -530,3 +533,123 @@ def live_append(spark, sf):
 @query("parquet_row_count", "SELECT count(*) AS n FROM lineitem")
 def parquet_row_count(spark, sf):
     return table(spark, sf, "lineitem").agg(F.count("*").alias("n"))
+
+
+@query("spectrum_display", f"""
+WITH s AS ({_SPECTRUM}), n AS (SELECT count(*) AS n FROM s), b AS (SELECT s.*, ((k + 1) * 50 - 1) // n AS b FROM s, n),
+r AS (SELECT *, row_number() OVER (PARTITION BY b ORDER BY amplitude, k) AS lo, row_number() OVER (PARTITION BY b ORDER BY -amplitude, k) AS hi FROM b) SELECT k, amplitude FROM r WHERE lo = 1 OR hi = 1""")
+def spectrum_display(spark, sf):
+    return display.thinned_spectrum(spectrum_hann(spark, sf), 100)
+
+
+@query("prev_zero", f"WITH {EVENTS.replace('value AS v', 'value - 50 AS v')}, n AS ({_NEAR}) SELECT round(max(z), 3) AS t FROM (SELECT CASE WHEN v = 0 THEN t WHEN pv = 0 THEN pt WHEN v * pv < 0 THEN pt - pv * (t - pt) / (v - pv) END AS z FROM n) WHERE z < {X}")
+def prev_zero(spark, sf):
+    return ser.zero_crossing(events(spark, sf).withColumn("v", F.col("v") - 50), X, forward=False).select(F.round("t", 3).alias("t"))
+
+
+@query("next_zero_step", f"WITH {EVENTS.replace('value AS v', 'value - 50 AS v')}, n AS ({_NEAR}) SELECT CAST(min(z) AS DOUBLE) AS t FROM (SELECT CASE WHEN v = 0 THEN t WHEN pv = 0 THEN pt WHEN v * pv < 0 THEN t END AS z FROM n) WHERE z > {X}")
+def next_zero_step(spark, sf):
+    return ser.zero_crossing(events(spark, sf).withColumn("v", F.col("v") - 50), X, step=True)
+
+
+@query("order_violations", f"WITH {EVENTS} SELECT count(*) AS n FROM (SELECT t, lag(t) OVER (ORDER BY event_id) AS p FROM e) WHERE t < p")
+def order_violations(spark, sf):
+    s = indexed(table(spark, sf, "events").select("event_id", epoch_ms("ts").alias("t")), "event_id", "event_id")
+    return spark.range(1).select(F.lit(display.order_violations(s)).cast("long").alias("n"))
+
+
+_ROWS = f"{EVENTS}, i AS (SELECT t, v, row_number() OVER (ORDER BY t, event_id) - 1 AS i, count(*) OVER () AS n FROM e)"
+
+
+@query("phase_stride", f"WITH {_ROWS} SELECT i AS row, t, v FROM i WHERE i % CAST(greatest(1, ceil((n - 1) / 299.0)) AS BIGINT) = 0 OR i = n - 1")
+def phase_stride(spark, sf):
+    return display.phase_stride(ser.phase(events(spark, sf), ["v"]), 300).select(F.col("_i").alias("row"), "t", "v")
+
+
+@query("index_stride", f"WITH {_ROWS}, p AS (SELECT DISTINCT CAST(CASE WHEN k > 198 THEN n - 1 ELSE floor(k * (n - 1) / 199.0 + 0.5) END AS BIGINT) AS i FROM range(200) r(k), (SELECT any_value(n) AS n FROM i)) SELECT i AS row, t, v FROM i JOIN p USING (i)")
+def index_stride(spark, sf):
+    return display.index_stride(events(spark, sf), 200).select(F.col("_i").alias("row"), "t", "v")
+
+
+@query("visible_slice", f"""
+WITH {_ROWS}, c AS (SELECT min(i) - 1 AS a, max(i) + 1 AS z FROM i WHERE t BETWEEN {T0} AND {T1}), j AS (SELECT i.i AS row, t, v, i.i - greatest(0, a) AS i, count(*) OVER () AS n FROM i, c WHERE i.i BETWEEN a AND z),
+b AS (SELECT *, (i - 1) // CAST(ceil((n - 2) / 49.0) AS BIGINT) AS b FROM j WHERE i > 0 AND i < n - 1),
+p AS (SELECT *, row_number() OVER (PARTITION BY b ORDER BY v, i) AS lo, row_number() OVER (PARTITION BY b ORDER BY -v, i) AS hi FROM b)
+SELECT row, t, v FROM p WHERE lo = 1 OR hi = 1 UNION ALL SELECT row, t, v FROM j WHERE i = 0 OR i = n - 1""")
+def visible_slice(spark, sf):
+    return display.visible(events(spark, sf), T0, T1, 100).select(F.col("_i").alias("row"), "t", "v")
+
+
+@query("envelope_gap_breaks", f"""
+WITH b AS (SELECT CAST(least(999, greatest(0, floor((t - {T0}) * 1000 / 604800000.0))) AS BIGINT) AS b, min(t) AS lo, max(t) AS hi, min(v) AS a, max(v) AS z FROM (SELECT {MS} AS t, value AS v FROM events WHERE {RANGE}) GROUP BY 1),
+p AS (SELECT lo AS t, a AS v, 2 * b AS o FROM b UNION ALL SELECT hi, z, 2 * b + 1 FROM b), n AS (SELECT t, v, lead(t) OVER (ORDER BY t, o) AS nt, count(*) OVER () AS n, max(t) OVER () - min(t) OVER () AS span FROM p)
+SELECT t, v, false AS put_in FROM n UNION ALL SELECT t, NULL, true FROM n WHERE nt - t > 1.5 * span / (n / 2)""")
+def envelope_gap_breaks(spark, sf):
+    env = agg.envelope(table(spark, sf, "events"), "ts", ["value"], T0, T1, 2000)
+    return display.gap_breaks(agg.envelope_points(env, "value")).select("t", "v", F.col("_break").alias("put_in"))
+
+
+@query("state_view", """
+WITH s AS (SELECT l_orderkey, l_linenumber, l_quantity AS a, l_discount AS b, l_tax AS da, l_discount - l_tax AS db, sqrt(l_tax * l_tax + (l_discount - l_tax) * (l_discount - l_tax)) AS m FROM lineitem),
+k AS (SELECT *, CASE WHEN m > 1e-12 THEN greatest(abs(a), abs(b), 1) * 0.25 / m ELSE 1 END AS k FROM s) SELECT l_orderkey, l_linenumber, round(a + da * k, 6) AS tip1, round(b + db * k, 6) AS tip2 FROM k""")
+def state_view(spark, sf):
+    df = table(spark, sf, "lineitem").withColumn("rate", F.col("l_discount") - F.col("l_tax"))
+    return display.state_view(df, ["l_quantity", "l_discount"], ["l_tax", "rate"]).select("l_orderkey", "l_linenumber", *r6("tip1", "tip2"))
+
+
+@query("asof_interpolate", f"""
+WITH e AS (SELECT event_id, event_type, {MS} AS t, value AS v FROM events), s AS (SELECT t, arg_max(v, event_id) AS v FROM e WHERE event_type = 'click' GROUP BY t), x AS (SELECT event_id AS key, t + 1800000 AS x FROM e WHERE event_type = 'purchase'),
+a AS (SELECT key, x, s.t AS ta, s.v AS va FROM x ASOF LEFT JOIN s ON x.x >= s.t), b AS (SELECT key, s.t AS tb, s.v AS vb FROM x ASOF LEFT JOIN s ON x.x < s.t)
+SELECT key, x, round(CASE WHEN ta IS NULL THEN vb WHEN tb IS NULL THEN va ELSE va + (vb - va) * (x - ta) / (tb - ta) END, 6) AS v FROM a JOIN b USING (key)""")
+def asof_interpolate(spark, sf):
+    df = table(spark, sf, "events").withColumn("t", epoch_ms("ts"))
+    clicks = ser.duplicate_times(ser.series(df.filter("event_type = 'click'"), "ts", "value", "event_id"))
+    at = df.filter("event_type = 'purchase'").select(F.col("event_id").alias("key"), (F.col("t") + 1_800_000).alias("x"))
+    return lookup.interpolated(clicks, at, "x").select("key", "x", *r6("v"))
+
+
+@query("profile_period_bins", f"""
+WITH {HOLES}, q AS (SELECT *, t - t % 86400000 AS p, t % 86400000 // 3600000 AS bin FROM e), d AS (SELECT t, p, bin, lag(t) OVER w AS pt, lag(p) OVER w AS pp, lag(bin) OVER w AS pb FROM q WINDOW w AS (ORDER BY t, event_id)),
+m AS (SELECT median(t - pt) AS med FROM d WHERE t > pt), g AS (SELECT DISTINCT p, unnest(range(pb, bin + 1)) AS bin, true AS gap FROM d, m WHERE p = pp AND t - pt > 1.5 * med),
+b AS (SELECT p, bin, avg(v) AS m, count(*) AS n, count(*) FILTER (v IS NULL) AS invalid FROM q GROUP BY 1, 2), f AS (SELECT p, i AS bin FROM (SELECT DISTINCT p FROM q), range(24) r(i))
+SELECT p, bin, round(m, 6) AS m, n, invalid, coalesce(gap, false) AS gap FROM f LEFT JOIN b USING (p, bin) LEFT JOIN g USING (p, bin)""")
+def profile_period_bins(spark, sf):
+    df = table(spark, sf, "events").withColumn("value", F.when(F.col("event_id") % 17 != 0, F.col("value")))
+    return cal.period_bins(df, "ts", "value", "event_id").select("p", "bin", *r6("m"), "n", "invalid", F.col("gap").isNotNull().alias("gap"))
+
+
+@query("histogram_manual_range", """
+WITH c AS (SELECT CAST(least(19, floor((o_totalprice - 100000) / 10000.0)) AS BIGINT) AS bin, count(*) AS m FROM orders WHERE o_totalprice BETWEEN 100000 AND 300000 GROUP BY 1), o AS (SELECT CAST(count(*) FILTER (o_totalprice < 100000) AS BIGINT) AS underflow, CAST(count(*) FILTER (o_totalprice > 300000) AS BIGINT) AS overflow FROM orders)
+SELECT CAST(i AS BIGINT) AS bin, coalesce(m, 0) AS n, CAST(sum(coalesce(m, 0)) OVER (ORDER BY i) AS BIGINT) AS cumulative, underflow, overflow FROM range(20) r(i) LEFT JOIN c ON bin = i, o""")
+def histogram_manual_range(spark, sf):
+    return agg.histogram(table(spark, sf, "orders"), "o_totalprice", bins=20, lo=100000.0, hi=300000.0).select("bin", "n", "cumulative", "underflow", "overflow")
+
+
+@query("histogram_constant", "SELECT CAST(0 AS BIGINT) AS bin, 6.5 AS lo, 7.5 AS hi, count(*) AS n FROM orders")
+def histogram_constant(spark, sf):
+    return agg.histogram(table(spark, sf, "orders").withColumn("seven", F.lit(7.0)), "seven").select("bin", "lo", "hi", "n")
+
+
+@query("correlation_report", " UNION ALL ".join(f"""
+SELECT '{x}' AS x_name, '{y}' AS y_name, regr_count({y}, {x}) AS n, round(corr({y}, {x}), 8) AS r, round(regr_intercept({y}, {x}), 4) AS b0, round(regr_slope({y}, {x}), 6) AS b1 FROM lineitem""" for x, y in (("l_quantity", "l_extendedprice"), ("l_discount", "l_tax"))))
+def correlation_report(spark, sf):
+    """The rows of a report as text, written and read again."""
+    path = f"{_folder(spark)}.csv"
+    out = agg.correlations(table(spark, sf, "lineitem"), ser.pairs(["l_quantity", "l_extendedprice", "l_discount", "l_tax"]))
+    out.coalesce(1).write.csv(path, header=True)
+    back = spark.read.schema(out.schema).csv(path, header=True)
+    return back.select("x_name", "y_name", "n", F.round("r", 8).alias("r"), F.round("b0", 4).alias("b0"), F.round("b1", 6).alias("b1"))
+
+
+@query("missing_intervals", f"""
+WITH r AS (SELECT {MS} AS t, CASE WHEN event_id % 17 = 0 THEN NULL ELSE value END AS v FROM events WHERE {RANGE}),
+b AS (SELECT CAST(least(499, greatest(0, floor((t - {T0}) / 604800000.0 * 500))) AS BIGINT) AS b, count(*) AS n, count(*) FILTER (v IS NULL) AS m, min(t) AS lo, max(t) AS hi FROM r GROUP BY 1), p AS (SELECT *, lag(hi) OVER (ORDER BY b) AS prev FROM b),
+c AS (SELECT list_sort(list(s)) AS s FROM (SELECT (hi - lo) / (n - 1) AS s FROM p WHERE n > 1 AND hi > lo UNION ALL SELECT lo - prev FROM p WHERE lo > prev)), k AS (SELECT p.*, s[len(s) // 2 + 1] AS step, {T0} + b / 500 * 604800000.0 AS x, {T0} + (b + 1) / 500 * 604800000.0 AS y FROM p, c),
+i AS (SELECT 'both' AS kind, CAST(prev AS DOUBLE) AS t0, CAST(lo AS DOUBLE) AS t1 FROM k WHERE lo - prev > 1.5 * step UNION ALL SELECT 'both', x, y FROM k WHERE n > 1 AND hi - lo > (n - 0.5) * step
+  UNION ALL SELECT 'both', greatest({T0}, lo - step), least({T1}, hi + step) FROM k WHERE m >= n UNION ALL SELECT 'any', x, y FROM k WHERE m > 0 AND m < n),
+j AS (SELECT 'any' AS kind, t0, t1 FROM i UNION ALL SELECT 'solid', t0, t1 FROM i WHERE kind = 'both'), s AS (SELECT *, max(t1) OVER (PARTITION BY kind ORDER BY t0, t1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM j),
+g AS (SELECT *, sum(CASE WHEN seen IS NULL OR t0 > seen THEN 1 ELSE 0 END) OVER (PARTITION BY kind ORDER BY t0, t1) AS run FROM s) SELECT kind, round(min(t0), 3) AS t0, round(max(t1), 3) AS t1 FROM g GROUP BY kind, run""")
+def missing_intervals(spark, sf):
+    df = table(spark, sf, "events").withColumn("value", F.when(F.col("event_id") % 17 != 0, F.col("value")))
+    out = agg.missing_intervals(agg.missing_buckets(df, "ts", ["value"], T0, T1, 500), T0, T1, 500)
+    return out.select("kind", F.round("t0", 3).alias("t0"), F.round("t1", 3).alias("t1"))
