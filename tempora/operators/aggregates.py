@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import between_ms, bucket, clean, col, epoch_ms, finite
+from .ordering import quantiles
 
 
 def envelope(df: DataFrame, time: str, values: list[str], lo: int, hi: int, max_points: int = 4000) -> DataFrame:
@@ -187,14 +188,16 @@ def fit_curve(df: DataFrame, x: str, coefficients: tuple[float, ...], points: in
 def histogram_edges(df: DataFrame, value: str, bins: int | None = None, width: float | None = None, lo: float | None = None, hi: float | None = None) -> tuple[float, float, int] | None:
     """Lowest edge, highest edge and number of bins: by count, by width, or Freedman-Diaconis with Sturges behind it."""
     v = clean(value)
-    n, a, b, q = df.agg(F.count(v), F.min(v), F.max(v), F.percentile(v, F.array(F.lit(0.25), F.lit(0.75)))).first()
+    n, a, b = df.agg(F.count(v), F.min(v), F.max(v)).first()
     if not n:
         return None
     lo, hi = a if lo is None else lo, b if hi is None else hi
     if lo == hi:
         return lo - 0.5, hi + 0.5, 1
     if bins is None:
-        h = width or 2 * (q[1] - q[0]) / n ** (1 / 3)
+        if not (h := width):
+            q = quantiles(df, v, [0.25, 0.75])[1]
+            h = 2 * (q[1] - q[0]) / n ** (1 / 3)
         bins = min(500 if width else 200, max(1, math.ceil((hi - lo) / h))) if h > 0 else min(200, math.ceil(math.log2(n) + 1))
     return lo, hi, min(500, max(1, bins))
 

@@ -82,7 +82,31 @@ def nearest_valid(df: DataFrame, value: Column, rows: int = ROWS) -> DataFrame:
     return df.withColumn("_prev", F.coalesce("_p", "_pl")).withColumn("_next", F.coalesce("_q", "_nf")).drop("_chunk", "_v", "_p", "_q", "_pl", "_nf")
 
 
+def quantiles(df: DataFrame, value: Column, shares: list[float], rows: int = ROWS) -> tuple[int, list[float | None]]:
+    """The number of non-null values and their exact quantiles, linear between neighbours.
+
+    Values are counted first. Few different ones are put in order in one window; more of them
+    in chunks with running counts, so that no task gathers what grows with the table.
+    """
+    counts = df.select(value.alias("t")).filter("t is not null").groupBy("t").agg(F.count("*").cast("double").alias("n")).persist()
+    try:
+        several, n = counts.agg(F.count("*"), F.sum("n")).first()
+        if not several:
+            return 0, [None] * len(shares)
+        if several <= rows:
+            upto = counts.withColumn("upto", F.sum("n").over(Window.orderBy("t")))
+        else:
+            upto = running_sum(indexed(counts, "t", "t", rows), F.col("n"), "upto", rows)
+        places = [p * (n - 1) for p in shares]
+        at = lambda r: F.min(F.when(F.col("upto") > float(r), F.col("t")))
+        found = upto.agg(*[at(r) for p in places for r in (p // 1, -(-p // 1))]).first()
+        return int(n), [float(lo + (hi - lo) * (p % 1)) for p, lo, hi in zip(places, found[::2], found[1::2], strict=True)]
+    finally:
+        counts.unpersist()
+
+
 def median_step(df: DataFrame, rows: int = ROWS) -> float:
     """The median positive step of the indexed column ``t``; infinite if there is none."""
-    m = with_previous(df.select("_i", "t"), ["t"], rows).filter("t > prev_t").agg(F.median(F.col("t") - F.col("prev_t"))).first()[0]
-    return INF if m is None else float(m)
+    steps = with_previous(df.select("_i", "t"), ["t"], rows).filter("t > prev_t")
+    m = quantiles(steps, F.col("t") - F.col("prev_t"), [0.5], rows)[1][0]
+    return INF if m is None else m

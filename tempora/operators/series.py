@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import NAN, clean, epoch_ms, finite, safe_div
-from .ordering import ROWS, chunked, framed, indexed, median_step, nearest_valid, running_sum, with_previous
+from .ordering import ROWS, chunked, framed, indexed, median_step, nearest_valid, quantiles, running_sum, with_previous
 
 
 def series(df: DataFrame, time: str, value: str, key: str, rows: int = ROWS) -> DataFrame:
@@ -70,7 +70,7 @@ def nan_runs(s: DataFrame, rows: int = ROWS) -> DataFrame:
 
 def iqr_bounds(s: DataFrame, factor: float = 1.5) -> tuple[float, float] | None:
     """Bounds from exact quartiles; None for fewer than four finite values."""
-    n, q = s.agg(F.count(clean("v")), F.percentile(clean("v"), F.array(F.lit(0.25), F.lit(0.75)))).first()
+    n, q = quantiles(s, clean("v"), [0.25, 0.75])
     if n < 4:
         return None
     d = factor * (q[1] - q[0])

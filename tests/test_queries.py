@@ -55,6 +55,16 @@ def test_chunked_equals_plain(spark, rows):
     assert sorted(map(tuple, want)) == sorted(map(tuple, got))
 
 
+@pytest.mark.parametrize("rows", [7, 10_000])
+def test_quantiles_equal_exact_percentiles(spark, rows):
+    df = spark.range(500).select(F.when(F.col("id") % 9 != 0, (F.col("id") * 37 % 101).cast("double")).alias("v"))
+    shares = [0.0, 0.25, 0.5, 0.9, 1.0]
+    want = df.agg(F.percentile("v", F.array(*map(F.lit, shares))), F.count("v")).first()
+    n, got = ordering.quantiles(df, F.col("v"), shares, rows)
+    assert n == want[1] and got == pytest.approx(want[0])
+    assert ordering.quantiles(df.limit(0), F.col("v"), [0.5]) == (0, [None])
+
+
 def test_empty_and_constant(spark):
     none = spark.createDataFrame([], "x double, y double")
     assert aggregates.correlation(none, "x", "y").first().r is None
