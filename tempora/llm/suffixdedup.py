@@ -35,6 +35,7 @@ BROADCAST_BYTES = 48 << 20
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _VALUES = mixed(np.arange(1, 257, dtype=_U) * _U(0xD1342543DE82EF95))
+_OTHERS = mixed(np.arange(1, 257, dtype=_U) * _U(0xA0761D6478BD642F))
 
 
 class Powers:
@@ -56,9 +57,9 @@ class Windows:
 
     def __init__(self, raw: bytes, powers: Powers, length: int = LENGTH, gram: int = GRAM):
         self.n, self.length, self.gram = len(raw), length, gram
-        b = np.frombuffer(raw, np.uint8)
-        up, self.down = powers.of(self.n + 1)
-        self.sums = np.concatenate([np.zeros(1, _U), np.cumsum(_VALUES[b] * up[: self.n], dtype=_U)])
+        self.bytes = b = np.frombuffer(raw, np.uint8)
+        self.up, self.down = powers.of(self.n + 1)
+        self.sums = np.concatenate([np.zeros(1, _U), np.cumsum(_VALUES[b] * self.up[: self.n], dtype=_U)])
         self.grams = mixed((self.sums[gram:] - self.sums[:-gram]) * self.down[: self.n - gram + 1])
         v = (self.grams & _U(0xFFFFFFFF00000000)) | np.arange(len(self.grams), dtype=_U)
         size, width = 1, length - gram + 1
@@ -79,8 +80,11 @@ class Windows:
         lo, hi = self.around(self.anchors)
         return mixed((self.sums[hi] - self.sums[lo]) * self.down[lo] + (self.anchors - lo).astype(_U) * _U(0xA0761D6478BD642F) + (hi - lo).astype(_U))
 
-    def strings(self, starts: np.ndarray) -> np.ndarray:
-        return mixed((self.sums[starts + self.length] - self.sums[starts]) * self.down[starts] + _U(1))
+    def strings(self, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of windows, 64 bits from each of two tables of byte values."""
+        others = np.concatenate([np.zeros(1, _U), np.cumsum(_OTHERS[self.bytes] * self.up[: self.n], dtype=_U)])
+        one, two = (mixed((s[starts + self.length] - s[starts]) * self.down[starts] + _U(1)) for s in (self.sums, others))
+        return one, two
 
 
 def _each(docs: DataFrame, schema: str, work, names: list[str], length: int, gram: int) -> DataFrame:
@@ -125,7 +129,7 @@ def _marks(docs: DataFrame, length: int, gram: int) -> DataFrame:
 
     def windows(i, w: Windows, at):
         starts = np.flatnonzero(np.isin(w.anchor, at[0]))
-        return [w.strings(starts).view(np.int64), np.full(len(starts), i), starts.astype(np.int32)]
+        return [*(h.view(np.int64) for h in w.strings(starts)), np.full(len(starts), i), starts.astype(np.int32)]
 
     often = _each(docs, "gram long", grams, ["gram"], length, gram).groupBy("gram").agg(F.count("*").alias("n"))
     often = saved(often.filter("n > 1").select("gram"))
@@ -140,9 +144,9 @@ def _marks(docs: DataFrame, length: int, gram: int) -> DataFrame:
     discard(often, every, first)
 
     # read twice below: hashing windows again costs less than keeping them
-    strings = _each(_with_marks(docs, opened, "inner"), "string long, _id long, start int", windows, ["string", "_id", "start"], length, gram)
-    least = strings.groupBy("string").agg(F.min(F.struct("_id", "start")).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    later = strings.join(least, "string").filter((F.col("_id") != F.col("first._id")) | (F.col("start") != F.col("first.start")))
+    strings = _each(_with_marks(docs, opened, "inner"), "string long, other long, _id long, start int", windows, ["string", "other", "_id", "start"], length, gram)
+    least = strings.groupBy("string", "other").agg(F.min(F.struct("_id", "start")).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    later = strings.join(least, ["string", "other"]).filter((F.col("_id") != F.col("first._id")) | (F.col("start") != F.col("first.start")))
     later = saved(later.groupBy("_id").agg(F.collect_set("start").alias("_starts")))
     return saved(again.join(later, "_id", "full"))
 
