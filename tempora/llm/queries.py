@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, fillmiddle, htmltext, langid, linededup, minhash, mixing, periodic, quality, spotsigs, suffixdedup, toxicity
+from . import decontam, fillmiddle, htmltext, langid, linededup, minhash, mixing, periodic, quality, spotsigs, suffixdedup, toxicity, triejoin
 
 _ALL = {
     "op1_minhash": (minhash.query, minhash.SQL),
@@ -15,6 +15,7 @@ _ALL = {
     "op8_toxicity": (toxicity.query, None),
     "op9_quality": (quality.query, None),
     "op10_line_dedup": (linededup.query, None),
+    "op11_ngram_join": (triejoin.query, triejoin.SQL),
     "op12_fill_middle": (fillmiddle.query, fillmiddle.SQL),
     "op13_periodic_runs": (periodic.query, periodic.SQL),
 }
