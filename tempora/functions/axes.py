@@ -1,43 +1,13 @@
-"""How a time column is shown: as calendar time, elapsed seconds, row numbers or promoted numbers; and durations as text."""
+"""How a time column is shown: as calendar time, elapsed seconds, row numbers or promoted numbers."""
 
 from __future__ import annotations
 
 import math
-import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Milliseconds of a unit by its names (fixed values).
-UNITS = {
-    1e-9: "ps picosecond picoseconds",
-    1e-6: "ns nanosecond nanoseconds",
-    1e-3: "us microsecond microseconds",
-    1.0: "ms millisecond milliseconds",
-    1e3: "s sec secs second seconds",
-    6e4: "m min mins minute minutes",
-    3.6e6: "h hr hrs hour hours",
-    8.64e7: "d day days",
-    6.048e8: "w week weeks",
-    365.25 * 8.64e7: "y yr yrs year years",
-}
-_MS = {name: ms for ms, names in UNITS.items() for name in names.split()}
-_AMOUNT = re.compile(r"([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)\s*([a-z]*)", re.I)
-_CLOCK = re.compile(r"([+-]?)\s*(?:(\d+(?:\.\d+)?)\s*d(?:ays?)?\s*)?(\d{1,2}):(\d\d)(?::(\d\d(?:\.\d+)?))?", re.I)
-
-
-def duration_ms(text: str | float | None) -> float:
-    """Milliseconds of ``2.5 h``, ``1 d 02:30:00``, ``90`` (ms without a unit); 0 for what is none."""
-    text = "" if text is None else str(text).strip()
-    if m := _CLOCK.fullmatch(text):
-        days, hours, minutes, seconds = (float(x or 0) for x in m.groups()[1:])
-        return (-1 if m[1] == "-" else 1) * (days * 8.64e7 + hours * 3.6e6 + minutes * 6e4 + seconds * 1e3)
-    m = _AMOUNT.fullmatch(text)
-    unit = _MS.get(m[2].lower() or "ms") if m else None
-    return float(m[1]) * unit if unit else 0.0
-
-
 @dataclass(frozen=True)
 class Axis:
     """``kind``: calendar (ms), elapsed (seconds since ``origin``), index (row * ``step`` seconds) or promoted (``origin`` + seconds)."""

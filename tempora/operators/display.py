@@ -89,29 +89,20 @@ def state_view(df: DataFrame, x: list[str], dx: list[str], normalized: bool = Tr
     return df.withColumn("_times", times).withColumns({f"tip{i}": a + r * F.col("_times") for i, (a, r) in enumerate(zip(at, rate, strict=True), 1)}).drop("_times")
 
 
-def zero_padded(traces: DataFrame) -> DataFrame:
-    """Points (trace, x, y) of stacked traces with zeros where other traces begin or end and the trace itself has no data.
+def stacked(traces: DataFrame, beside: float = 2.0**-40) -> DataFrame:
+    """Points (trace, x, y) of traces that are drawn on top of each other: each is zero wherever another begins or ends outside its own support.
 
-    Where a neighbouring end lies outside, the trace falls to zero right beside its own
-    first and last point. Points are those of a screen, so a trace is one window.
+    A trace's support reaches from its first to its last point; where it has zeros to
+    draw beyond an end, it falls to zero right ``beside`` that end, relative to its size.
     """
-    own = Window.partitionBy("trace")
-    points = traces.filter("x is not null and y is not null").select("trace", "x", "y", F.lit(1).alias("_order"))
-    ends = points.groupBy("trace").agg(F.min("x").alias("a"), F.max("x").alias("b"))
-    borders = F.broadcast(ends.agg(F.array_sort(F.array_distinct(F.concat(F.collect_list("a"), F.collect_list("b")))).alias("borders")))
-    steps = points.select("trace", "x").unionByName(ends.crossJoin(borders).select("trace", F.explode("borders").alias("x"))).distinct()
-    steps = steps.withColumn("gap", F.col("x") - F.lag("x").over(own.orderBy("x")))
-    scale = steps.groupBy("trace").agg(F.min("gap").alias("gap"), F.max(F.abs("x")).alias("far"))
-    ends = ends.join(scale, "trace").crossJoin(borders)
-    least = F.greatest(F.coalesce("gap", F.greatest(F.lit(1.0), F.col("far"))) * 1e-9, 16 * 2.0**-52 * F.greatest(F.lit(1.0), F.col("far")), F.lit(1e-12))
-    before = F.array_max(F.filter("borders", lambda x: x < F.col("a")))
-    after = F.array_min(F.filter("borders", lambda x: x > F.col("b")))
-    inner = F.when(F.col("b") > F.col("a"), (F.col("b") - F.col("a")) / 4)
-    zero = lambda x, order: F.struct(x.alias("x"), F.lit(0.0).alias("y"), F.lit(order).alias("_order"))
-    sides = F.array_compact(F.array(
-        F.when(before.isNotNull(), zero(F.col("a") - F.least(least, (F.col("a") - before) / 4, inner), 0)),
-        F.when(after.isNotNull(), zero(F.col("b") + F.least(least, (after - F.col("b")) / 4, inner), 2)),
-    ))
-    outside = F.transform(F.filter("borders", lambda x: (x < F.col("a")) | (x > F.col("b"))), lambda x: zero(x, 1))
-    zeros = ends.select("trace", F.explode(F.concat(sides, outside)).alias("p")).select("trace", "p.x", "p.y", "p._order")
-    return points.unionByName(zeros).dropDuplicates(["trace", "x", "y"]).select("trace", "x", "y")
+    points = traces.select("trace", "x", "y").filter("x is not null and y is not null").distinct()
+    support = points.groupBy("trace").agg(F.min("x").alias("from"), F.max("x").alias("to"))
+    # two rows a trace: the places where the stack changes
+    ends = support.select(F.explode(F.array("from", "to")).alias("x")).distinct()
+    outside = support.join(ends, (F.col("x") < F.col("from")) | (F.col("x") > F.col("to")))
+    left = F.col("x") < F.col("from")
+    near = F.when(left, F.col("from") - beside * F.greatest(F.abs("from"), F.lit(1.0))).otherwise(F.col("to") + beside * F.greatest(F.abs("to"), F.lit(1.0)))
+    # never beyond the place that the zero stands for
+    near = F.when(left, F.greatest("x", near)).otherwise(F.least("x", near))
+    zeros = outside.select("trace", F.explode(F.array("x", near)).alias("x"), F.lit(0.0).alias("y")).distinct()
+    return points.unionByName(zeros)

@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import axes
+from ..functions.durations import duration_ms
 from ..functions.exprs import DAY, HOUR, epoch_ms
 from ..functions.formula import compile_formula
 from ..operators import aggregates as agg
@@ -653,3 +654,24 @@ def missing_intervals(spark, sf):
     df = table(spark, sf, "events").withColumn("value", F.when(F.col("event_id") % 17 != 0, F.col("value")))
     out = agg.missing_intervals(agg.missing_buckets(df, "ts", ["value"], T0, T1, 500), T0, T1, 500)
     return out.select("kind", F.round("t0", 3).alias("t0"), F.round("t1", 3).alias("t1"))
+
+
+@query("duration_parse", """
+SELECT event_id AS key, round(CASE event_id % 4 WHEN 0 THEN user_id * 1000.0 WHEN 1 THEN -(user_id * 86400000.0 + (event_id % 24) * 3600000.0 + (event_id % 60) * 60000.0)
+       WHEN 2 THEN user_id * 3600000.0 + (event_id % 60) * 60000.0 ELSE 0 END, 3) AS ms FROM events""")
+def duration_parse(spark, sf):
+    hours, minutes = F.lpad((F.col("event_id") % 24).cast("string"), 2, "0"), F.lpad((F.col("event_id") % 60).cast("string"), 2, "0")
+    user, form = F.col("user_id").cast("string"), F.col("event_id") % 4
+    text = F.when(form == 0, F.concat(user, F.lit(" s"))).when(form == 1, F.concat(F.lit("-"), user, F.lit(" days "), hours, F.lit(":"), minutes))
+    text = text.when(form == 2, F.concat(user, F.lit("h "), minutes, F.lit("min"))).otherwise(F.concat(user, F.lit(" parsecs")))
+    return table(spark, sf, "events").select(F.col("event_id").alias("key"), F.round(duration_ms(text), 3).alias("ms"))
+
+
+@query("stacked_traces", f"""
+WITH p AS (SELECT o_orderstatus AS trace, CAST({D} // 86400000 AS DOUBLE) AS x, CAST(count(*) AS DOUBLE) AS y FROM orders GROUP BY 1, 2),
+s AS (SELECT trace, min(x) AS a, max(x) AS b FROM p GROUP BY 1), e AS (SELECT a AS x FROM s UNION SELECT b FROM s)
+SELECT trace, x, y FROM p UNION SELECT trace, x, 0.0 FROM s, e WHERE x < a OR x > b
+UNION SELECT trace, greatest(x, a - greatest(abs(a), 1) * pow(2, -40)), 0.0 FROM s, e WHERE x < a UNION SELECT trace, least(x, b + greatest(abs(b), 1) * pow(2, -40)), 0.0 FROM s, e WHERE x > b""")
+def stacked_traces(spark, sf):
+    day = F.floor(epoch_ms("o_orderdate") / DAY).cast("double")
+    return display.stacked(table(spark, sf, "orders").groupBy(F.col("o_orderstatus").alias("trace"), day.alias("x")).agg(F.count("*").cast("double").alias("y")))

@@ -6,7 +6,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tempora.functions.axes import Axis, duration_ms, mapped, stored_range
+from tempora.functions.axes import Axis, mapped, stored_range
+from tempora.functions.durations import duration_ms
 from tempora.operators import aggregates as agg
 from tempora.operators import display, lookup, tools
 from tempora.operators import series as ser
@@ -19,12 +20,15 @@ def frame(spark, t, v):
     return spark.createDataFrame([(i, float(a), None if b is None else float(b)) for i, (a, b) in enumerate(zip(t, v, strict=True))], "_i long, t double, v double")
 
 
-@pytest.mark.parametrize(
-    "text, ms",
-    [("90", 90), ("2.5 h", 9e6), ("-3 min", -1.8e5), ("1 d 02:30:00", 95_400_000), ("-00:01", -60_000), ("7 ps", 7e-9), ("2 us", 2e-3), ("1y", 365.25 * 8.64e7), ("2 weeks", 2 * 6.048e8), ("1 parsec", 0), ("", 0), (None, 0), ("1e3", 1000)],
-)
-def test_durations(text, ms):
-    assert duration_ms(text) == pytest.approx(ms)
+DURATIONS = {
+    "90": 90, "2.5 h": 9e6, "-3 min": -1.8e5, "1 d 02:30:00": 95_400_000, "-00:01": -60_000, "7 ps": 7e-9, "2 us": 2e-3, "1y": 365.25 * 8.64e7, "2 weeks": 2 * 6.048e8, "1 parsec": 0, "": 0, None: 0, "1e3": 1000,
+    "1h 30min": 5.4e6, "+ 2 S": 2000, "1e3s": 1e6, "00:00:01.5": 1500, "00:61": 0, "1:2:3:4": 0, "5 6": 0, "h": 0, "1 h 5": 0, ".5d": 4.32e7, "1..2 s": 0, "-1 d 01:00": -90_000_000,
+}
+
+
+def test_durations(spark):
+    rows = spark.createDataFrame([(t,) for t in DURATIONS], "t string").select("t", duration_ms("t").alias("ms")).collect()
+    assert {r.t: r.ms for r in rows} == {t: pytest.approx(ms) for t, ms in DURATIONS.items()}
 
 
 def test_axes_there_and_back():
@@ -89,11 +93,12 @@ def test_state_arrows(spark):
 
 def test_stacked_traces_have_zeros_outside(spark):
     traces = spark.createDataFrame([("a", 0.0, 1.0), ("a", 4.0, 2.0), ("b", 2.0, 5.0), ("b", 8.0, 6.0)], "trace string, x double, y double")
-    got = {n: sorted((round(r.x, 6), r.y) for r in display.zero_padded(traces).filter(F.col("trace") == n).collect()) for n in "ab"}
+    got = {n: sorted((round(r.x, 6), r.y) for r in display.stacked(traces).filter(F.col("trace") == n).collect()) for n in "ab"}
     assert got["a"] == [(0, 1), (4, 0), (4, 2), (8, 0)]
     assert got["b"] == [(0, 0), (2, 0), (2, 5), (8, 6)]
-    beside = display.zero_padded(traces).filter("trace = 'b' and x < 2 and x > 1").first()
+    beside = display.stacked(traces).filter("trace = 'b' and x < 2 and x > 1").first()
     assert 0 < 2 - beside.x < 1e-6
+    assert display.stacked(traces.filter("trace = 'a'")).count() == 2 and display.stacked(traces.limit(0)).count() == 0
 
 
 def test_missing_intervals(spark):
