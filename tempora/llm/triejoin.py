@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordHashes, saved, scratch, table
+from .common import WordHashes, discard, saved, scratch, table
 from .graph import components
 from .minhash import BROADCAST_NODES, shingle_set
 
@@ -126,21 +126,6 @@ def prefixes(docs: DataFrame, k: int, percent: int, order: Order) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, digest binary, head array<long>")
 
 
-def whole_sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
-    """node and the sorted set of all its shingle hashes, as bytes, for the documents that ``nodes`` lists."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for batch in batches:
-            sets = [shingle_set(raw, k, hashes).tobytes() for raw in batch.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["node", "items"])
-
-    if isinstance(docs.schema["doc_id"].dataType, T.NumericType) and nodes.count() <= BROADCAST_NODES:
-        nodes = F.broadcast(nodes)  # else every text would be shuffled to find a few
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select(F.col("doc_id").alias("node"), "text").join(nodes, "node", "left_semi").mapInArrow(run, f"node {kind}, items binary")
-
-
 class PrefixTree:
     """Sets of numbers as paths of one tree; its branches are cut into steps of a growing number of items."""
 
@@ -263,12 +248,15 @@ def joined(members: list[tuple], queries: list[tuple], own: bool, percent: int)
     return links
 
 
-def _linked(rows: DataFrame, percent: int) -> DataFrame:
-    """(src, dst) found in the shards of ``rows`` (shard, block, member, node, component, items)."""
+def _linked(rows: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """(src, dst) found in the shards of ``rows`` (shard, block, member, node, component).
+
+    Texts travel to the shards and become sets there: they are smaller than their hashes.
+    """
     kind = rows.schema["node"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, members, queries = None, [], []
+        key, members, queries, hashes, links, kind = None, [], [], WordHashes(), [], None
 
         def done() -> list[tuple]:
             if not members or len(members) + len(queries) < 2:
@@ -277,27 +265,30 @@ def _linked(rows: DataFrame, percent: int) -> DataFrame:
 
         for batch in batches:
             shard, block, member, node, component = (batch.column(i).to_pylist() for i in range(5))
-            items, out = batch.column(5), []
+            texts, kind = batch.column(5).cast(pa.binary()), batch.schema.field(3).type
             for i in range(batch.num_rows):
                 if (shard[i], block[i]) != key:
-                    out += done()
+                    links += done()
                     key, members, queries = (shard[i], block[i]), [], []
-                (members if member[i] else queries).append((node[i], np.frombuffer(items[i].as_py(), np.uint64), component[i]))
-            if out:
-                yield _edges(out, batch.schema.field(3).type)
-        out = done() if key else []
-        if out:
-            yield _edges(out, pa.schema(batch.schema).field(3).type)
+                (members if member[i] else queries).append((node[i], shingle_set(texts[i].as_py(), k, hashes), component[i]))
+            if links:
+                yield _edges(links, kind)
+                links = []
+        links += done()
+        if links:
+            yield _edges(links, kind)
 
-    dealt = rows.repartition("shard", "block").sortWithinPartitions("shard", "block")
-    return dealt.select("shard", "block", "member", "node", "component", "items").mapInArrow(run, f"src {kind}, dst {kind}")
+    if isinstance(docs.schema["doc_id"].dataType, T.NumericType) and rows.count() <= BROADCAST_NODES:
+        rows = F.broadcast(rows)  # else every text would be shuffled to find those that are asked for
+    met = docs.select(F.col("doc_id").alias("node"), "text").join(rows, "node").select("shard", "block", "member", "node", "component", "text")
+    return met.repartition("shard", "block").sortWithinPartitions("shard", "block").mapInArrow(run, f"src {kind}, dst {kind}")
 
 
 def _edges(links: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], kind), pa.array([y for _, y in links], kind)], ["src", "dst"])
 
 
-def _asked(members: DataFrame, routes: DataFrame, sets: DataFrame, own: bool, percent: int) -> DataFrame:
+def _asked(members: DataFrame, routes: DataFrame, docs: DataFrame, own: bool, k: int, percent: int) -> DataFrame:
     """The links that the shards of ``members`` (node, shard, component) return to the queries of ``routes`` (node, shard)."""
     blocks = routes.groupBy("shard").agg(F.ceil(F.count("*") / QUERIES).alias("blocks"))
     at = members.join(blocks, "shard", "left" if own else "inner").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
@@ -306,11 +297,21 @@ def _asked(members: DataFrame, routes: DataFrame, sets: DataFrame, own: bool, pe
         at = at.withColumn("block", F.col("block") + 1)  # only block 0 compares its members with each other
     ask = routes.join(blocks, "shard").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int") + (0 if own else 1))
     ask = ask.join(members.select("node", "component"), "node").select("shard", "block", F.lit(False).alias("member"), "node", "component")
-    return saved(_linked(at.unionByName(ask).join(sets, "node"), percent))
+    rows = saved(at.unionByName(ask))
+    met = rows.groupBy("shard", "block").agg(F.count("*").alias("c")).filter("c > 1").select("shard", "block")
+    return saved(_linked(saved(rows.join(met, ["shard", "block"])), docs, k, percent))
+
+
+def _held(at: DataFrame, *more) -> DataFrame:
+    """What each shard has of an item: the least and greatest sizes, and how much of a set there is from the item on at most."""
+    return at.groupBy("item", "shard").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.col("n") - F.col("place")).alias("rest"), *more)
 
 
-def _fits(n: str, least: str, most: str, percent: int):
-    return (100 * F.col(n) >= percent * F.col(least)) & (100 * F.col(most) >= percent * F.col(n))
+def _fits(percent: int):
+    """Whether a class may be similar to one of a shard by their sizes, and by what both have from their first common item on."""
+    sizes = (100 * F.col("n") >= percent * F.col("least")) & (100 * F.col("most") >= percent * F.col("n"))
+    left = F.least(F.col("n") - F.col("place"), F.col("rest"))
+    return sizes & ((100 + percent) * left >= percent * (F.col("n") + F.col("least")))
 
 
 def _shards(tokens: DataFrame) -> DataFrame:
@@ -323,17 +324,16 @@ def _shards(tokens: DataFrame) -> DataFrame:
 
 def _components(docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
     """(id, component) of the classes (node, n, head) that have links."""
-    spread = classes.select("node", "n", F.explode("head").alias("item"))
+    spread = classes.select("node", "n", F.posexplode("head").alias("place", "item"))
     often = saved(spread.groupBy("item").agg(F.count("*").alias("c")).filter("c > 1"))
     tokens = saved(spread.join(often, "item"))
     members = saved(_shards(tokens).withColumn("component", F.col("node")))
-    sets = saved(whole_sets(docs, members.select("node"), k))
-    at = saved(tokens.select("item", "node", "n").join(members.select("node", "shard"), "node"))
+    at = saved(tokens.select("item", "node", "n", "place").join(members.select("node", "shard"), "node"))
+    discard(often, tokens)
 
-    held = at.groupBy("item", "shard").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    first = held.groupBy("item").agg(F.min(F.struct("shard", "least", "most")).alias("f")).select("item", F.col("f.shard").alias("to"), "f.least", "f.most")
-    routes = saved(at.join(first, "item").filter((F.col("to") < F.col("shard")) & _fits("n", "least", "most", percent)).select("node", F.col("to").alias("shard")).distinct())
-    links = _asked(members, routes, sets, True, percent)
+    first = _held(at).groupBy("item").agg(F.min(F.struct("shard", "least", "most", "rest")).alias("f")).select("item", F.col("f.shard").alias("to"), "f.least", "f.most", "f.rest")
+    routes = saved(at.join(first, "item").filter((F.col("to") < F.col("shard")) & _fits(percent)).select("node", F.col("to").alias("shard")).distinct())
+    links = _asked(members, routes, docs, True, k, percent)
     found = saved(components(links))
 
     now = found.withColumnRenamed("id", "node")
@@ -341,13 +341,13 @@ def _components(docs: DataFrame, classes: DataFrame, k: int, percent: int) -> Da
     at = at.join(members.select("node", "component"), "node")
     several = at.groupBy("item").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("shard").alias("s"), F.max("shard").alias("t"))
     rest = saved(at.join(several.filter("lo <> hi and s <> t").select("item"), "item"))
-    held = rest.groupBy("item", F.col("shard").alias("to")).agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    held = _held(rest, F.min("component").alias("lo"), F.max("component").alias("hi")).withColumnRenamed("shard", "to")
     apart = (F.col("lo") != F.col("component")) | (F.col("hi") != F.col("component"))
-    more = rest.join(held, "item").filter((F.col("to") < F.col("shard")) & apart & _fits("n", "least", "most", percent)).select("node", F.col("to").alias("shard")).distinct()
+    more = rest.join(held, "item").filter((F.col("to") < F.col("shard")) & apart & _fits(percent)).select("node", F.col("to").alias("shard")).distinct()
     more = saved(more.join(routes, ["node", "shard"], "left_anti"))
     if more.isEmpty():
         return found
-    again = _asked(members, more, sets, False, percent)
+    again = _asked(members, more, docs, False, k, percent)
     return found if again.isEmpty() else saved(components(links.unionByName(again)))
 
 
@@ -364,9 +364,11 @@ def similar_sets(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
         heads = saved(prefixes(docs, k, percent, frequent(docs, k)))
         classes = heads.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("head").alias("head"))
         classes = saved(classes.filter("node is not null"))
+        ids, own = saved(heads.drop("head")), saved(classes.select("digest", "node"))
+        discard(heads)
         found = _components(docs, classes, k, percent)
-        own = classes.select("digest", "node").join(found.withColumnRenamed("id", "node"), "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
-        out = heads.select("doc_id", "n_shingles", "digest").join(own, "digest", "left")
+        own = own.join(found.withColumnRenamed("id", "node"), "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
+        out = ids.join(own, "digest", "left")
         return keep(out.select("doc_id", "n_shingles", F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")))
 
 
