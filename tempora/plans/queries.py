@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import axes
@@ -459,9 +460,23 @@ def spectrum_hann(spark, sf):
     return spectrum(s, "series", unit=1.0).select("k", *r6("amplitude"))
 
 
-@query("spectrum_db")
+_TYPES = f"""
+WITH h AS (SELECT event_type AS s, {MS} // 86400000 AS h, avg(value) AS v FROM events GROUP BY 1, 2), i AS (SELECT s, row_number() OVER (PARTITION BY s ORDER BY h) - 1 AS i, v - avg(v) OVER (PARTITION BY s) AS v, count(*) OVER (PARTITION BY s) AS n FROM h),
+w AS (SELECT s, i, n, v, 0.42 - 0.5 * cos(2 * pi() * i / n) + 0.08 * cos(4 * pi() * i / n) AS w, 4 * CAST(2 ^ ceil(log2(n)) AS BIGINT) AS nf FROM i),
+a AS (SELECT s, k, CASE WHEN k > 0 AND k < any_value(nf) / 2 THEN 2 ELSE 1 END * sqrt(sum(v * w * cos(2 * pi() * k * i / nf)) ^ 2 + sum(v * w * sin(2 * pi() * k * i / nf)) ^ 2) / sum(w) AS a FROM w, range(3000) r(k) WHERE k <= nf / 2 GROUP BY s, k),
+p AS (SELECT s, max(a) FILTER (k > 0) AS p FROM a GROUP BY s)
+SELECT s AS series, k, round(CASE WHEN p <= 1e-10 THEN -200 ELSE greatest(-200, 20 * log10(greatest(a / p, 1e-10))) END, 4) AS amplitude FROM a JOIN p USING (s)"""
+
+
+@query("spectrum_db", _TYPES)
 def spectrum_db(spark, sf):
-    return spectrum(_hourly(spark, sf).withColumn("series", F.lit("value")), "series", scale="relative_db")
+    """Daily means of each type of event, as three series on their own days."""
+    day = F.floor(epoch_ms("ts") / DAY).cast("long")
+    daily = table(spark, sf, "events").groupBy(F.col("event_type").alias("series"), day.alias("day")).agg(F.avg("value").alias("v"))
+    w = Window.partitionBy("series").orderBy("day")
+    daily = daily.withColumn("t", F.row_number().over(w).cast("double"))
+    out = spectrum(daily, "series", window="blackman", pad=4, scale="relative_db", unit=1.0)
+    return out.select("series", "k", F.round("amplitude", 4).alias("amplitude"))
 
 
 def _folder(spark) -> str:
