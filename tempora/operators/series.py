@@ -5,8 +5,6 @@ Unless said otherwise, a series is a frame of ``_i`` (place), ``t`` (ms or a num
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,61 +84,6 @@ def outliers_iqr(s: DataFrame, factor: float = 1.5) -> DataFrame:
     return outliers_bounds(s, *b) if b else s.withColumn("outlier", F.lit(False))
 
 
-def _spikes(v: np.ndarray, sensitivity: int) -> np.ndarray:
-    """Which values stand out of their 51 neighbours' median in a short run from which the signal returns."""
-    thr, most = max(4, 12 - sensitivity), [1, 2, 3, 4, 5, 6, 8, 10, 13, 16][sensitivity - 1]
-    good, n = np.isfinite(v), len(v)
-
-    def spread(x: np.ndarray, m: float) -> float:
-        s = 1.4826 * np.median(np.abs(x - m))
-        return s if s > 0 else max(32 * np.finfo(float).eps * max(1, abs(m)), 1e-12)
-
-    flag = np.zeros(n, bool)
-    for i in np.flatnonzero(good):
-        x = v[max(0, i - 25) : i + 26]
-        x = x[np.isfinite(x)]
-        if len(x) >= 3:
-            m = np.median(x)
-            flag[i] = abs(v[i] - m) > thr * spread(x, m)
-    out, i = np.zeros(n, bool), 0
-    while i < n:
-        if not flag[i]:
-            i += 1
-            continue
-        j = i
-        while j + 1 < n and flag[j + 1]:
-            j += 1
-        if j - i + 1 <= most:
-            a, b = i, j
-            lo, hi = v[max(0, a - 25) : a], v[b + 1 : b + 26]
-            lo, hi = lo[np.isfinite(lo)], hi[np.isfinite(hi)]
-            if len(lo) and len(hi):
-                around = np.concatenate([lo, hi])
-                m = np.median(around)
-                s = thr * spread(around, m)
-                run = np.median(v[i : j + 1])
-                like = max(s, 32 * np.finfo(float).eps * max(1, abs(run)), 1e-12)  # how far the run's own values may be
-                while a > 0 and np.isfinite(v[a - 1]) and abs(v[a - 1] - run) <= like and b - a + 1 <= most:
-                    a -= 1
-                while b + 1 < n and np.isfinite(v[b + 1]) and abs(v[b + 1] - run) <= like and b - a + 1 <= most:
-                    b += 1
-                out[i : j + 1] = abs(np.median(lo) - np.median(hi)) <= s and b - a + 1 <= most and abs(run - m) > s
-        i = j + 1
-    return out
-
-
-def outliers_spike(s: DataFrame, sensitivity: int = 6, rows: int = 50_000) -> DataFrame:
-    """``s`` with ``outlier``; chunks of rows carry 128 rows of their neighbours, which is as far as a decision reaches."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_i")
-        pdf["outlier"] = _spikes(pdf["v"].to_numpy(float), sensitivity)
-        return pdf.loc[~pdf["_halo"], ["_i", "outlier"]]
-
-    flags = chunked(s.select("_i", "v"), 128, 128, rows).groupBy("_chunk").applyInPandas(run, "_i long, outlier boolean")
-    return s.join(flags, "_i")
-
-
 def replaced(s: DataFrame, how: str = "nan", rows: int = ROWS) -> DataFrame:
     """``v`` of outliers set to NaN, or to the line between the nearest valid rows by place (NaN at the ends)."""
     valid = F.when(finite("v") & ~F.col("outlier"), F.col("v"))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.formula import compile_formula
 from . import series as ser
+from . import sliding
 
 #: Tool -> (operator, the column it gives).
 TOOLS: dict[str, tuple[Callable[..., DataFrame], str]] = {
@@ -22,7 +23,7 @@ TOOLS: dict[str, tuple[Callable[..., DataFrame], str]] = {
     "moving_average": (ser.moving_average, "ma"),
     "outliers_iqr": (lambda s, factor=1.5, how="nan": ser.replaced(ser.outliers_iqr(s, factor), how), "v"),
     "outliers_bounds": (lambda s, lo, hi, how="nan": ser.replaced(ser.outliers_bounds(s, lo, hi), how), "v"),
-    "outliers_spike": (lambda s, sensitivity=6, how="nan": ser.replaced(ser.outliers_spike(s, sensitivity), how), "v"),
+    "outliers_spike": (lambda s, sensitivity=6, how="nan": ser.replaced(sliding.outliers_spike(s, sensitivity), how), "v"),
     "bounds_mask": (ser.bounds_mask, "v"),
 }
 

@@ -14,7 +14,7 @@ from ..functions.exprs import DAY, HOUR, epoch_ms
 from ..functions.formula import compile_formula
 from ..operators import aggregates as agg
 from ..operators import calendar as cal
-from ..operators import display, intervals, lookup, tools
+from ..operators import display, intervals, lookup, sliding, tools
 from ..operators import series as ser
 from ..operators.ordering import indexed
 from ..operators.spectrum import spectrum
@@ -330,10 +330,30 @@ def outliers_iqr_interpolate(spark, sf):
     return out.select("key", F.round(F.nanvl("v", F.lit(None)), 6).alias("v"))
 
 
-@query("spike_outliers")
+_EPS32 = "32 * pow(2, -52)"
+
+
+@query("spike_outliers", f"""
+WITH {EVENTS}, x AS (SELECT event_id AS key, t, CASE WHEN event_id % 97 = 0 THEN v * 10 ELSE v END AS v, row_number() OVER (ORDER BY t, event_id) - 1 AS i FROM e),
+m AS (SELECT *, median(v) OVER w AS med, 1.4826 * mad(v) OVER w AS s, count(v) OVER w AS n FROM x WINDOW w AS (ORDER BY i ROWS BETWEEN 25 PRECEDING AND 25 FOLLOWING)),
+f AS (SELECT i, i - row_number() OVER (ORDER BY i) AS g FROM m WHERE n >= 3 AND abs(v - med) > 6 * CASE WHEN s > 0 THEN s ELSE greatest({_EPS32} * greatest(1, abs(med)), 1e-12) END),
+r AS (SELECT min(i) AS a, max(i) AS b FROM f GROUP BY g HAVING count(*) <= 6),
+d AS (SELECT a, b, median(v) FILTER (i < a) AS lo, median(v) FILTER (i > b) AS hi, median(v) FILTER (i < a OR i > b) AS med, 1.4826 * mad(v) FILTER (i < a OR i > b) AS s, median(v) FILTER (i BETWEEN a AND b) AS run
+      FROM r JOIN x ON i BETWEEN a - 25 AND b + 25 GROUP BY a, b),
+u AS (SELECT *, 6 * CASE WHEN s > 0 THEN s ELSE greatest({_EPS32} * greatest(1, abs(med)), 1e-12) END AS far FROM d),
+l AS (SELECT a, b, any_value(lo) AS lo, any_value(hi) AS hi, any_value(med) AS med, any_value(run) AS run, any_value(far) AS far,
+             a - 1 - coalesce(max(i) FILTER (i < a AND abs(v - run) > greatest(far, {_EPS32} * greatest(1, abs(run)), 1e-12)), greatest(a - 8, -1)) AS left_,
+             coalesce(min(i) FILTER (i > b AND abs(v - run) > greatest(far, {_EPS32} * greatest(1, abs(run)), 1e-12)), max(i) + 1) - b - 1 AS right_ FROM u JOIN x ON i BETWEEN a - 7 AND b + 7 GROUP BY a, b)
+SELECT key, v FROM x JOIN l ON i BETWEEN a AND b WHERE lo IS NOT NULL AND hi IS NOT NULL AND abs(lo - hi) <= far AND b - a + 1 + left_ + right_ <= 6 AND abs(run - med) > far""")
 def spike_outliers(spark, sf):
     s = events(spark, sf).withColumn("v", F.when(F.col("key") % 97 == 0, F.col("v") * 10).otherwise(F.col("v")))
-    return ser.outliers_spike(s).filter("outlier").select("key", "v")
+    return sliding.outliers_spike(s).filter("outlier").select("key", "v")
+
+
+@query("rolling_median", f"""
+WITH {HOLES} SELECT event_id AS key, count(v) OVER w AS n, round(median(v) OVER w, 6) AS median, round(mad(v) OVER w, 6) AS mad FROM e WINDOW w AS (ORDER BY t, event_id ROWS BETWEEN 25 PRECEDING AND 25 FOLLOWING)""")
+def rolling_median(spark, sf):
+    return sliding.rolling_median(holes(spark, sf)).select("key", "n", *r6("median", "mad"))
 
 
 @query("tool_pipeline", f"WITH {EVENTS}, m AS (SELECT event_id, t, avg(v) OVER (ORDER BY t, event_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS v FROM e), n AS ({_NEAR.replace('FROM e', 'FROM m')}) SELECT event_id AS key, round(sum(coalesce(pv * (t - pt) / 1000.0, 0)) OVER (ORDER BY t, event_id ROWS UNBOUNDED PRECEDING), 3) AS integral FROM n")
