@@ -19,7 +19,7 @@ from ..operators import series as ser
 from ..operators.ordering import indexed
 from ..operators.spectrum import spectrum
 from ..sources import delimited
-from ..streaming import live
+from ..streaming import live, tail
 from .registry import query, table
 
 T0, T1 = 1_704_412_800_000, 1_705_017_600_000  # 2024-01-05 and 2024-01-12
@@ -566,6 +566,23 @@ def live_append(spark, sf):
     return at.view()
 
 
+@query("tail_stream", f"SELECT event_id, {MS} AS t, event_type FROM events")
+def tail_stream(spark, sf):
+    """The events as text files that a stream follows, read by ranges of bytes and written by its batches."""
+    text, out = _folder(spark), _folder(spark)
+    table(spark, sf, "events").select(F.concat_ws(";", "event_id", epoch_ms("ts"), "event_type")).write.text(text)
+    spark.dataSource.register(tail.TailSource)
+    part = F.split("line", ";")
+    rows = spark.readStream.format("tail").option("path", text).option("splitBytes", 1 << 20).load()
+    rows = rows.select(part[0].cast("long").alias("event_id"), part[1].cast("long").alias("t"), part[2].alias("event_type"))
+    run = rows.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").start()
+    try:
+        run.processAllAvailable()
+    finally:
+        run.stop()
+    return spark.read.parquet(f"{out}/rows")
+
+
 @query("parquet_row_count", "SELECT count(*) AS n FROM lineitem")
 def parquet_row_count(spark, sf):
     return table(spark, sf, "lineitem").agg(F.count("*").alias("n"))

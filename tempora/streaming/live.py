@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .log import Commit, CommitLog, Conflict
+
 #: Rows and bytes that may be appended to a table (fixed values).
 MOST_ROWS, MOST_BYTES = 1_000_000, 256 << 20
 
@@ -35,8 +38,11 @@ def check_batch(delta: DataFrame, last: float | None, t: str = "t") -> tuple[int
 class LiveTable:
     """``base`` and the batches written under ``path``, a folder that the driver and all executors share.
 
-    A batch has a folder by its id, so a batch that a stream repeats after a failure replaces itself.
-    With ``generated`` the axis is a generated index: ``t`` of new rows goes on from the number of rows so far.
+    A batch is written to a folder of its own, checked there, and becomes visible by a commit
+    (`log.CommitLog`) that holds the totals so far: an append reads its own batch and the newest
+    commit, not what was appended before. What has no commit is not part of the table. A batch
+    that a stream repeats after a failure is passed over. With ``generated`` the axis is a generated index: ``t`` of new rows goes
+    on from the number of rows so far.
     """
 
     base: DataFrame
@@ -46,45 +52,69 @@ class LiveTable:
     most_rows: int = MOST_ROWS
     most_bytes: int = MOST_BYTES
 
-    def _parts(self) -> list[tuple[int, str, int]]:
-        """Id, folder and bytes of each batch written."""
-        spark = self.base.sparkSession
-        top = spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        if not fs.exists(top):
-            return []
-        found = [(int(s.getPath().getName().split("=")[1]), s.getPath().toString(), fs.getContentSummary(s.getPath()).getLength()) for s in fs.listStatus(top) if s.getPath().getName().startswith("batch=")]
-        return sorted(found)
-
-    def appended(self, before: int | None = None) -> DataFrame:
-        """The rows of the batches (with an id below ``before``)."""
-        paths = [p for i, p, _ in self._parts() if before is None or i < before]
+    def __post_init__(self) -> None:
+        self.log = CommitLog(self.base.sparkSession, f"{self.path}/_log")
+
+    def _started(self) -> Commit:
+        """The newest commit; the first one, of version 0, counts the base."""
+        found = self.log.newest()
+        if found is None:
+            n, last = self.base.agg(F.count("*"), F.max(self.t)).first()
+            try:
+                self.log.add(Commit(0, -1, None, n, 0, last, 0, 0))
+            except Conflict:
+                pass  # another writer has counted it
+            found = self.log.newest()
+        return found
+
+    def appended(self) -> DataFrame:
+        """The rows of the committed batches."""
         spark = self.base.sparkSession
+        paths = [f"{self.path}/{x}" for x in self.log.folders(self.log.newest())]
         return spark.read.schema(self.base.schema).parquet(*paths) if paths else spark.createDataFrame([], self.base.schema)
 
     def view(self) -> DataFrame:
         return self.base.unionByName(self.appended())
 
     def append(self, delta: DataFrame, batch: int) -> int:
-        """Checks and adds a batch and returns its rows; for ``foreachBatch``. Nothing of a rejected batch is written."""
+        """Checks and adds a batch and returns its rows; for ``foreachBatch``. Nothing of a rejected batch becomes visible, and its files are deleted."""
         mine, theirs = ([(f.name, f.dataType) for f in d.schema if not (self.generated and f.name == self.t)] for d in (self.base, delta))
         if mine != theirs:
             raise RejectedBatch(f"columns {theirs} instead of {mine}")
-        so_far = self.appended(before=batch)
-        rows = so_far.count()
+        newest = self._started()
+        before = newest
+        while before.batch > batch:
+            before = self.log.commit(before.version - 1)
+        if before.batch == batch:
+            return before.rows
+        if newest.batch > batch:
+            raise RejectedBatch(f"batch {batch} comes after {newest.batch}")
         if self.generated:
             from ..sources.delimited import physical_number
 
-            start = self.base.count() + rows
+            first = self.log.commit(0).rows + newest.total_rows
             numbered = physical_number(delta.withColumn("_row", F.monotonically_increasing_id()), "_row")
-            delta = numbered.withColumn(self.t, (F.col("_n") + start).cast(self.base.schema[self.t].dataType)).select(*self.base.columns)
-        last = self.base.select(self.t).unionByName(so_far.select(self.t)).agg(F.max(self.t)).first()[0]
-        n, _ = check_batch(delta, last, self.t)
-        if rows + n > self.most_rows:
-            raise RejectedBatch(f"more than {self.most_rows} rows would be appended")
-        if sum(size for i, _, size in self._parts() if i != batch) >= self.most_bytes:
-            raise RejectedBatch(f"more than {self.most_bytes} bytes are appended")
-        if n:
-            valid = delta.filter(F.col(self.t).isNotNull() & ~F.isnan(F.col(self.t).cast("double")))
-            valid.write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
+            delta = numbered.withColumn(self.t, (F.col("_n") + first).cast(self.base.schema[self.t].dataType)).select(*self.base.columns)
+        folder = f"batch-{batch}-{uuid.uuid4().hex}"
+        delta.filter(F.col(self.t).isNotNull() & ~F.isnan(F.col(self.t).cast("double"))).write.parquet(f"{self.path}/{folder}")
+        try:
+            n, last = check_batch(self.base.sparkSession.read.schema(self.base.schema).parquet(f"{self.path}/{folder}"), newest.last, self.t)
+            size = self._bytes(folder)
+            if newest.total_rows + n > self.most_rows:
+                raise RejectedBatch(f"more than {self.most_rows} rows would be appended")
+            if n and newest.total_bytes + size > self.most_bytes:
+                raise RejectedBatch(f"more than {self.most_bytes} bytes would be appended")
+            if n:
+                self.log.add(Commit(newest.version + 1, batch, folder, n, size, last, newest.total_rows + n, newest.total_bytes + size))
+            else:
+                self._delete(folder)
+        except (RejectedBatch, Conflict):
+            self._delete(folder)
+            raise
         return n
+
+    def _bytes(self, folder: str) -> int:
+        return self.log.fs.getContentSummary(self.log._fs_package.Path(f"{self.path}/{folder}")).getLength()
+
+    def _delete(self, folder: str) -> None:
+        self.log.fs.delete(self.log._fs_package.Path(f"{self.path}/{folder}"), True)

@@ -1,5 +1,6 @@
 """Growing files, batches that must not be appended, live tables; and the rules of series that streams and cursors share."""
 
+import random
 import time
 
 import pytest
@@ -15,16 +16,80 @@ def points(spark, *rows):
     return spark.createDataFrame([(float(t), float(v)) for t, v in rows], "t double, v double")
 
 
-def test_only_complete_lines_are_read(tmp_path):
+def read_ranges(path, start, end, split):
+    reader = tail.TailReader(str(path), "utf-8", split, 1 << 20)
+    return [(r.file, r.offset, r.line) for part in reader.partitions(start, end) for b in reader.read(part) for r in map(lambda x: type("R", (), x), b.to_pylist())]
+
+
+def test_only_complete_lines_are_planned(tmp_path):
     path = tmp_path / "x.csv"
     path.write_bytes(b"a,1\nb,2\nc")
-    assert tail.complete_lines(str(path), 0) == ([b"a,1", b"b,2"], 8)
-    assert tail.complete_lines(str(path), 8) == ([], 8)
+    reader = tail.TailReader(str(path), "utf-8", 8, 1 << 20)
+    assert reader.initialOffset() == {} and reader.latestOffset() == {str(path): 8}
+    assert reader.partitions({}, {str(path): 8}) and reader.latestOffset() == {str(path): 8}
     path.write_bytes(b"a,1\nb,2\nc,3\n")
-    assert tail.complete_lines(str(path), 8) == ([b"c,3"], 12)
-    assert tail.complete_lines(str(path), 0, most=2) == ([b"a,1"], 4)
+    assert reader.latestOffset() == {str(path): 12}
+    path.write_bytes(b"a,1\n")
     with pytest.raises(ValueError):
-        tail.complete_lines(str(path), 13)
+        reader.latestOffset()
+    path.unlink()
+    with pytest.raises(ValueError):
+        reader.latestOffset()
+
+
+def test_batches_are_bounded_and_long_lines_whole(tmp_path, monkeypatch):
+    monkeypatch.setattr(tail, "LOOK", 3)
+    path = tmp_path / "x.csv"
+    path.write_bytes(b"aa\nbb\n" + b"c" * 40 + b"\ndd\n")
+    reader, seen = tail.TailReader(str(path), "utf-8", 4, 7), []
+    reader.initialOffset()
+    at = {}
+    while (end := reader.latestOffset()) != at:
+        seen.append([r["line"] for part in reader.partitions(at, end) for b in reader.read(part) for r in b.to_pylist()])
+        at = end
+    assert seen == [["aa", "bb"], ["c" * 40], ["dd"]]
+    # a query that goes on from its checkpoint plans all that is there, and never goes back
+    assert tail.TailReader(str(path), "utf-8", 4, 7).latestOffset() == at
+
+
+@pytest.mark.parametrize("split", [1, 2, 3, 7, 1000])
+def test_ranges_give_each_line_once(tmp_path, monkeypatch, split):
+    monkeypatch.setattr(tail, "LOOK", 2)
+    rng = random.Random(split)
+    for name in ("b.csv", "a.csv", "_skipped", ".hidden"):
+        (tmp_path / name).write_bytes(b"".join(bytes(rng.choices(b"xyz\r", k=rng.choice((0, 1, 2, 9)))) + b"\n" for _ in range(30)))
+    end = {k: v for k, v in tail.sizes(str(tmp_path)).items()}
+    assert [k.split("/")[-1] for k in sorted(end)] == ["a.csv", "b.csv"]
+    got, want = read_ranges(tmp_path, {}, end, split), []
+    for file in sorted(end):
+        at = 0
+        for line in open(file, "rb").read().split(b"\n")[:-1]:
+            want.append((file, at, line.removesuffix(b"\r").decode()))
+            at += len(line) + 1
+    assert got == want
+    cut = {file: sum(len(x) + 1 for x in open(file, "rb").read().split(b"\n")[:11]) for file in end}
+    parts = read_ranges(tmp_path, {}, cut, split) + read_ranges(tmp_path, cut, end, split)
+    assert sorted(parts) == sorted(want)
+
+
+def test_several_files_as_a_stream(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    spark.dataSource.register(tail.TailSource)
+    stream = lambda: spark.readStream.format("tail").option("path", f"file://{tmp_path}/in").option("splitBytes", 50).option("batchBytes", 400).load()
+    want = []
+    for day in range(2):  # the second query goes on from the checkpoint of the first
+        for k in range(3):
+            rows = [f"{day}-{k}-{i}" for i in range(40)]
+            want += rows
+            with (tmp_path / "in" / f"f{k}.txt").open("a") as f:
+                f.write("\n".join(rows) + "\n")
+        q = stream().writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").start()
+        try:
+            q.processAllAvailable()
+        finally:
+            q.stop()
+    out = spark.read.parquet(f"{tmp_path}/out").collect()
+    assert sorted(r.line for r in out) == sorted(want) and len({r.file for r in out}) == 3
 
 
 def test_a_growing_file_as_a_stream(spark, tmp_path):
@@ -61,6 +126,47 @@ def test_batches_are_checked(spark, tmp_path):
     assert table.view().count() == 3
 
 
+def test_limits_count_the_batch_itself(spark, tmp_path):
+    table = live.LiveTable(points(spark, (0, 0)), f"file://{tmp_path}/live", most_bytes=100)
+    with pytest.raises(live.RejectedBatch):
+        table.append(spark.range(1, 5000).selectExpr("double(id) as t", "rand() as v"), 0)
+    assert table.view().count() == 1 and not [p for p in (tmp_path / "live").iterdir() if p.name != "_log"]
+
+
+def test_a_half_written_batch_is_invisible(spark, tmp_path):
+    table = live.LiveTable(points(spark, (0, 0)), f"file://{tmp_path}/live")
+    table.append(points(spark, (1, 1)), 0)
+    points(spark, (2, 2)).write.parquet(f"{tmp_path}/live/batch-1-lost")
+    assert table.view().count() == 2 and table.append(points(spark, (2, 5)), 1) == 1
+    assert sorted(map(tuple, table.view().collect())) == [(0, 0), (1, 1), (2, 5)]
+
+
+def test_an_append_reads_the_newest_commit_only(spark, tmp_path):
+    table = live.LiveTable(points(spark, (0, 0)), f"file://{tmp_path}/live")
+    for i in range(4):
+        table.append(points(spark, (i + 1, i)), i)
+    assert table.append(points(spark, (9, 9)), 1) == 1 and table.view().count() == 5  # repeated
+    for name in ("batch-0", "batch-1", "batch-2"):  # data and commits of before are not needed to append
+        for p in (tmp_path / "live").glob(f"{name}-*"):
+            p.rename(p.with_name("away-" + p.name))
+    for v in (1, 2, 3):
+        (tmp_path / "live" / "_log" / f"{v:012d}.json").unlink()
+    table.base = table.base.withColumn("v", F.raise_error(F.lit("the base is read")).cast("double"))
+    assert table.append(points(spark, (5, 5)), 4) == 1
+    assert (table.log.newest().total_rows, table.log.newest().last) == (5, 5.0)
+
+
+def test_of_two_writers_one_wins(spark, tmp_path):
+    table = live.LiveTable(points(spark, (0, 0)), f"file://{tmp_path}/live")
+    table.append(points(spark, (1, 1)), 0)
+    newest = table.log.newest()
+    with pytest.raises(live.Conflict):
+        table.log.add(live.Commit(newest.version, 7, "x", 1, 1, 2.0, 2, 2))
+    assert table.log.newest() == newest
+    (tmp_path / "live" / "_log" / "hint").unlink()  # the hint is only one
+    assert table.log.newest() == newest
+
+
 def test_generated_index_goes_on(spark, tmp_path):
     table = live.LiveTable(points(spark, (0, 5), (1, 6)), f"file://{tmp_path}/live", generated=True)
     for i in range(2):
