@@ -4,9 +4,10 @@
    enough similarity share an item of their prefixes, which are the first items
    that one of them has to have in common with the other. Texts with equal sets are one class, and
    prefix items that several classes have are kept.
-2. Classes are dealt to shards by the most frequent of these items, so that
+2. Classes are dealt to shards by the most frequent of these items and by their size, so that
    near copies meet; what would be too much for a task is salted. A class is a query to the
-   shards that hold a class with an item of its own, and is sent once to a shard however many items they share.
+   shards that share enough of its prefix: where the shorter prefix ends, a set of enough similarity
+   lacks few of the items so far, so most of them are common. It is sent once to a shard however many items they share.
 3. In a task, a shard's whole sets become a prefix tree, the shard's frequent
    items first, so that near copies share long paths. One traversal serves many
    queries: the overlap of a path with each query is counted once for all sets below it, and
@@ -19,6 +20,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -33,7 +35,9 @@ from .graph import components
 from .minhash import BROADCAST_NODES, shingle_set
 
 #: A shard has about so many sets, and so many items of sets, at most; a task so many queries.
-SETS, ITEMS, QUERIES = 1000, 1 << 21, 2000
+SETS, ITEMS, QUERIES = 1000, 1 << 21, 1000
+#: Sizes of the sets of a shard differ by this factor at most.
+BAND = 1.08
 #: An item is noted as frequent if so many texts of one batch have it, and so many items are ordered by frequency at most.
 NOTED, MOST_NOTED = 8, 200_000
 #: Items that a traversal goes through before it looks at the bounds again, at first.
@@ -288,35 +292,49 @@ def _edges(links: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], kind), pa.array([y for _, y in links], kind)], ["src", "dst"])
 
 
-def _asked(members: DataFrame, routes: DataFrame, docs: DataFrame, own: bool, k: int, percent: int) -> DataFrame:
-    """The links that the shards of ``members`` (node, shard, component) return to the queries of ``routes`` (node, shard)."""
-    blocks = routes.groupBy("shard").agg(F.ceil(F.count("*") / QUERIES).alias("blocks"))
-    at = members.join(blocks, "shard", "left" if own else "inner").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    at = at.select("shard", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)).alias("block"), F.lit(True).alias("member"), "node", "component")
-    if not own:
-        at = at.withColumn("block", F.col("block") + 1)  # only block 0 compares its members with each other
-    ask = routes.join(blocks, "shard").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int") + (0 if own else 1))
+def _asked(members: DataFrame, own: DataFrame, routes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The links that the shards of ``members`` (node, shard, component) return to the queries of ``routes`` (node, shard), and of those of ``own`` (node) among themselves."""
+    blocks = routes.groupBy("shard").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("blocks"))
+    here = members.join(own, "node").select("shard", F.lit(0).alias("block"), F.lit(True).alias("member"), "node", "component")
+    at = members.join(blocks, "shard")
+    at = at.select("shard", F.explode(F.sequence(F.lit(1), F.col("blocks"))).alias("block"), F.lit(True).alias("member"), "node", "component")
+    ask = routes.join(blocks, "shard").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int") + 1)
     ask = ask.join(members.select("node", "component"), "node").select("shard", "block", F.lit(False).alias("member"), "node", "component")
-    rows = saved(at.unionByName(ask))
+    rows = saved(here.unionByName(at).unionByName(ask))
     met = rows.groupBy("shard", "block").agg(F.count("*").alias("c")).filter("c > 1").select("shard", "block")
     return saved(_linked(saved(rows.join(met, ["shard", "block"])), docs, k, percent))
 
 
 def _held(at: DataFrame, *more) -> DataFrame:
-    """What each shard has of an item: the least and greatest sizes, and how much of a set there is from the item on at most."""
-    return at.groupBy("item", "shard").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.col("n") - F.col("place")).alias("rest"), *more)
+    """What each shard has of an item: its sets, the least and greatest sizes, and how much of a set there is from the item on at most."""
+    return at.groupBy("item", F.col("shard").alias("to")).agg(F.count("*").alias("sets"), F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.col("n") - F.col("place")).alias("rest"), *more)
 
 
-def _fits(percent: int):
-    """Whether a class may be similar to one of a shard by their sizes, and by what both have from their first common item on."""
+def _routes(at: DataFrame, held: DataFrame, percent: int, also) -> DataFrame:
+    """(node, shard) of the classes of ``at`` that may be similar to one that a shard holds.
+
+    With one size m of the shard's, 1. the sizes fit, 2. what both have from their
+    first common item on is enough, and 3. so is the number of common prefix items: where the first of the two prefixes
+    ends, the set whose prefix it is lacks n - a items at most, a being the least overlap.
+    """
     sizes = (100 * F.col("n") >= percent * F.col("least")) & (100 * F.col("most") >= percent * F.col("n"))
     left = F.least(F.col("n") - F.col("place"), F.col("rest"))
-    return sizes & ((100 + percent) * left >= percent * (F.col("n") + F.col("least")))
+    some = at.join(held, "item").filter(also & sizes)
+    first = F.max((100 + percent) * left >= percent * (F.col("n") + F.col("least")))
+    some = some.groupBy("node", "to").agg(first.alias("first"), F.count("*").alias("common"), F.first("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most"))
+
+    def enough(m):
+        return F.col("common") >= percent * (F.col("n") + m) / (100 + percent) - percent * F.greatest("n", m) / 100 - 1e-6
+
+    # the bound falls on either side of the class's own size
+    low, high = F.greatest("least", percent * F.col("n") / 100), F.least("most", 100 * F.col("n") / percent)
+    return some.filter(F.col("first") & (enough(low) | enough(high))).select("node", F.col("to").alias("shard"))
 
 
 def _shards(tokens: DataFrame) -> DataFrame:
-    """node, n and shard of each class, by the most frequent of its items (node, n, item, c)."""
+    """node, n and shard of each class, by its size and the most frequent of its items (node, n, item, c)."""
     of = tokens.groupBy("node").agg(F.first("n").alias("n"), F.max(F.struct("c", "item"))["item"].alias("item"))
+    of = of.withColumn("item", F.xxhash64("item", F.floor(F.log(F.col("n")) / math.log(BAND))))
     sizes = of.groupBy("item").agg(F.ceil(F.greatest(F.count("*") / SETS, F.sum("n") / ITEMS)).alias("parts"))
     part = F.pmod(F.xxhash64(F.lit(1), F.col("node")), F.col("parts"))
     return of.join(sizes, "item").select("node", "n", F.when(F.col("parts") <= 1, F.col("item")).otherwise(F.xxhash64("item", part)).alias("shard"))
@@ -331,9 +349,12 @@ def _components(docs: DataFrame, classes: DataFrame, k: int, percent: int) -> Da
     at = saved(tokens.select("item", "node", "n", "place").join(members.select("node", "shard"), "node"))
     discard(often, tokens)
 
-    first = _held(at).groupBy("item").agg(F.min(F.struct("shard", "least", "most", "rest")).alias("f")).select("item", F.col("f.shard").alias("to"), "f.least", "f.most", "f.rest")
-    routes = saved(at.join(first, "item").filter((F.col("to") < F.col("shard")) & _fits(percent)).select("node", F.col("to").alias("shard")).distinct())
-    links = _asked(members, routes, docs, True, k, percent)
+    held = saved(_held(at))
+    first = held.groupBy("item").agg(F.min("to").alias("to"))
+    routes = saved(_routes(at, held.join(first, ["item", "to"]), percent, F.col("to") < F.col("shard")))
+    own = saved(_routes(at, held.filter("sets > 1"), percent, F.col("to") == F.col("shard")).select("node"))
+    discard(held)
+    links = _asked(members, own, routes, docs, k, percent)
     found = saved(components(links))
 
     now = found.withColumnRenamed("id", "node")
@@ -341,13 +362,13 @@ def _components(docs: DataFrame, classes: DataFrame, k: int, percent: int) -> Da
     at = at.join(members.select("node", "component"), "node")
     several = at.groupBy("item").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("shard").alias("s"), F.max("shard").alias("t"))
     rest = saved(at.join(several.filter("lo <> hi and s <> t").select("item"), "item"))
-    held = _held(rest, F.min("component").alias("lo"), F.max("component").alias("hi")).withColumnRenamed("shard", "to")
+    held = _held(rest, F.min("component").alias("lo"), F.max("component").alias("hi"))
     apart = (F.col("lo") != F.col("component")) | (F.col("hi") != F.col("component"))
-    more = rest.join(held, "item").filter((F.col("to") < F.col("shard")) & apart & _fits(percent)).select("node", F.col("to").alias("shard")).distinct()
+    more = _routes(rest, held, percent, (F.col("to") < F.col("shard")) & apart)
     more = saved(more.join(routes, ["node", "shard"], "left_anti"))
     if more.isEmpty():
         return found
-    again = _asked(members, more, docs, False, k, percent)
+    again = _asked(members, own.limit(0), more, docs, k, percent)
     return found if again.isEmpty() else saved(components(links.unionByName(again)))
 
 
