@@ -167,6 +167,46 @@ def test_of_two_writers_one_wins(spark, tmp_path):
     assert table.log.newest() == newest
 
 
+def zoomed(out):
+    return sorted(map(tuple, out.collect()))
+
+
+def test_a_zoom_reads_one_level(spark, tmp_path):
+    wave = spark.range(40_000).selectExpr("double(id) as t", "sin(id / 500.0) * 10 as v")
+    table = live.LiveTable(wave.filter("t < 10000"), f"file://{tmp_path}/live", envelopes=("v",), finest=4.0)
+    for i in range(3):
+        table.append(wave.filter(F.col("t").between(10_000 * (i + 1), 10_000 * (i + 2) - 1)), i)
+    rows = {int(r.t): r.v for r in wave.collect()}
+
+    def cells(lo, hi, width):
+        found = {}
+        for t in range(int(lo // width * width), int((hi // width + 1) * width)):
+            if t in rows:
+                found.setdefault(t // width, []).append(t)
+        return sorted((ts[0], ts[-1], min(rows[t] for t in ts), max(rows[t] for t in ts)) for ts in found.values())
+
+    out = table.zoom(5_000, 25_000, 200)  # 100 cells of 200 at least: 256
+    assert zoomed(out) == cells(5_000, 25_000, 256) and 70 <= out.count() <= 101
+    files = out.inputFiles()
+    assert files and all("/level=6/" in f for f in files)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters" in plan and "GreaterThanOrEqual(cell,19)" in plan
+    assert zoomed(table.overview(400)) == cells(0, 39_999, 256)
+    assert zoomed(table.zoom(100, 300, 200)) == [(t, t, rows[t], rows[t]) for t in range(100, 301)]
+    fine = zoomed(table.zoom(0, 300, 200))  # 301 samples are too many, cells of 4 too wide
+    assert len(fine) == 100 and fine[0] == (0, 2, rows[0], rows[2])
+    with pytest.raises(ValueError):
+        live.LiveTable(wave, f"file://{tmp_path}/other").zoom(0, 1)
+
+
+def test_levels_of_odd_rows(spark, tmp_path):
+    nan = float("nan")
+    odd = points(spark, (-5, 1), (-0.5, nan), (3, 7)).unionByName(spark.createDataFrame([(nan, 1.0), (None, 2.0)], "t double, v double"))
+    table = live.LiveTable(odd.limit(0), f"file://{tmp_path}/live", envelopes=("v",), finest=1.0)
+    assert table.overview().count() == 0 and table.append(odd, 0) == 3
+    assert zoomed(table.zoom(-5, 3, 1)) == [(-5, -0.5, 1, 1), (3, 3, 7, 7)]
+
+
 def test_generated_index_goes_on(spark, tmp_path):
     table = live.LiveTable(points(spark, (0, 5), (1, 6)), f"file://{tmp_path}/live", generated=True)
     for i in range(2):
