@@ -1,12 +1,19 @@
-"""Delimited text: a profile is detected on the first lines, and the whole file is read by it as a plan of Spark columns."""
+"""Delimited text: a profile is detected on the first lines and checked on all of them, and the file is read by it as a plan of Spark columns.
+
+Lines are split by Spark's text reader and parsed as whole lines, so a table's rows don't depend on the
+columns that are asked for. Where quotes hold line ends, the lines of a record are put together by the parity of
+quotes: that of each split is counted first, and splits then know whether they begin within quotes.
+"""
 
 from __future__ import annotations
 
 import csv
 import re
 from collections import Counter
-from dataclasses import dataclass, field
+from collections.abc import Iterator
+from dataclasses import dataclass, field, replace
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +23,9 @@ from .times import TimeAxis, detect_time, time_ms
 #: Lines that detection looks at.
 SAMPLE = 850
 DELIMITERS = (",", ";", "\t", " ")
-_DATE = re.compile(r"\d{1,4}[-/.]\d{1,2}([-/.]\d{1,4})?|\d{1,2}:\d{2}")
+#: A whole cell with a date, a time of day, or both.
+_DAY, _TIME = r"\d{1,4}[-/.]\d{1,2}([-/.]\d{1,4})?", r"\d{1,2}:\d{2}(:\d{2}([.,]\d+)?)?\s*([AaPp]\.?[Mm]\.?)?(Z|[+-]\d{2}:?\d{2})?"
+_DATE = re.compile(rf"{_DAY}([T ]+{_TIME})?|{_TIME}")
 
 
 #: Spark reads Latin-1; where windows-1252 differs from it, its characters are put in.
@@ -38,11 +47,68 @@ class Profile:
     time: TimeAxis
     comma: bool = False
     ignored: tuple[str, ...] = field(default_factory=tuple)
+    #: whether quotes hold line ends
+    quoted: bool = False
+
+
+@dataclass(frozen=True)
+class Counts:
+    """What a file has: rows of the table's width, lines of another one (headers among them), rows without a valid time, and cells of numeric columns that are no numbers."""
+
+    rows: int
+    other_width: int
+    invalid_times: int
+    invalid_cells: dict[str, int]
 
 
 def _lines(spark: SparkSession, path: str, encoding: str) -> DataFrame:
-    """Whole lines in the file's encoding; no character is a separator or a quote."""
-    return spark.read.options(sep="\u0001", quote="\u0000", escape="\u0000", encoding=encoding, maxCharsPerColumn="-1").schema("line string").csv(path)
+    """``line`` and ``_row``: the lines of a file, decoded, and their order. A byte-order mark is left out."""
+    raw = spark.read.text(path)
+    if encoding == LATIN:
+        return raw.select(F.translate(F.decode(F.col("value").cast("binary"), LATIN), _FROM, _TO).alias("line"), F.monotonically_increasing_id().alias("_row"))
+    bare = F.when(F.startswith("value", F.lit("\ufeff")), F.substr("value", F.lit(2))).otherwise(F.col("value"))
+    return raw.select(bare.alias("line"), F.monotonically_increasing_id().alias("_row"))
+
+
+def _quotes(line: Column) -> Column:
+    return F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))
+
+
+def _records(lines: DataFrame) -> DataFrame:
+    """Lines put together where a quote that is open at a line's end goes on in the next."""
+    part = F.shiftright("_row", 33)
+    odd = {r.p: r.odd for r in lines.groupBy(part.alias("p")).agg(F.sum(_quotes(F.col("line")) % 2).alias("odd")).collect()}  # a row a split
+    inside, owner, open_, last = {}, {}, False, -1
+    for p in sorted(odd):
+        inside[p], owner[p] = open_, last
+        if not (open_ and odd[p] == 0):  # the record that is open at its end begins here
+            last = p
+        open_ ^= odd[p] % 2 == 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, first, within, began = [], None, None, None
+        for batch in batches:
+            out = []
+            for line, row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if within is None:
+                    within = inside[row >> 33]
+                    began = within
+                first = row if not held else first
+                held.append(line)
+                within ^= line.count('"') % 2 == 1
+                if not within:
+                    out.append(("\n".join(held), first, owner[first >> 33] if began else None))
+                    held, began = [], False
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else ([], [], []), (pa.string(), pa.int64(), pa.int64()), strict=True)], ["line", "_row", "_owner"])
+        if held:  # open at the end: the next splits have the rest
+            end = owner[first >> 33] if began else first >> 33
+            yield pa.RecordBatch.from_arrays([pa.array(["\n".join(held)]), pa.array([first], pa.int64()), pa.array([end], pa.int64())], ["line", "_row", "_owner"])
+
+    got = lines.mapInArrow(run, "line string, _row long, _owner long")
+    # a part or two of each split
+    parts = got.filter("_owner is not null").groupBy("_owner").agg(F.array_sort(F.collect_list(F.struct("_row", "line"))).alias("p"))
+    joined = parts.select(F.array_join(F.col("p.line"), "\n").alias("line"), F.col("p")[0]["_row"].alias("_row"))
+    return got.filter("_owner is null").select("line", "_row").unionByName(joined)
 
 
 def tokens(line: str, delimiter: str) -> list[str]:
@@ -52,18 +118,21 @@ def tokens(line: str, delimiter: str) -> list[str]:
 
 
 def _value_like(cell: str, comma: bool) -> bool:
-    return number(cell, comma) is not None or bool(_DATE.match(cell.strip()))
+    return number(cell, comma) is not None or bool(_DATE.fullmatch(cell.strip()))
 
 
 def _table(rows: list[list[str]], comma: bool) -> tuple[float, int, int, int]:
     """Score, width, first data row and header row (-1: none) of the best table among the rows."""
     width, _ = Counter(len(r) for r in rows if len(r) > 1).most_common(1)[0] if any(len(r) > 1 for r in rows) else (1, 0)
-    data = [len(r) == width and sum(_value_like(c, comma) for c in r if c.strip()) * 2 >= max(1, sum(bool(c.strip()) for c in r)) and any(c.strip() for c in r) for r in rows]
+    filled = [[c for c in r if c.strip()] for r in rows]
+    least = min(2, width)
+    data = [len(r) == width and sum(_value_like(c, comma) for c in f) >= max(least, (len(f) + 1) // 2) for r, f in zip(rows, filled, strict=True)]
     first = next((i for i, d in enumerate(data) if d and (i + 1 == len(data) or data[i + 1] or i + 2 < len(data) and data[i + 2])), len(rows))
-    named = [i for i in range(first) if len(rows[i]) == width and all(number(c, comma) is None for c in rows[i]) and any(c.strip() for c in rows[i])]
+    named = [i for i in range(first) if len(rows[i]) == width and all(number(c, comma) is None for c in rows[i]) and filled[i]]
     # of two rows of names, the one above has the names, and the lower one the units
     header = named[-2] if len(named) > 1 and named[-1] == named[-2] + 1 and _units(rows[named[-1]]) else named[-1] if named else -1
-    return 20 * sum(data) / max(1, len(rows)) * 100 + 4 * width + 25 * (header >= 0) - 0.5 * max(header, 0), width, first, header
+    skipped = first - header - 1 if header >= 0 else 0
+    return 20 * sum(data) + 4 * width + 25 * (header >= 0) - 0.5 * max(header, 0) - 2 * skipped, width, first, header
 
 
 def _units(row: list[str]) -> bool:
@@ -71,9 +140,14 @@ def _units(row: list[str]) -> bool:
 
 
 def name_and_unit(head: str) -> tuple[str, str]:
-    """``Name [unit]`` or ``Name (unit)`` as its two parts."""
-    m = re.fullmatch(r"\s*(.*?\S)\s*[\[(]([^\[\]()]*)[\])]\s*", head)
-    return (m[1], m[2].strip()) if m else (head.strip(), "")
+    """``Name [unit]``, with any brackets, or ``Name / unit`` as its two parts."""
+    head = head.strip()
+    for opens, closes in ("[]", "()", "{}", "<>"):
+        name, found, rest = head.removesuffix(closes).rpartition(opens)
+        if head.endswith(closes) and found and name.strip() and closes not in rest:
+            return name.strip(), rest.strip()
+    name, found, unit = head.rpartition(" / ")
+    return (name.strip(), unit.strip()) if found and name.strip() and unit.strip() else (head, "")
 
 
 def _unique(names: list[str]) -> list[str]:
@@ -91,22 +165,22 @@ def _unique(names: list[str]) -> list[str]:
     return out
 
 
-def detect(spark: SparkSession, path: str, sample: int = SAMPLE, prefer: str = "DMY") -> Profile:
+def detect(spark: SparkSession, path: str, sample: int = SAMPLE, prefer: str = "DMY", encoding: str | None = None) -> Profile:
     """The profile of a file from its first ``sample`` lines; nothing else is read."""
-    encoding = "UTF-8"
-    lines = [r.line or "" for r in _lines(spark, path, encoding).limit(sample).collect()]
-    if any("�" in x for x in lines):
-        encoding = LATIN
-        lines = [(r.line or "").translate(str.maketrans(_FROM, _TO)) for r in _lines(spark, path, encoding).limit(sample).collect()]
+    lines = [r.line or "" for r in _lines(spark, path, encoding or "UTF-8").limit(sample).collect()]
+    if encoding is None:
+        encoding = "UTF-8"
+        if any("\ufffd" in x for x in lines):
+            return detect(spark, path, sample, prefer, LATIN)
     if not lines:
         return Profile(encoding, ",", 0, [], [], [], TimeAxis("index"))
-    lines[0] = lines[0].removeprefix("﻿")
     best = None
     for delimiter in DELIMITERS:
         rows = [tokens(x, delimiter) for x in lines[:250]]
         comma = delimiter != ","
         score, width, first, header = _table(rows, comma)
-        score += 25 * min(width, 20) + 12 * min(len(rows) - first, 20) - (0 if width > 1 else 1000) - (40 if delimiter == " " else 0)
+        follow = sum(len(r) == width for r in rows[first : first + 50])
+        score += 25 * width + 12 * follow - 0.25 * max(header, 0) - (0 if width > 1 else 10_000)
         if best is None or score > best[0]:
             best = (score, delimiter, width, first, header, comma)
     _, delimiter, width, first, header, comma = best
@@ -126,6 +200,45 @@ def detect(spark: SparkSession, path: str, sample: int = SAMPLE, prefer: str = "
     return Profile(encoding, delimiter, first, names, units, numeric, detect_time(names, rows[:600], comma, prefer), comma)
 
 
+def inspect(spark: SparkSession, path: str, profile: Profile | None = None, sample: int = SAMPLE, prefer: str = "DMY") -> tuple[Profile, Counts]:
+    """The profile of a file, mended by what all its lines say, and what they count.
+
+    Two passes of sums: one over the lines (text that is no UTF-8, quotes that hold line ends), one
+    over the cells. A column is numeric if more than half of its cells are, and a decimal comma
+    is known by any cell that only it makes a number. A profile that fits less than half of the lines is an error.
+    """
+    p = profile or detect(spark, path, sample, prefer)
+    raw = spark.read.text(path)
+    bad, odd = raw.agg(F.count_if(~F.is_valid_utf8("value")), F.count_if(_quotes(F.col("value")) % 2 == 1)).first()
+    if bad and p.encoding != LATIN:
+        p = detect(spark, path, sample, prefer, LATIN)
+    if not p.names:
+        return p, Counts(0, 0, 0, {})
+    p = replace(p, quoted=bool(odd) and p.delimiter != " ")
+    rows = _cells(spark, path, p)
+    fits, cells = F.col("_fits"), [F.trim(F.col(f"`{n}`")) for n in p.names]
+    head = [F.col("_head")]
+    sums = [F.count_if(fits & ~head[0]), F.count_if(~fits)]
+    for c in cells:
+        x, y = number_of(c, p.comma), number_of(c, True)
+        finite = lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))
+        here = fits & ~head[0] & (c != "")
+        with_comma = F.count_if(here & F.contains(c, F.lit(",")) & finite(y)) if p.delimiter != "," and not p.comma else F.lit(0)
+        sums += [F.count_if(here), F.count_if(here & finite(x)), F.count_if(here & x.isNotNull()), with_comma]
+    got = list(rows.agg(*[s.alias(f"s{i}") for i, s in enumerate(sums)]).first())
+    filled, finite_, numbers, commas = (got[2 + k :: 4] for k in range(4))
+    if got[1] > got[0] + 2 * p.skip:
+        raise ValueError(f"{path}: {got[1]} lines have not the {len(p.names)} columns of its first lines")
+    comma = p.comma or any(commas)
+    good = [a + b for a, b in zip(finite_, commas, strict=True)]
+    numeric = [n == 0 or 2 * g > n for n, g in zip(filled, good, strict=True)]
+    p = replace(p, comma=comma, numeric=numeric)
+    lost = rows.filter(fits & ~head[0])
+    invalid = 0 if p.time.mode == "index" else lost.filter(time_ms(p.time, None, comma).isNull()).count()
+    wrong = {n: f - k - c for n, f, k, c, is_number in zip(p.names, filled, numbers, commas, numeric, strict=True) if is_number and n not in p.time.columns and f - k - c}
+    return p, Counts(got[0], got[1], invalid, wrong)
+
+
 def row_filter(column: str, how: str, value: str = "", comma: bool = False) -> Column:
     """``==`` or ``!=`` of trimmed text, or ``is_numeric``."""
     c = F.trim(F.coalesce(F.col(f"`{column}`"), F.lit("")))
@@ -137,43 +250,55 @@ def row_filter(column: str, how: str, value: str = "", comma: bool = False) -> C
     return c == value.strip() if how == "==" else c != value.strip()
 
 
-def text_rows(spark: SparkSession, path: str, profile: Profile) -> DataFrame:
-    """The data rows as text columns, and ``_row``, whose order is that of the file; rows of another width are left out."""
-    width = len(profile.names)
-    if profile.delimiter == " ":
-        raw = _lines(spark, path, profile.encoding).select(F.split(F.trim("line"), r"\s+", -1).alias("c"))
-        raw = raw.filter(F.size("c") == width).select(*[F.col("c")[i].alias(n) for i, n in enumerate(profile.names)])
+def _cells(spark: SparkSession, path: str, profile: Profile) -> DataFrame:
+    """``_row``, the text columns, ``_fits`` (a line has the table's width) and ``_head`` (it is a header), for every line that is not blank."""
+    p, width = profile, len(profile.names)
+    lines = _lines(spark, path, p.encoding)
+    lines = (_records(lines) if p.quoted else lines).filter(F.trim("line") != "")
+    if p.delimiter == " ":
+        cut = lines.select("_row", F.split(F.trim("line"), r"\s+", -1).alias("c"))
+        out = cut.select("_row", *[F.get("c", F.lit(i)).alias(n) for i, n in enumerate(p.names)], (F.size("c") == width).alias("_fits"))
     else:
-        marked = ", ".join([*[f"`{n}` string" for n in profile.names], "_corrupt string"])
-        raw = spark.read.options(sep=profile.delimiter, quote='"', escape='"', encoding=profile.encoding, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt").schema(marked).csv(path)
-        raw = raw.filter("_corrupt is null").drop("_corrupt") if width > 1 else raw.drop("_corrupt")
-    if profile.encoding == LATIN:
-        raw = raw.select(*[F.translate(f"`{n}`", _FROM, _TO).alias(n) for n in profile.names])
-    return raw.withColumn("_row", F.monotonically_increasing_id())
+        marked = ", ".join([*[f"c{i} string" for i in range(width)], "_corrupt string"])
+        options = {"sep": p.delimiter, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
+        cut = lines.select("_row", F.from_csv("line", marked, options).alias("c"))
+        out = cut.select("_row", *[F.col(f"c.c{i}").alias(n) for i, n in enumerate(p.names)], F.col("c._corrupt").isNull().alias("_fits"))
+    # headers are of text where most columns have numbers; each file of a folder may have its own
+    kinds = [F.coalesce(F.trim(F.col(f"`{n}`")), F.lit("")) for n, is_number in zip(p.names, p.numeric, strict=True) if is_number]
+    texts = [(c != "") & number_of(c, p.comma).isNull() for c in kinds]
+    named = F.lit(True)
+    for t in texts:
+        named = named & t
+    return out.withColumn("_head", named if texts else F.lit(False))
+
+
+def text_rows(spark: SparkSession, path: str, profile: Profile) -> DataFrame:
+    """The data rows as text columns, and ``_row``, whose order is that of the file; lines of another width and headers are left out."""
+    return _cells(spark, path, profile).filter("_fits and not _head").drop("_fits", "_head")
 
 
 def read_delimited(spark: SparkSession, path: str, profile: Profile | None = None, keep: Column | None = None) -> DataFrame:
-    """``_row``, ``t`` and the columns of a file; numbers where the profile says so, else text.
+    """``_row``, ``t`` and the columns of a file; numbers where the profile says so, else text. A column's metadata has its ``unit``.
 
-    ``keep`` filters the rows of text. Rows without a valid time are left out: headers
-    and other rows above the data are among them, unless the axis is a generated index, where a row
-    counts if one of its numeric columns has a number. Blank lines are no rows. An empty file gives no rows
+    Without a ``profile``, one is detected and checked on the whole file (`inspect`).
+    ``keep`` filters the rows of text. Rows without a valid time are left out (`inspect` counts them). Where the axis is a generated
+    index, every row has its number, rows of empty cells too. Blank lines are no rows. An empty file gives no rows
     and the column ``t`` only.
     """
-    p = profile or detect(spark, path)
+    p = profile or inspect(spark, path)[0]
     if not p.names:
         return spark.createDataFrame([], "_row long, t double")
     rows = text_rows(spark, path, p)
     if keep is not None:
         rows = rows.filter(keep)
     if p.time.mode == "index":
-        found = [number_of(F.col(f"`{n}`"), p.comma).isNotNull() for n, is_number in zip(p.names, p.numeric, strict=True) if is_number]
-        some = F.lit(False)
-        for f in found:
-            some = some | f
-        rows = physical_number(rows.filter(some) if found else rows, "_row")
+        rows = physical_number(rows, "_row")
     t = time_ms(p.time, F.col("_n") if p.time.mode == "index" else None, p.comma)
-    made = [number_of(F.col(f"`{n}`"), p.comma).alias(n) if is_number else F.col(f"`{n}`") for n, is_number in zip(p.names, p.numeric, strict=True) if n not in p.time.columns and n not in p.ignored]
+    made = []
+    for n, is_number, unit in zip(p.names, p.numeric, p.units, strict=True):
+        if n not in p.time.columns and n not in p.ignored:
+            c = number_of(F.col(f"`{n}`"), p.comma) if is_number else F.col(f"`{n}`")
+            made.append(c.alias(n, metadata={"unit": unit} if unit else {}))
     return rows.select("_row", t.alias("t"), *made).filter("t is not null")
 
 

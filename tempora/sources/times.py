@@ -22,9 +22,9 @@ janeiro fevereiro marco abril maio junho julho agosto setembro outubro novembro
 januar februar marz april mai juni juli august september oktober november dezember
 """
 #: What a header's words say for a time axis (fixed values), and words that say against it.
-KEYWORDS = {"datetime": 1.0, "timestamp": 1.0, "horodatage": 1.0, "date": 0.85, "fecha": 0.85, "data": 0.85, "datum": 0.85, "time": 0.85, "temps": 0.85, "tiempo": 0.85, "zeit": 0.85, "heure": 0.85, "hora": 0.85, "day": 0.55, "jour": 0.55, "dia": 0.55}
-AGAINST = {"index", "id", "week", "count", "number", "std", "avg", "mean"}
-CLOCK_WORDS = {"time", "temps", "tiempo", "zeit", "heure", "hora", "t", "elapsed", "seconds"}
+KEYWORDS = {"datetime": 1.0, "timestamp": 1.0, "horodatage": 1.0, "date": 0.85, "fecha": 0.85, "data": 0.85, "datum": 0.85, "time": 0.85, "temps": 0.85, "tiempo": 0.85, "zeit": 0.85, "heure": 0.85, "horaire": 0.85, "hora": 0.85, "ora": 0.85, "orario": 0.85, "day": 0.55, "jour": 0.55, "dia": 0.55}
+AGAINST = {"index", "idx", "id", "row", "sample", "n", "no", "week", "count", "number", "std", "avg", "mean"}
+CLOCK_WORDS = {"time", "temps", "tiempo", "zeit", "heure", "horaire", "hora", "ora", "orario", "t", "elapsed", "seconds"}
 LEAST_SCORE = 0.30
 
 _CLOCK = r"(\d{1,2}):(\d{2})(?::(\d{2}(?:[.,]\d+)?))?\s*([AaPp]\.?[Mm]\.?)?"
@@ -33,7 +33,7 @@ PATTERNS = {
     "year_month": r"^(\d{4})[-/](\d{1,2})$",
     "slash": r"^(\d{1,4})/(\d{1,2})/(\d{1,4})(?:[T ,]+" + _CLOCK + r")?$",
     "dash": r"^(\d{1,4})[-.](\d{1,2})[-.](\d{1,4})(?:[T ,]+" + _CLOCK + r")?$",
-    "yearless": r"^(\d{1,2})/(\d{1,2})\s+" + _CLOCK + r"$",
+    "yearless": r"^(\d{1,2})[-/](\d{1,2})\s+" + _CLOCK + r"$",
     "clock": r"^" + _CLOCK + r"$",
 }
 
@@ -76,7 +76,7 @@ def _share(cells: list[str], test) -> float:
 
 def _order(cells: list[str], mode: str, prefer: str) -> tuple[str, bool]:
     got = [m for c in cells if (m := re.match(PATTERNS[mode], c))]
-    if any(len(m[1]) == 4 for m in got):
+    if mode != "yearless" and any(len(m[1]) == 4 for m in got):
         return "YMD", False
     if any(int(m[1]) > 12 for m in got):
         return "DMY", False
@@ -107,7 +107,8 @@ def detect_time(names: list[str], rows: list[list[str]], comma: bool = False, pr
                 order, ambiguous = _order(cells, mode, prefer)
                 add(0.5 * head + base + clocked, mode, order=order, ambiguous=ambiguous)
         if share["yearless"] >= 0.8:
-            add(0.5 * head + 0.6, "yearless")
+            order, ambiguous = _order(cells, "yearless", prefer)
+            add(0.5 * head + 0.6, "yearless", order=order, ambiguous=ambiguous)
         if _share(cells, lambda c: _month_name(c, months)) >= 0.8:
             add(0.5 * head + 0.6 + clocked, "month_name")
         if share["clock"] >= 0.8:
@@ -234,7 +235,8 @@ def time_ms(axis: TimeAxis, row: Column | None = None, comma: bool = False) -> C
     if axis.mode == "year_month":
         return _groups(c, PATTERNS["year_month"], lambda g: _day_ms(g(1).try_cast("int"), g(2).try_cast("int"), F.lit(1)))
     if axis.mode == "yearless":
-        return _groups(c, PATTERNS["yearless"], lambda g: _day_ms(F.lit(2001), g(1).try_cast("int"), g(2).try_cast("int")) + _clock_ms(g, 3))
+        day, month = (2, 1) if axis.order == "MDY" else (1, 2)
+        return _groups(c, PATTERNS["yearless"], lambda g: _day_ms(F.lit(2001), g(month).try_cast("int"), g(day).try_cast("int")) + _clock_ms(g, 3))
     if axis.mode == "month_name":
         names = F.filter(F.transform(F.regexp_extract_all(c, F.lit(r"(\p{L}{3,})"), F.lit(1)), _month_of), lambda m: m.isNotNull())
         clock = r"(?:^|[^\d:])" + _CLOCK

@@ -69,7 +69,7 @@ class LiveTable:
         found = self.log.newest()
         if found is None:
             n, first, last = self.base.agg(F.count("*"), F.min(self.t), F.max(self.t)).first()
-            levels = self._levels(self.base, "base")
+            levels = None if first is None else self._levels(self.base, "base")
             try:
                 self.log.add(Commit(0, -1, None, n, 0, last, 0, 0, first, levels))
             except Conflict:  # another writer has counted it

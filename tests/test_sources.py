@@ -1,5 +1,6 @@
 """Delimited text: detection, numbers, times in all forms, filters, and the way to Parquet."""
 
+import random
 from datetime import UTC, datetime
 
 import pytest
@@ -26,7 +27,8 @@ def written(tmp_path, text, encoding="utf-8"):
         ("slash", {"order": "MDY"}, {"12/31/2020 12:05 AM": ms(2020, 12, 31, 0, 5), "12/31/2020 12:05 PM": ms(2020, 12, 31, 12, 5), "1/2/2020 13:00 PM": None}),
         ("dash", {}, {"31.12.2020": ms(2020, 12, 31), "31-12-2020 01:02:03": ms(2020, 12, 31, 1, 2, 3)}),
         ("year_month", {}, {"2020-11": ms(2020, 11, 1), "2020-13": None}),
-        ("yearless", {}, {"2/3 4:05": ms(2001, 2, 3, 4, 5)}),
+        ("yearless", {"order": "MDY"}, {"2/3 4:05": ms(2001, 2, 3, 4, 5)}),
+        ("yearless", {}, {"2/3 4:05": ms(2001, 3, 2, 4, 5), "28-12 08:30": ms(2001, 12, 28, 8, 30)}),
         ("month_name", {}, {"Jan 1 2000": ms(2000, 1, 1), "3 août 2021 10:30": ms(2021, 8, 3, 10, 30), "15 marzo 2020": ms(2020, 3, 15), "März 2019": ms(2019, 3, 1), "foo 2019": None}),
         ("excel", {}, {"25569": 0.0, "25570.5": 1.5 * 86_400_000}),
         ("matlab", {}, {"719529": 0.0}),
@@ -105,3 +107,89 @@ def test_round_trip_to_parquet_and_text(spark, tmp_path):
     assert sorted((r.t, r.v) for r in again.collect()) == sorted((r.t, r.v) for r in df.collect())
     one = spark.range(1).select(delimited.duration_text(F.lit(-90_061_001.0)).alias("d"), delimited.time_text(F.lit(0.0)).alias("t")).first()
     assert tuple(one) == ("-1 01:01:01.001", "1970-01-01 00:00:00.000")
+
+
+def many(tmp_path, line, n=2000, encoding="utf-8"):
+    path = tmp_path / "many.csv"
+    path.write_bytes(b"".join(line(i).encode(encoding if i > 1500 else "ascii") + b"\n" for i in range(-1, n)))
+    return str(path)
+
+
+def test_latin_text_behind_the_sample(spark, tmp_path):
+    path = many(tmp_path, lambda i: "time,v,name" if i < 0 else f"2024-01-01 {i // 60:02d}:{i % 60:02d},{i},{'café' if i > 1500 else 'tea'}", 1439)
+    path = many(tmp_path, lambda i: "n,v,name" if i < 0 else f"{i},{i},{'café €' if i > 1500 else 'tea'}", encoding="cp1252")
+    names = {r.name for r in open_table(spark, path).select("name").distinct().collect()}
+    assert names == {"café €", "tea"}
+
+
+def test_decimal_commas_and_text_behind_the_sample(spark, tmp_path):
+    path = many(tmp_path, lambda i: "n;v;w" if i < 0 else f"{i};{f'{i},5' if i >= 1200 else i};{'x' if i > 900 else 1}")
+    df = open_table(spark, path)
+    assert df.filter("v is null").count() == 0 and df.filter("v = 1999.5").count() == 1
+    assert dict(df.dtypes)["w"] == "string"  # most of its cells are text
+    p, counts = delimited.inspect(spark, many(tmp_path, lambda i: "n;v" if i < 0 else f"{i};{'bad' if i == 1900 else i}"))
+    assert counts == delimited.Counts(2000, 0, 0, {"v": 1}) and p.numeric == [True, True]
+
+
+def test_rows_do_not_depend_on_columns(spark, tmp_path):
+    lines = ["time,a,b", *[f"2024-01-01 00:{i % 60:02d}:{i // 60:02d},{i},{i}" for i in range(200)]]
+    lines[50] += ",9"
+    lines[150] = "2024-01-01 00:01:01,7"
+    path = written(tmp_path, "\n".join(lines))
+    df = open_table(spark, path)
+    assert len(df.collect()) == df.count() == df.select("a").count() == len(df.select("b").collect()) == len(df.select("t").collect()) == 198
+    assert delimited.inspect(spark, path)[1].other_width == 2
+
+
+def test_few_odd_rows_leave_the_delimiter(spark, tmp_path):
+    lines = ["time,a,b", *[f"2024-01-01 00:{i:02d},{i},{2 * i}" for i in range(28)], "2024-01-01 00:40,1", "2024-01-01 00:41,1,2,3"]
+    df = open_table(spark, written(tmp_path, "\n".join(lines)))
+    assert df.columns == ["_row", "t", "a", "b"] and df.count() == 28
+
+
+def test_blank_rows_of_an_index_keep_their_number(spark, tmp_path):
+    lines = ["v,w", *["," if i == 7 else f"{i},{i}" for i in range(20)]]
+    rows = open_table(spark, written(tmp_path, "\n".join(lines))).orderBy("t").collect()
+    assert [r.t for r in rows] == [*range(20)] and rows[7].v is None and all(r.v == r.t for r in rows if r.t != 7)
+
+
+def test_order_of_yearless_dates(spark, tmp_path):
+    lines = ["date,v", *[f"{d}/12 08:30,{d}" for d in range(1, 29)]]
+    rows = open_table(spark, written(tmp_path, "\n".join(lines))).collect()
+    assert [r.t for r in rows] == [ms(2001, 12, d, 8, 30) for d in range(1, 29)]
+    assert times.detect_time(["ora", "v"], [[f"{i}", "1"] for i in range(9)]).mode == "numeric"
+    assert times.detect_time(["time row", "v"], [[f"{i}", "1"] for i in range(9)]).mode == "index"
+
+
+@pytest.mark.parametrize("head", ["speed [m/s]", "speed (m/s)", "speed {m/s}", "speed <m/s>", "speed / m/s"])
+def test_units_travel_with_columns(spark, tmp_path, head):
+    df = open_table(spark, written(tmp_path, f"time,{head},b\n" + "".join(f"2024-01-0{i},{i},{i}\n" for i in range(1, 6))))
+    assert df.schema["speed"].metadata == {"unit": "m/s"} and df.schema["b"].metadata == {}
+    assert df.filter("speed > 2").orderBy("t").select("speed").schema["speed"].metadata == {"unit": "m/s"}
+
+
+@pytest.mark.parametrize("split", [40, 97, 1 << 20])
+def test_quoted_line_ends_in_splits(spark, tmp_path, split):
+    """Splits may begin within quotes, and lie in them as a whole."""
+    rng, lines, want = random.Random(3), ["t,v,note"], []
+    for i in range(60):
+        note = "".join(rng.choice(["a", " ", ",", "\n", '""', "\n\n"]) for _ in range(rng.choice((0, 2, 9, 120 if i % 20 == 7 else 1))))
+        lines.append(f'{i},{i * 2},"{note}x"')
+        want.append((i, i * 2, note.replace('""', '"') + "x"))
+    path = written(tmp_path, "\n".join(lines) + "\n")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes", "spark.sql.files.minPartitionNum") if spark.conf.get(k, None)}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        df = open_table(spark, path)
+        rows = df.orderBy("_row").collect()
+        assert [(r.t, r.v, r.note) for r in rows] == want and df.count() == 60
+    finally:
+        for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"):
+            spark.conf.set(k, before[k]) if k in before else spark.conf.unset(k)
+
+
+def test_a_profile_that_does_not_fit(spark, tmp_path):
+    path = many(tmp_path, lambda i: "t,v" if i < 0 else f"{i},{i}" if i < 900 else f"{i},{i},{i},x")
+    with pytest.raises(ValueError):
+        delimited.inspect(spark, path)
