@@ -1,9 +1,10 @@
 """Near-duplicates by a join over prefix trees of n-gram sets.
 
-1. A set's shingles are put in one order for all sets, rare ones first. Sets of
-   enough similarity share an item of their prefixes, which are the first items
-   that one of them has to have in common with the other. Texts with equal sets are one class, and
-   prefix items that several classes have are kept.
+1. Sets of enough similarity share an item of their prefixes, which are the first items, in any one
+   order for all sets, that one of them has to have in common with the other. Texts with equal sets are one class. By a first
+   order, of hashes with frequent items last, most classes share no prefix item and drop out. The items of the others, those with
+   hashes in the lower half, are counted and put in order by these counts, rare ones first: new prefixes have
+   several classes' items only where a class has little of its own.
 2. Classes are dealt to shards by the most frequent of these items and by their size, so that
    near copies meet; what would be too much for a task is salted. A class is a query to the
    shards that share enough of its prefix: where the shorter prefix ends, a set of enough similarity
@@ -26,7 +27,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -282,9 +283,7 @@ def _linked(rows: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame
         if links:
             yield _edges(links, kind)
 
-    if isinstance(docs.schema["doc_id"].dataType, T.NumericType) and rows.count() <= BROADCAST_NODES:
-        rows = F.broadcast(rows)  # else every text would be shuffled to find those that are asked for
-    met = docs.select(F.col("doc_id").alias("node"), "text").join(rows, "node").select("shard", "block", "member", "node", "component", "text")
+    met = _of(docs, rows).select("shard", "block", "member", "node", "component", "text")
     return met.repartition("shard", "block").sortWithinPartitions("shard", "block").mapInArrow(run, f"src {kind}, dst {kind}")
 
 
@@ -340,14 +339,59 @@ def _shards(tokens: DataFrame) -> DataFrame:
     return of.join(sizes, "item").select("node", "n", F.when(F.col("parts") <= 1, F.col("item")).otherwise(F.xxhash64("item", part)).alias("shard"))
 
 
+def low_items(docs: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
+    """node, n, lows, item and at: each class's items of the lower half of hashes (``at`` null), and where these are fewer than its prefix, its next ones by hash and their places."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            lows, sizes, items = [], [], []
+            for raw in batch.column(1).cast(pa.binary()).to_pylist():
+                s = shingle_set(raw, k, hashes)
+                lows.append(int(np.searchsorted(s, np.uint64(1 << 63))))
+                sizes.append(len(s))
+                items.append(s[: max(lows[-1], needed(len(s), percent))].view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(lows, pa.int64()), pa.array(items, pa.list_(pa.int64()))], ["node", "n", "lows", "items"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    found = _of(docs, nodes).select("node", "text").mapInArrow(run, f"node {kind}, n long, lows long, items array<long>")
+    found = found.select("node", "n", "lows", F.posexplode("items").alias("pos", "item"))
+    found = found.select("node", "n", "lows", "item", F.when(F.col("pos") >= F.col("lows"), F.col("pos") - F.col("lows")).alias("at"))
+    # a row that is there twice counts once
+    twice = docs.select(F.col("doc_id").alias("node")).join(nodes, "node").groupBy("node").count().filter("count > 1")
+    return found if twice.isEmpty() else found.distinct()
+
+
+def _of(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """``rows`` with the text of their node."""
+    if isinstance(docs.schema["doc_id"].dataType, T.NumericType) and rows.count() <= BROADCAST_NODES:
+        rows = F.broadcast(rows)  # else every text would be shuffled to find those that are asked for
+    return docs.select(F.col("doc_id").alias("node"), "text").join(rows, "node")
+
+
+def _tokens(docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
+    """item, node, n, place and c: the prefix items, by counts, that several classes (node, n, head) have."""
+    spread = classes.select("node", F.explode("head").alias("item"))
+    often = spread.groupBy("item").agg(F.count("*").alias("c")).filter("c > 1").select("item")
+    nodes = saved(spread.join(often, "item").select("node").distinct())
+    rows = saved(low_items(docs, nodes, k, percent))
+    several = rows.groupBy("item").agg(F.count("*").alias("c")).filter("c > 1")
+    met = rows.join(several, "item")
+    own = Window.partitionBy("node", F.col("at").isNull())
+    # items of one class only come first, then those of few
+    rank = F.col("lows") - F.count("*").over(own) + F.row_number().over(own.orderBy("c", "item")) - 1
+    place = F.when(F.col("at").isNull(), rank).otherwise(F.col("lows") + F.col("at"))
+    out = saved(met.withColumn("place", place).filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100)).select("item", "node", "n", "place", "c"))
+    discard(nodes, rows)
+    return out
+
+
 def _components(docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
     """(id, component) of the classes (node, n, head) that have links."""
-    spread = classes.select("node", "n", F.posexplode("head").alias("place", "item"))
-    often = saved(spread.groupBy("item").agg(F.count("*").alias("c")).filter("c > 1"))
-    tokens = saved(spread.join(often, "item"))
+    tokens = _tokens(docs, classes, k, percent)
     members = saved(_shards(tokens).withColumn("component", F.col("node")))
     at = saved(tokens.select("item", "node", "n", "place").join(members.select("node", "shard"), "node"))
-    discard(often, tokens)
+    discard(tokens)
 
     held = saved(_held(at))
     first = held.groupBy("item").agg(F.min("to").alias("to"))
