@@ -14,7 +14,7 @@ from ..functions.exprs import DAY, HOUR, epoch_ms
 from ..functions.formula import compile_formula
 from ..operators import aggregates as agg
 from ..operators import calendar as cal
-from ..operators import display, intervals, lookup, sliding, tools
+from ..operators import cursor, display, histograms, intervals, lookup, overlay, sliding, tools
 from ..operators import series as ser
 from ..operators.ordering import indexed
 from ..operators.spectrum import spectrum
@@ -388,17 +388,28 @@ def next_zero(spark, sf):
 
 @query("next_sample", f"WITH {EVENTS} SELECT min(t) AS t FROM e WHERE t > {X}")
 def next_sample(spark, sf):
-    return ser.next_sample(events(spark, sf), X)
+    return cursor.next_sample(table(spark, sf, "events"), "ts", X)
 
 
 @query("interpolate_at", f"WITH {EVENTS}, a AS (SELECT * FROM e WHERE t <= {X} ORDER BY t DESC LIMIT 1), b AS (SELECT * FROM e WHERE t > {X} ORDER BY t LIMIT 1) SELECT {X}::DOUBLE AS x, round(a.v + (b.v - a.v) * ({X}.0 - a.t) / (b.t - a.t), 6) AS v FROM a, b")
 def interpolate_at(spark, sf):
-    return ser.interpolate_at(events(spark, sf), X).select("x", *r6("v"))
+    return cursor.interpolate_at(table(spark, sf, "events"), "ts", "value", "event_id", X).select("x", *r6("v"))
 
 
 @query("source_window", f"WITH {EVENTS} (SELECT t, v FROM e WHERE t <= {X} ORDER BY t DESC LIMIT 20) UNION ALL (SELECT t, v FROM e WHERE t > {X} ORDER BY t LIMIT 20)")
 def source_window(spark, sf):
-    return ser.around(events(spark, sf), X, 20).select("t", "v")
+    return cursor.around(table(spark, sf, "events"), "ts", "value", "event_id", X, 20).select("t", "v")
+
+
+_AT = "(SELECT a.v + (b.v - a.v) * ({x} - a.t) / (b.t - a.t) FROM (SELECT * FROM e WHERE t <= {x} ORDER BY t DESC, event_id DESC LIMIT 1) a, (SELECT * FROM e WHERE t > {x} ORDER BY t, event_id LIMIT 1) b)"
+
+
+@query("cursor_measures", f"""
+WITH {EVENTS}, m AS (SELECT {_AT.format(x=f"{X}.0")} AS v1, {_AT.format(x=f"{X + 9_000_000}.0")} AS v2)
+SELECT round(v1, 6) AS v1, round(v2, 6) AS v2, CAST(9000000 AS BIGINT) AS dt, round(v2 - v1, 6) AS dv, round((v2 - v1) / 9000.0, 9) AS slope FROM m""")
+def cursor_measures(spark, sf):
+    out = cursor.measures(table(spark, sf, "events"), "ts", "value", "event_id", X, X + 9_000_000)
+    return out.select(*r6("v1", "v2"), "dt", *r6("dv"), F.round("slope", 9).alias("slope"))
 
 
 @query("stride_overview", f"WITH {EVENTS}, i AS (SELECT t, v, row_number() OVER (ORDER BY t, event_id) - 1 AS i, count(*) OVER () AS n FROM e) SELECT i AS row, t, v FROM i WHERE i % CAST(ceil(n / 500.0) AS BIGINT) = 0 OR i = n - 1")
@@ -451,6 +462,17 @@ def overlay_union(spark, sf):
     return a.unionByName(b, allowMissingColumns=True)
 
 
+@query("overlay_axes", f"""
+WITH e AS (SELECT {MS} AS t, value AS v FROM events), o AS (SELECT min(t) AS o FROM e)
+SELECT 'clock' AS file, CAST(t AS DOUBLE) AS t, v AS speed FROM e UNION ALL SELECT 'elapsed', CAST(o + (t - o) / 1000.0 * 1000 AS DOUBLE), v * 2 FROM e, o""")
+def overlay_axes(spark, sf):
+    """The events on calendar time, and twice their values on elapsed time from the first event on, on one axis."""
+    rows = table(spark, sf, "events").select(epoch_ms("ts").alias("t"), F.col("value").alias("speed", metadata={"unit": "m/s"}))
+    origin = float(rows.agg(F.min("t")).first()[0])
+    later = overlay.with_axis(rows.withColumn("speed", (F.col("speed") * 2).alias("speed", metadata={"unit": "m/s"})), axes.Axis("elapsed", origin))
+    return overlay.overlaid({"clock": overlay.with_axis(rows, axes.Axis()), "elapsed": later})
+
+
 @query("pivot_export", f"SELECT {MS} // 86400000 AS day, " + ", ".join(f"round(avg(value) FILTER (event_type = '{e}'), 6) AS {e}" for e in ("click", "purchase", "view")) + " FROM events GROUP BY 1")
 def pivot_export(spark, sf):
     df = table(spark, sf, "events").select(F.floor(epoch_ms("ts") / DAY).cast("long").alias("day"), "event_type", "value")
@@ -684,6 +706,18 @@ def profile_period_bins(spark, sf):
     return cal.period_bins(df, "ts", "value", "event_id").select("p", "bin", *r6("m"), "n", "invalid", F.col("gap").isNotNull().alias("gap"))
 
 
+@query("histogram_traces", """
+WITH s AS (SELECT o_orderstatus AS trace, count(*) AS n, min(o_totalprice) AS lo, max(o_totalprice) AS hi, quantile_cont(o_totalprice, 0.75) - quantile_cont(o_totalprice, 0.25) AS iqr FROM orders GROUP BY 1),
+k AS (SELECT min(lo) AS lo, max(hi) AS hi, sum(n) AS total, CAST(least(200, max(CASE WHEN n >= 2 AND iqr > 0 THEN ceil((hi - lo) / (2 * iqr / cbrt(n))) ELSE ceil(log2(n) + 1) END)) AS BIGINT) AS k FROM s),
+c AS (SELECT o_orderstatus AS trace, CAST(least(k - 1, floor((o_totalprice - lo) / ((hi - lo) / k))) AS BIGINT) AS bin, count(*) AS m FROM orders, k GROUP BY 1, 2),
+b AS (SELECT trace, n, CAST(i AS BIGINT) AS bin, k.lo, k.hi, k, total FROM s, k, range(200) r(i) WHERE i < k)
+SELECT trace, bin, coalesce(m, 0) AS n, round(100.0 * coalesce(m, 0) / n, 6) AS percent, round(coalesce(m, 0) / (n * ((hi - lo) / k)), 12) AS density,
+       CAST(sum(coalesce(m, 0)) OVER (PARTITION BY trace ORDER BY bin) AS BIGINT) AS cumulative, round(CAST(100.0 * coalesce(m, 0) / total AS DOUBLE), 6) AS stacked FROM b LEFT JOIN c USING (trace, bin)""")
+def histogram_traces(spark, sf):
+    out = histograms.histograms(table(spark, sf, "orders").withColumnRenamed("o_orderstatus", "trace"), "trace", "o_totalprice")
+    return out.select("trace", "bin", "n", *r6("percent", "stacked"), F.round("density", 12).alias("density"), "cumulative")
+
+
 @query("histogram_manual_range", """
 WITH c AS (SELECT CAST(least(19, floor((o_totalprice - 100000) / 10000.0)) AS BIGINT) AS bin, count(*) AS m FROM orders WHERE o_totalprice BETWEEN 100000 AND 300000 GROUP BY 1), o AS (SELECT CAST(count(*) FILTER (o_totalprice < 100000) AS BIGINT) AS underflow, CAST(count(*) FILTER (o_totalprice > 300000) AS BIGINT) AS overflow FROM orders)
 SELECT CAST(i AS BIGINT) AS bin, coalesce(m, 0) AS n, CAST(sum(coalesce(m, 0)) OVER (ORDER BY i) AS BIGINT) AS cumulative, underflow, overflow FROM range(20) r(i) LEFT JOIN c ON bin = i, o""")
