@@ -1,10 +1,9 @@
 """Near-duplicates by a join over prefix trees of n-gram sets.
 
 1. Sets of enough similarity share an item of their prefixes, which are the first items, in any one
-   order for all sets, that one of them has to have in common with the other. Texts with equal sets are one class. By a first
-   order, of hashes with frequent items last, most classes share no prefix item and drop out. The items of the others, those with
-   hashes in the lower half, are counted and put in order by these counts, rare ones first: new prefixes have
-   several classes' items only where a class has little of its own.
+   order for all sets, that one of them has to have in common with the other. Texts with equal sets are one class. The order
+   begins with the items whose hashes are low, a third of all: these are counted over all classes, and
+   rare ones come first. A class with items of its own has these in its prefix, and few or none of others.
 2. Classes are dealt to shards by the most frequent of these items and by their size, so that
    near copies meet; what would be too much for a task is salted. A class is a query to the
    shards that share enough of its prefix: where the shorter prefix ends, a set of enough similarity
@@ -23,7 +22,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +37,8 @@ from .minhash import BROADCAST_NODES, shingle_set
 SETS, ITEMS, QUERIES = 1000, 1 << 21, 1000
 #: Sizes of the sets of a shard differ by this factor at most.
 BAND = 1.08
-#: An item is noted as frequent if so many texts of one batch have it, and so many items are ordered by frequency at most.
-NOTED, MOST_NOTED = 8, 200_000
+#: Hashes below this are low: the items that are counted, and put in order by their counts.
+LOW = (1 << 64) // 3
 #: Items that a traversal goes through before it looks at the bounds again, at first.
 STEP = 32
 #: Cells of the table of items and queries that one traversal uses.
@@ -52,83 +50,27 @@ def needed(n: int, percent: int) -> int:
     return n + (-percent * n // 100) + 1
 
 
-@dataclass
-class Order:
-    """One order of all items: by hash, and behind them the frequent ones by their frequency."""
-
-    items: np.ndarray = field(default_factory=lambda: np.empty(0, np.uint64))
-    ranks: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
-
-    def prefix(self, s: np.ndarray, length: int) -> np.ndarray:
-        """The first items of a sorted set."""
-        if not len(self.items):
-            return s[:length]
-        at = np.minimum(np.searchsorted(self.items, s), len(self.items) - 1)
-        often = self.items[at] == s
-        rare = s[~often]
-        if len(rare) >= length:
-            return rare[:length]
-        return np.concatenate([rare, s[often][np.argsort(self.ranks[at[often]])]])[:length]
-
-
-def frequent(docs: DataFrame, k: int) -> Order:
-    """The order of all items, by a count of items over all texts.
-
-    A batch reports what several of its texts have, so items that are frequent
-    nowhere are not shuffled; any order gives the same links. MOST_NOTED items reach the driver at most.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for batch in batches:
-            sets = [shingle_set(raw, k, hashes) for raw in batch.column(0).cast(pa.binary()).to_pylist()]
-            for some in _pieces(sets):
-                items, counts = np.unique(np.concatenate(some), return_counts=True)
-                often = counts >= NOTED
-                yield pa.RecordBatch.from_arrays([pa.array(items[often].view(np.int64)), pa.array(counts[often])], ["item", "c"])
-
-    counts = saved(docs.select("text").mapInArrow(run, "item long, c long").groupBy("item").agg(F.sum("c").alias("c")))
-    total = counts.agg(F.sum("c")).first()[0]
-    if not total:
-        return Order()
-    # no more than MOST_NOTED items can have that share of the sum
-    rows = counts.filter(F.col("c") * MOST_NOTED >= total).toPandas()
-    by_item = rows.item.to_numpy().view(np.uint64).argsort()
-    ranks = np.lexsort((rows.item, rows.c)).argsort()
-    return Order(rows.item.to_numpy().view(np.uint64)[by_item], ranks[by_item])
-
-
-def _pieces(sets: list[np.ndarray], most: int = 1 << 22) -> Iterator[list[np.ndarray]]:
-    some, size = [], 0
-    for s in sets:
-        some.append(s)
-        size += len(s)
-        if size > most:
-            yield some
-            some, size = [], 0
-    if some:
-        yield some
-
-
-def prefixes(docs: DataFrame, k: int, percent: int, order: Order) -> DataFrame:
-    """doc_id, n_shingles, digest of the set and its prefix for each text."""
-    shared = docs.sparkSession.sparkContext.broadcast((order.items, order.ranks))
+def first_items(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """doc_id, n_shingles, digest of the set, lows (its low items) and items: these by hash, and as many of the next as its prefix still needs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        hashes, first = WordHashes(), Order(*shared.value)
+        hashes = WordHashes()
         for batch in batches:
-            n, digest, head = [], [], []
+            n, digest, lows, items = [], [], [], []
             for raw in batch.column(1).cast(pa.binary()).to_pylist():
                 s = shingle_set(raw, k, hashes)
+                low = int(np.searchsorted(s, np.uint64(LOW)))
                 n.append(len(s))
+                lows.append(low)
                 digest.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                head.append(first.prefix(s, needed(len(s), percent)).view(np.int64) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(head, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "digest", "head"])
+                items.append(s[: max(low, needed(len(s), percent))].view(np.int64) if len(s) else None)
+            cols = [batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(lows, pa.int32()), pa.array(items, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_shingles", "digest", "lows", "items"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, digest binary, head array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, digest binary, lows int, items array<long>")
 
 
 class PrefixTree:
@@ -339,29 +281,6 @@ def _shards(tokens: DataFrame) -> DataFrame:
     return of.join(sizes, "item").select("node", "n", F.when(F.col("parts") <= 1, F.col("item")).otherwise(F.xxhash64("item", part)).alias("shard"))
 
 
-def low_items(docs: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
-    """node, n, lows, item and at: each class's items of the lower half of hashes (``at`` null), and where these are fewer than its prefix, its next ones by hash and their places."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for batch in batches:
-            lows, sizes, items = [], [], []
-            for raw in batch.column(1).cast(pa.binary()).to_pylist():
-                s = shingle_set(raw, k, hashes)
-                lows.append(int(np.searchsorted(s, np.uint64(1 << 63))))
-                sizes.append(len(s))
-                items.append(s[: max(lows[-1], needed(len(s), percent))].view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(lows, pa.int64()), pa.array(items, pa.list_(pa.int64()))], ["node", "n", "lows", "items"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    found = _of(docs, nodes).select("node", "text").mapInArrow(run, f"node {kind}, n long, lows long, items array<long>")
-    found = found.select("node", "n", "lows", F.posexplode("items").alias("pos", "item"))
-    found = found.select("node", "n", "lows", "item", F.when(F.col("pos") >= F.col("lows"), F.col("pos") - F.col("lows")).alias("at"))
-    # a row that is there twice counts once
-    twice = docs.select(F.col("doc_id").alias("node")).join(nodes, "node").groupBy("node").count().filter("count > 1")
-    return found if twice.isEmpty() else found.distinct()
-
-
 def _of(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """``rows`` with the text of their node."""
     if isinstance(docs.schema["doc_id"].dataType, T.NumericType) and rows.count() <= BROADCAST_NODES:
@@ -369,26 +288,33 @@ def _of(docs: DataFrame, rows: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").alias("node"), "text").join(rows, "node")
 
 
-def _tokens(docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
-    """item, node, n, place and c: the prefix items, by counts, that several classes (node, n, head) have."""
-    spread = classes.select("node", F.explode("head").alias("item"))
-    often = spread.groupBy("item").agg(F.count("*").alias("c")).filter("c > 1").select("item")
-    nodes = saved(spread.join(often, "item").select("node").distinct())
-    rows = saved(low_items(docs, nodes, k, percent))
-    several = rows.groupBy("item").agg(F.count("*").alias("c")).filter("c > 1")
-    met = rows.join(several, "item")
-    own = Window.partitionBy("node", F.col("at").isNull())
-    # items of one class only come first, then those of few
-    rank = F.col("lows") - F.count("*").over(own) + F.row_number().over(own.orderBy("c", "item")) - 1
-    place = F.when(F.col("at").isNull(), rank).otherwise(F.col("lows") + F.col("at"))
-    out = saved(met.withColumn("place", place).filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100)).select("item", "node", "n", "place", "c"))
-    discard(nodes, rows)
+def _tokens(classes: DataFrame, percent: int) -> DataFrame:
+    """item, node, n, place and c: the prefix items that several classes (node, n, lows, items) have.
+
+    The classes of several texts of one id are ordered together: items then stand
+    further ahead than in one of them, so that none is lost.
+    """
+    spread = classes.select("node", F.col("n").cast("int").alias("n"), "lows", F.posexplode("items").alias("at", "item"))
+    several = saved(spread.groupBy("item").agg(F.count("*").alias("c")).filter("c > 1"))
+    met = spread.join(several, "item")
+    high = F.col("at") >= F.col("lows")
+    own = Window.partitionBy("node", high)
+    # low items of one class only come first, then those of few; the others follow by hash
+    rank = F.col("lows") - F.count("*").over(own) + F.dense_rank().over(own.orderBy("c", "item")) - 1
+    met = met.withColumn("place", F.when(high, F.col("at")).otherwise(rank))
+    kept = saved(met.filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100)).select("item", "node", F.col("n").cast("long").alias("n"), F.col("place").cast("long").alias("place")))
+    discard(several)
+    # what several prefixes have
+    shared = kept.groupBy("item").agg(F.count("*").alias("c")).filter("c > 1")
+    out = saved(kept.join(shared, "item"))
+    discard(kept)
     return out
 
 
 def _components(docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
-    """(id, component) of the classes (node, n, head) that have links."""
-    tokens = _tokens(docs, classes, k, percent)
+    """(id, component) of the classes (node, n, lows, items) that have links."""
+    tokens = _tokens(classes, percent)
+    discard(classes)
     members = saved(_shards(tokens).withColumn("component", F.col("node")))
     at = saved(tokens.select("item", "node", "n", "place").join(members.select("node", "shard"), "node"))
     discard(tokens)
@@ -426,11 +352,11 @@ def similar_sets(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     them all. A null id takes the smallest id it is linked with, or null. An empty table gives no rows.
     """
     with scratch() as keep:
-        heads = saved(prefixes(docs, k, percent, frequent(docs, k)))
-        classes = heads.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("head").alias("head"))
-        classes = saved(classes.filter("node is not null"))
-        ids, own = saved(heads.drop("head")), saved(classes.select("digest", "node"))
-        discard(heads)
+        sets = saved(first_items(docs, k, percent))
+        some = sets.filter("digest is not null").groupBy("digest")
+        classes = saved(some.agg(F.min("doc_id").alias("node"), *[F.first(c).alias(n) for c, n in (("n_shingles", "n"), ("lows", "lows"), ("items", "items"))]).filter("node is not null"))
+        ids, own = saved(sets.drop("lows", "items")), saved(classes.select("digest", "node"))
+        discard(sets)
         found = _components(docs, classes, k, percent)
         own = own.join(found.withColumnRenamed("id", "node"), "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
         out = ids.join(own, "digest", "left")
