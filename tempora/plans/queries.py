@@ -14,7 +14,7 @@ from ..functions.exprs import DAY, HOUR, epoch_ms
 from ..functions.formula import compile_formula
 from ..operators import aggregates as agg
 from ..operators import calendar as cal
-from ..operators import cursor, display, histograms, intervals, lookup, overlay, sliding, tools
+from ..operators import cursor, display, histograms, intervals, lookup, overlay, project, sliding, tools
 from ..operators import series as ser
 from ..operators.ordering import indexed
 from ..operators.spectrum import spectrum
@@ -362,6 +362,26 @@ def tool_pipeline(spark, sf):
     return tools.replay(events(spark, sf), tools.from_json(tools.to_json(steps))).select("key", F.round("integral", 3).alias("integral"))
 
 
+@query("project_replay", f"""
+WITH e AS (SELECT event_id, {MS} AS t, -2.0 * value + 5 AS v FROM events WHERE {MS} BETWEEN {T0} AND {T1}), m AS (SELECT event_id, t, v, avg(v) OVER (ORDER BY t, event_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS smooth FROM e),
+r AS (SELECT event_id, t, v - smooth AS rest, v FROM m), n AS (SELECT *, lag(t) OVER w AS pt, lag(rest) OVER w AS p FROM r WINDOW w AS (ORDER BY t, event_id))
+SELECT event_id AS key, CAST(t + 3600000 AS DOUBLE) AS t, round(rest, 6) AS rest, round(sum(coalesce(p * (t - pt) / 1000.0, 0)) OVER (ORDER BY t, event_id ROWS UNBOUNDED PRECEDING), 3) AS area FROM n""")
+def project_replay(spark, sf):
+    """A transform, a formula and two tools in an order of reading, kept as text and replayed for two columns."""
+    made = (
+        project.Definition("area", "integral", "rest", {"how": "rectangular"}),
+        project.Definition("rest", params={"text": "value - smooth"}),
+        project.Definition("smooth", "moving_average", "value", {"window": 5}),
+        project.Definition("unused", params={"text": "area ^ 2"}),
+    )
+    transform = project.FileTransform(gain=2.0, offset=5.0, negate=True, start=T0, end=T1, shift=float(HOUR))
+    saved = project.Project({"events": project.File(("value",), transform, made)}).to_json()
+    inside = table(spark, sf, "events").filter(F.col("ts").between(F.lit("2024-01-05").cast("timestamp_ntz"), F.lit("2024-01-12").cast("timestamp_ntz")))
+    frame = ser.series(inside, "ts", "value", "event_id")
+    out = project.Project.from_json(saved).replay({"events": frame.withColumnRenamed("v", "value")}, {"events": ["rest", "area"]})["events"]
+    return out.join(frame.select("_i", "key"), "_i").select("key", F.col("t").cast("double").alias("t"), *r6("rest"), F.round("area", 3).alias("area"))
+
+
 X = 1_705_000_000_000
 _TURN = f"WITH {EVENTS}, n AS ({_NEAR}) SELECT t, v FROM n WHERE v {{0}} pv AND v {{0}} nv AND t {{1}} {X} ORDER BY t {{2}} LIMIT 1"
 
