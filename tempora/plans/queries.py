@@ -578,6 +578,58 @@ def csv_to_parquet(spark, sf):
     return spark.read.parquet(path)
 
 
+def _read_back(spark, df, **options):
+    """A table written as delimited text with a header in each file, and read again."""
+    path = f"{_folder(spark)}.csv"
+    df.write.options(header=True, **options).csv(path)
+    return delimited.read_delimited(spark, path).drop("_row")
+
+
+def _at(pattern):
+    return F.date_format(F.timestamp_millis(epoch_ms("ts")), pattern)
+
+
+_ROW = f"CAST({MS} AS DOUBLE) AS t, CAST(event_id AS DOUBLE) AS event_id"
+
+
+@query("csv_decimal_comma", f"SELECT {_ROW}, round(value, 3) AS value FROM events")
+def csv_decimal_comma(spark, sf):
+    """Semicolons, day before month, and decimal commas."""
+    value = F.regexp_replace(F.format_string("%.3f", "value"), r"\.", ",")
+    return _read_back(spark, table(spark, sf, "events").select(_at("dd/MM/yyyy HH:mm:ss.SSS").alias("time"), "event_id", value.alias("value [m/s]")), sep=";")
+
+
+@query("csv_split_time", f"SELECT {_ROW}, event_type FROM events")
+def csv_split_time(spark, sf):
+    """Date and time of day in two columns, between tabs."""
+    return _read_back(spark, table(spark, sf, "events").select(_at("yyyy-MM-dd").alias("date"), _at("HH:mm:ss.SSS").alias("time"), "event_id", "event_type"), sep="\t")
+
+
+@query("csv_month_names", f"SELECT {_ROW}, 'a, ' || chr(34) || event_type || chr(34) || chr(10) || event_id AS note FROM events")
+def csv_month_names(spark, sf):
+    """Names of months, and text with commas, quotes and line ends within quotes."""
+    note = F.concat(F.lit('a, "'), "event_type", F.lit('"\n'), F.col("event_id").cast("string"))
+    return _read_back(spark, table(spark, sf, "events").select(_at("d MMMM yyyy HH:mm:ss.SSS").alias("when"), "event_id", note.alias("note")), escape='"', quoteAll=True)
+
+
+@query("csv_latin", f"SELECT {_ROW}, CASE event_type WHEN 'view' THEN 'déjà vu' ELSE event_type END AS event_type FROM events")
+def csv_latin(spark, sf):
+    """Text that is no UTF-8."""
+    kind = F.when(F.col("event_type") == "view", "déjà vu").otherwise(F.col("event_type"))
+    return _read_back(spark, table(spark, sf, "events").select(_at("yyyy-MM-dd HH:mm:ss.SSS").alias("time"), "event_id", kind.alias("event_type")), encoding="ISO-8859-1")
+
+
+@query("csv_profile", "SELECT count(*) AS rows, CAST(count(*) FILTER (event_id % 50 = 0) AS BIGINT) AS invalid_times, CAST(count(*) FILTER (event_id % 40 = 0) AS BIGINT) AS invalid_cells FROM events")
+def csv_profile(spark, sf):
+    """What the check of a whole file counts: rows without a valid time, and cells that are no numbers."""
+    path = f"{_folder(spark)}.csv"
+    time = F.when(F.col("event_id") % 50 != 0, _at("yyyy-MM-dd HH:mm:ss.SSS")).otherwise("never")
+    value = F.when(F.col("event_id") % 40 != 0, F.col("value").cast("string")).otherwise("none")
+    table(spark, sf, "events").select(time.alias("time"), value.alias("value"), "event_id").write.csv(path, header=True)
+    counts = delimited.inspect(spark, path)[1]
+    return spark.createDataFrame([(counts.rows, counts.invalid_times, counts.invalid_cells.get("value", 0))], "rows long, invalid_times long, invalid_cells long")
+
+
 @query("column_kinds", """SELECT 'l_quantity' AS name, min(l_quantity) = max(l_quantity) AS constant, false AS boolean FROM lineitem
 UNION ALL SELECT 'one', true, false UNION ALL SELECT 'returned', false, true""")
 def column_kinds(spark, sf):

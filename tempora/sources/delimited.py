@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .numbers import number, number_of
-from .times import TimeAxis, detect_time, time_ms
+from .times import TimeAxis, detect_time, is_named_day, time_ms
 
 #: Lines that detection looks at.
 SAMPLE = 850
@@ -114,11 +114,22 @@ def _records(lines: DataFrame) -> DataFrame:
 def tokens(line: str, delimiter: str) -> list[str]:
     if delimiter == " ":
         return line.split()
-    return next(csv.reader([line], delimiter=delimiter), [])
+    return next(csv.reader(line.splitlines(keepends=True), delimiter=delimiter), [])
+
+
+def joined(lines: list[str]) -> list[str]:
+    """The records of some lines: one that ends within quotes goes on in the next, if the quotes close at all."""
+    out, held = [], []
+    for line in lines:
+        held.append(line)
+        if sum(x.count('"') for x in held) % 2 == 0:
+            out.append("\n".join(held))
+            held = []
+    return out + held
 
 
 def _value_like(cell: str, comma: bool) -> bool:
-    return number(cell, comma) is not None or bool(_DATE.fullmatch(cell.strip()))
+    return number(cell, comma) is not None or bool(_DATE.fullmatch(cell.strip())) or is_named_day(cell)
 
 
 def _table(rows: list[list[str]], comma: bool) -> tuple[float, int, int, int]:
@@ -174,9 +185,9 @@ def detect(spark: SparkSession, path: str, sample: int = SAMPLE, prefer: str = "
             return detect(spark, path, sample, prefer, LATIN)
     if not lines:
         return Profile(encoding, ",", 0, [], [], [], TimeAxis("index"))
-    best = None
+    best, records = None, joined(lines)
     for delimiter in DELIMITERS:
-        rows = [tokens(x, delimiter) for x in lines[:250]]
+        rows = [tokens(x, delimiter) for x in (lines if delimiter == " " else records)[:250]]
         comma = delimiter != ","
         score, width, first, header = _table(rows, comma)
         follow = sum(len(r) == width for r in rows[first : first + 50])
@@ -184,6 +195,7 @@ def detect(spark: SparkSession, path: str, sample: int = SAMPLE, prefer: str = "
         if best is None or score > best[0]:
             best = (score, delimiter, width, first, header, comma)
     _, delimiter, width, first, header, comma = best
+    lines = lines if delimiter == " " else records
     rows = [r for r in (tokens(x, delimiter) for x in lines[first:]) if len(r) == width]
     comma = comma and any("," in c and number(c, True) is not None for r in rows[:200] for c in r)
     head = [c.lstrip("# ") if i == 0 else c for i, c in enumerate(tokens(lines[header], delimiter))] if header >= 0 else [f"column_{i + 1}" for i in range(width)]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from dataclasses import dataclass
+from functools import cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -44,6 +45,7 @@ def plain(s: str) -> str:
     return " ".join(re.sub(r"[^a-z0-9]+", " ", "".join(c for c in s if not unicodedata.combining(c))).split())
 
 
+@cache
 def month_numbers() -> dict[str, int]:
     """Every beginning of three letters or more of a month's name that means one month only."""
     meant: dict[str, set[int]] = {}
@@ -70,6 +72,12 @@ def _month_name(cell: str, months: dict[str, int]) -> bool:
     return any(w in months for w in re.findall(r"[a-z]+", plain(cell))) and bool(re.search(r"\d", cell))
 
 
+def is_named_day(cell: str) -> bool:
+    """Whether a short cell is a day with its month's name: numbers, a month and a time of day, and no other words."""
+    words = re.findall(r"[a-z]+", plain(cell))
+    return 0 < len(words) <= 3 and len(cell) <= 40 and _month_name(cell, month_numbers()) and all(w in month_numbers() or w in ("am", "pm", "de", "del", "di", "t", "z") for w in words)
+
+
 def _share(cells: list[str], test) -> float:
     return sum(map(bool, map(test, cells))) / len(cells)
 
