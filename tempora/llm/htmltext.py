@@ -48,9 +48,14 @@ _DROPPED = frozenset("head script style title noscript template iframe object em
 _ROLES = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription "
     "sidebar menu menus nav navbar navigation breadcrumb breadcrumbs footer masthead toolbar pagination pager comment comments disqus replies respond share sharing social related recommended widget login signup search "
-    "complementary contentinfo dialog".split()
+    "complementary contentinfo dialog cc copyright".split()
 )
-_PLAIN = frozenset("area bar block body bottom box bottom button buttons col column container content form fixed full group holder icons inner item items left link links list main menu outer panel right row section site slot thread top unit wrap wrapper".split())
+_PLAIN = frozenset(
+    "area bar block body bottom box button buttons col column container content desktop fixed form full global group holder icons inner item items left link links list main menu mobile "
+    "outer panel primary reader readers right row secondary section site slot sticky thread top unit user users window wrap wrapper".split()
+)
+#: Names of a container that holds the article, whatever else it is called.
+_HOLDERS = frozenset("main-content maincontent content-main article-content article-body post-content post-body entry-content page-content".split())
 #: Elements that such words are looked for in; headings, text and tables are never judged by them.
 _CONTAINERS = frozenset("div section aside ul ol dl nav header footer form details fieldset address".split())
 #: Ends an open paragraph.
@@ -76,21 +81,28 @@ class Node:
         self.block = block if tag in _INLINE and block else self
 
 
-def _left_out(tag: str, attributes: dict[str, str], kind: int) -> bool:
-    if tag in _DROPPED or tag == "header" and not kind:
+#: What may leave a branch out: tags that no text is read in, forms, and names.
+ALL, BUT_FORMS, TAGS = 2, 1, 0
+
+
+def _left_out(tag: str, attributes: dict[str, str], kind: int, strict: int = ALL) -> bool:
+    if tag in _DROPPED and (tag != "form" or strict == ALL) or tag == "header" and not kind:
         return True
     if "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attributes.get("style", ""), re.I):
         return True
-    if tag not in _CONTAINERS or not attributes:
+    if strict == TAGS or tag not in _CONTAINERS or not attributes:
         return False
-    for name in " ".join(attributes.get(k, "") for k in ("class", "id", "role")).lower().split():
-        words = set(re.split(r"[^a-z]+", name)) - {""}
+    names = " ".join(attributes.get(k, "") for k in ("class", "id", "role")).lower().split()
+    if _HOLDERS & set(names):
+        return False
+    for name in names:
+        words = {w for w in re.split(r"[^a-z]+", name) if len(w) > 1}  # sizes and versions say nothing
         if words & _ROLES and words <= _ROLES | _PLAIN or words and words <= {"header"} | _PLAIN and "header" in words and not kind:
             return True
     return False
 
 
-def blocks(page: str | None, low: frozenset[int] = frozenset()) -> tuple[list[tuple[int, int, str]], dict[int, set[tuple[str, ...]]]]:
+def blocks(page: str | None, low: frozenset[int] = frozenset(), strict: int = ALL) -> tuple[list[tuple[int, int, str]], dict[int, set[tuple[str, ...]]]]:
     """Blocks (1 in an article, 2 in the main part, 0 elsewhere; hash of the path; text) that no role or place leaves out, and the presentations of each path."""
     page = page or ""
     top = Node("", 0, False, 0, None)
@@ -160,7 +172,7 @@ def blocks(page: str | None, low: frozenset[int] = frozenset()) -> tuple[list[tu
         kind = parent.kind
         name = tag + "".join("." + c for c in sorted(set(attributes.get("class", "").lower().split())))
         path = _hash(f"{parent.path}/{name}")
-        out = parent.out or _left_out(tag, attributes, kind) or path in low
+        out = parent.out or _left_out(tag, attributes, kind, strict) or path in low
         if tag == "article" or tag == "main" or attributes.get("role", "").lower() in ("main", "article"):
             kind = 1 if tag == "article" or kind == 1 or attributes.get("role", "").lower() == "article" else 2
         if tag not in _INLINE or out and not parent.out:
@@ -177,11 +189,20 @@ def blocks(page: str | None, low: frozenset[int] = frozenset()) -> tuple[list[tu
 
 
 def main_text(page: str | None, low: frozenset[int] = frozenset()) -> str:
-    """The blocks that are left, joined by a space: those in articles and the main part if these hold half of the text or more, or else all."""
+    """The blocks that are left, joined by a space. Where articles and the main part hold half of their text or more, what comes behind or between them is left out; a title and lead ahead of them stay.
+
+    A page that would be empty is read again with forms as containers, as some sites put all of a page into one,
+    then without the judgement of names, and at last without that of places.
+    """
     found, _ = blocks(page, low)
+    for strict, places in ((BUT_FORMS, low), (TAGS, low), (TAGS, frozenset())):
+        if found or not page:
+            break
+        found, _ = blocks(page, places, strict)
     marked = sum(len(s) for k, _, s in found if k)
     only = 2 * marked >= sum(len(s) for _, _, s in found)
-    return " ".join(s for k, _, s in found if k or not only)
+    first = next((i for i, (k, _, _) in enumerate(found) if k), 0)
+    return " ".join(s for i, (k, _, s) in enumerate(found) if k or not only or i < first)
 
 
 def host() -> F.Column:

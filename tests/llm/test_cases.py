@@ -139,6 +139,17 @@ def test_content_is_not_judged_by_words_of_its_names():
     assert htmltext.main_text('<div class="comment-list"><p>Nice</p></div><ul class="nav"><li>Home</ul><article><p>One</p></article>') == "One"
 
 
+def test_pages_with_text_do_not_end_empty():
+    text = "An essay about rivers and the sea, and what lies between"
+    p = f"<p>{text}</p>"
+    for page in (f'<form id="aspnetForm"><div class="content">{p}</div></form>', f'<div class="social body">{p}</div>', f'<div id="main-content" class="related content">{p}</div>', f'<section class="cookies">{p}</section>'):
+        assert htmltext.main_text(f"<body><nav>Menu</nav>{page}<footer>Foot</footer></body>") == text
+    assert htmltext.main_text("<nav>Menu</nav><script>x</script>") == ""
+    assert htmltext.main_text(f"<body><h1>Title of the post</h1><div><p>The lead</p></div><article>{p}</article><div>More stories</div></body>") == f"Title of the post The lead {text}"
+    for name in ("ad-slot-300x250", "user-comments-v2", "cc-window", "site-nav-primary", "footer-copyright"):
+        assert htmltext.main_text(f'<div class="{name}">Not this</div><div class="text">{p}</div>') == text
+
+
 def test_broken_and_deep_pages_take_linear_time():
     start = time.perf_counter()
     assert htmltext.main_text("<a " * 350_000 + "x") != ""
