@@ -112,10 +112,10 @@ def _pair(df: DataFrame, x: str, y: str) -> DataFrame:
     return df.select(*_both(x, y))
 
 
-def _moments() -> list[Column]:
+def _moments(x: str = "x", y: str = "y") -> list[Column]:
     return [
-        F.count("*").alias("n_scope"), F.regr_count("y", "x").alias("n"), F.regr_avgx("y", "x").alias("mx"), F.regr_avgy("y", "x").alias("my"),
-        F.regr_sxx("y", "x").alias("sxx"), F.regr_syy("y", "x").alias("syy"), F.regr_sxy("y", "x").alias("sxy"),
+        F.count("*").alias("n_scope"), F.regr_count(y, x).alias("n"), F.regr_avgx(y, x).alias("mx"), F.regr_avgy(y, x).alias("my"),
+        F.regr_sxx(y, x).alias("sxx"), F.regr_syy(y, x).alias("syy"), F.regr_sxy(y, x).alias("sxy"),
     ]
 
 
@@ -126,8 +126,10 @@ def correlation(df: DataFrame, x: str, y: str) -> DataFrame:
 
 def correlations(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     """``correlation`` and the straight line's b0, b1 and r2 of every pair of columns, in one scan: a row a pair, for a report."""
-    one = lambda x, y: F.struct(F.lit(x).alias("x_name"), F.lit(y).alias("y_name"), *_both(x, y))
-    m = df.select(F.explode(F.array(*[one(x, y) for x, y in pairs])).alias("p")).select("p.*").groupBy("x_name", "y_name").agg(*_moments())
+    # pairs stand side by side in one row of sums, and are turned into rows at the end
+    columns = [c.alias(f"{e}{i}") for i, (x, y) in enumerate(pairs) for e, c in zip("xy", _both(x, y), strict=True)]
+    sums = df.select(*columns).agg(*[F.struct(F.lit(x).alias("x_name"), F.lit(y).alias("y_name"), *_moments(f"x{i}", f"y{i}")).alias(f"p{i}") for i, (x, y) in enumerate(pairs)])
+    m = sums.select(F.explode(F.array(*[f"p{i}" for i in range(len(pairs))])).alias("p")).select("p.*")
     b1 = F.when((F.col("n") >= 2) & (F.col("sxx") > 0), F.try_divide("sxy", "sxx"))
     return _correlation(m, "x_name", "y_name", (F.col("my") - b1 * F.col("mx")).alias("b0"), b1.alias("b1")).withColumn("r2", F.col("r") * F.col("r"))
 

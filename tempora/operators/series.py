@@ -147,8 +147,8 @@ def stride(s: DataFrame, points: int) -> DataFrame:
 
 
 def reservoir(df: DataFrame, key: str, points: int, seed: int = 42) -> DataFrame:
-    """``points`` rows chosen by a hash of ``key``; reruns choose the same."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(points)
+    """``points`` rows chosen by a hash of seed and ``key``; reruns choose the same, in any order of rows."""
+    return df.orderBy(F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")), 256), key).limit(points)
 
 
 def downsample(s: DataFrame, points: int) -> DataFrame:

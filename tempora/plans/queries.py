@@ -244,10 +244,15 @@ def profile_year_day(spark, sf):
     return out.select("bin", F.round("mean", 4).alias("mean"), "n_periods", "n_expected")
 
 
-@query("profile_day_discard")
+@query("profile_day_discard", f"""
+WITH h AS (SELECT {MS} // 3600000 * 3600000 AS t, avg(value) AS v FROM events GROUP BY 1), s AS (SELECT t, v, t - t % 86400000 AS p, t % 86400000 // 3600000 AS bin, lag(t) OVER (ORDER BY t) AS pt FROM h),
+m AS (SELECT 1.5 * median(t - pt) AS tol, min(t) AS lo, max(t) AS hi FROM s WHERE t > pt OR pt IS NULL), g AS (SELECT DISTINCT p FROM s, m WHERE pt >= p AND t - pt > tol),
+d AS (SELECT p, min(t) AS first, max(t) AS last FROM s GROUP BY p), k AS (SELECT p FROM d, m WHERE NOT (lo > p + tol OR hi < p + 86400000 - tol) AND NOT (first > greatest(p, lo) + tol OR last < least(p + 86400000, hi) - tol) AND p NOT IN (SELECT p FROM g))
+SELECT 'all' AS category, CAST(i AS BIGINT) AS bin, round(avg(v), 6) AS mean, round(CASE WHEN count(v) > 1 THEN stddev_samp(v) END, 6) AS std, count(v) AS n_periods, count(*) AS n_expected, count(v) * 1.0 / count(*) AS coverage
+FROM k CROSS JOIN range(24) r(i) LEFT JOIN s ON s.p = k.p AND s.bin = i GROUP BY i""")
 def profile_day_discard(spark, sf):
-    hourly = table(spark, sf, "events").groupBy(F.date_trunc("hour", "ts").alias("ts")).agg(F.avg("value").alias("value")).withColumn("id", F.col("ts").cast("long"))
-    return cal.profile(hourly, "ts", "value", "id", discard=True)
+    hourly = table(spark, sf, "events").groupBy(F.date_trunc("hour", "ts").alias("ts")).agg(F.avg("value").alias("value")).withColumn("id", F.unix_seconds(F.col("ts").cast("timestamp")))
+    return cal.profile(hourly, "ts", "value", "id", discard=True).select("category", "bin", *r6("mean", "std"), "n_periods", "n_expected", "coverage")
 
 
 @query("sampling_gaps", f"""
@@ -437,7 +442,7 @@ def stride_overview(spark, sf):
     return ser.stride(events(spark, sf), 500).select(F.col("_i").alias("row"), "t", "v")
 
 
-@query("reservoir_overview")
+@query("reservoir_overview", "SELECT event_id, value FROM events ORDER BY sha256('42:' || event_id), event_id LIMIT 500")
 def reservoir_overview(spark, sf):
     return ser.reservoir(table(spark, sf, "events").select("event_id", "value"), "event_id", 500)
 
