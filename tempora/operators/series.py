@@ -95,27 +95,6 @@ def replaced(s: DataFrame, how: str = "nan", rows: int = ROWS) -> DataFrame:
     return near.withColumn("v", F.when(F.col("outlier"), F.coalesce(line, F.lit(NAN))).otherwise(F.col("v"))).drop("_prev", "_next")
 
 
-def around(s: DataFrame, x: float, k: int = 1) -> DataFrame:
-    """The ``k`` last samples at or before ``x`` and the ``k`` first after it."""
-    before = s.filter(F.col("t") <= x).orderBy(F.desc("t"), F.desc("_i")).limit(k)
-    return before.unionByName(s.filter(F.col("t") > x).orderBy("t", "_i").limit(k))
-
-
-def interpolate_at(s: DataFrame, x: float, step: bool = False) -> DataFrame:
-    """The value at ``x``: linear or step between neighbours, the end value outside, NaN beside non-finite values."""
-    near = around(s, x).agg(
-        F.max_by(F.struct("t", "v"), F.when(F.col("t") <= x, F.col("t"))).alias("a"), F.min_by(F.struct("t", "v"), F.when(F.col("t") > x, F.col("t"))).alias("b")
-    )
-    inside = F.col("a").isNotNull() & F.col("b").isNotNull()
-    line = F.col("a.v") + (F.col("b.v") - F.col("a.v")) * (F.lit(float(x)) - F.col("a.t")) / (F.col("b.t") - F.col("a.t"))
-    v = F.when(inside, F.when(finite("a.v") & finite("b.v"), F.col("a.v") if step else line).otherwise(F.lit(NAN))).otherwise(F.coalesce("a.v", "b.v"))
-    return near.select(F.lit(float(x)).alias("x"), v.alias("v"))
-
-
-def next_sample(s: DataFrame, x: float, forward: bool = True) -> DataFrame:
-    return s.filter(F.col("t") > x if forward else F.col("t") < x).agg((F.min if forward else F.max)("t").alias("t"))
-
-
 def extremum(s: DataFrame, x: float, kind: str = "max", forward: bool = True, rows: int = ROWS) -> DataFrame:
     """The next (or previous) plateau strictly above (below) both finite neighbours: its first (or last) time and value.
 
@@ -194,8 +173,3 @@ def duplicate_times(s: DataFrame) -> DataFrame:
 def pairs(names: list[str], most: int = 64) -> list[tuple[str, str]]:
     """Names two by two, in order."""
     return list(zip(names[::2], names[1::2], strict=False))[:most]
-
-
-def cumulative(df: DataFrame, order: str, value: str) -> DataFrame:
-    """Running totals over a small result, such as bins."""
-    return df.withColumn("total", F.sum(value).over(Window.orderBy(order)))

@@ -95,6 +95,14 @@ def gated(df: DataFrame, points: DataFrame, by: str, time: str, value: str) -> D
     return all_.select("b.by", "n", "mean", step.alias("step"), status.alias("status"))
 
 
+def regularity(df: DataFrame, by: str, time: str, rows: int = ROWS) -> DataFrame:
+    """Each series' number of different times, whether its steps are uniform (none a thousandth off their median), and then their median."""
+    points = cut(placed(df, by, time, time, time, rows))
+    out = gated(df, points, by, time, time)
+    uniform = F.col("status") == "ok"
+    return out.select(F.col("by").alias(by), F.coalesce("n", F.lit(0)).alias("n"), uniform.alias("uniform"), F.when(uniform, F.col("step")).alias("step"))
+
+
 def spectrum(
     df: DataFrame, by: str, time: str = "t", value: str = "v", window: str = "hann", pad: int = 1, scale: str = "amplitude", unit: float = 1000.0, key: str | None = None, rows: int = ROWS, leaf: int = LEAF
 ) -> DataFrame:

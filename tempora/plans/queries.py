@@ -17,7 +17,7 @@ from ..operators import calendar as cal
 from ..operators import cursor, display, histograms, intervals, lookup, overlay, project, sliding, tools
 from ..operators import series as ser
 from ..operators.ordering import indexed
-from ..operators.spectrum import spectrum
+from ..operators.spectrum import regularity, spectrum
 from ..sources import delimited
 from ..streaming import live, tail
 from .registry import query, table
@@ -546,6 +546,19 @@ def spectrum_db(spark, sf):
     return out.select("series", "k", F.round("amplitude", 4).alias("amplitude"))
 
 
+@query("regularity", f"""
+WITH e AS (SELECT event_type AS series, {MS} // 3600000 * 3600000 AS t FROM events UNION ALL SELECT 'daily', {MS} // 86400000 * 86400000 FROM events), u AS (SELECT DISTINCT series, CAST(t AS DOUBLE) AS t FROM e),
+d AS (SELECT series, t, t - lag(t) OVER (PARTITION BY series ORDER BY t) AS step FROM u), m AS (SELECT series, count(*) AS n, median(step) AS step, max(step) AS hi, min(step) AS lo FROM d GROUP BY series)
+SELECT series, n, coalesce(greatest(hi - step, step - lo) / step < 1e-3, false) AS uniform, CASE WHEN greatest(hi - step, step - lo) / step < 1e-3 THEN step END AS step FROM m""")
+def regularity_of_types(spark, sf):
+    """The hours that have events of each type, and the days that have any."""
+    t = epoch_ms("ts")
+    df = table(spark, sf, "events").select(F.explode(F.array(
+        F.struct(F.col("event_type").alias("series"), (F.floor(t / HOUR) * HOUR).cast("long").alias("t")), F.struct(F.lit("daily").alias("series"), (F.floor(t / DAY) * DAY).cast("long").alias("t")),
+    )).alias("x")).select("x.*")
+    return regularity(df, "series", "t")
+
+
 def _folder(spark) -> str:
     """A new folder that the driver and all executors share (a local one in a session of one machine)."""
     top = spark.conf.get("spark.checkpoint.dir", None)
