@@ -227,27 +227,38 @@ def inspect(spark: SparkSession, path: str, profile: Profile | None = None, samp
     if not p.names:
         return p, Counts(0, 0, 0, {})
     p = replace(p, quoted=bool(odd) and p.delimiter != " ")
-    rows = _cells(spark, path, p)
-    fits, cells = F.col("_fits"), [F.trim(F.col(f"`{n}`")) for n in p.names]
-    head = [F.col("_head")]
-    sums = [F.count_if(fits & ~head[0]), F.count_if(~fits)]
-    for c in cells:
-        x, y = number_of(c, p.comma), number_of(c, True)
-        finite = lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))
-        here = fits & ~head[0] & (c != "")
-        with_comma = F.count_if(here & F.contains(c, F.lit(",")) & finite(y)) if p.delimiter != "," and not p.comma else F.lit(0)
-        sums += [F.count_if(here), F.count_if(here & finite(x)), F.count_if(here & x.isNotNull()), with_comma]
-    got = list(rows.agg(*[s.alias(f"s{i}") for i, s in enumerate(sums)]).first())
-    filled, finite_, numbers, commas = (got[2 + k :: 4] for k in range(4))
+    # what is asked of a row: does it fit, is it a header, has it no time; of each cell: is it filled, a finite number, one by a comma only
+    asked = [F.col("_fits"), F.col("_head"), F.lit(False) if p.time.mode == "index" else time_ms(p.time, None, p.comma).isNull()]
+    for n in p.names:
+        c = F.col(f"`{n}`")
+        with_comma = F.contains(c, F.lit(",")) & number_of(c, True).isNotNull() if p.delimiter != "," and not p.comma else F.lit(False)
+        asked += [F.trim(c) != "", number_of(c, p.comma) * 0 == 0, with_comma]  # times zero is zero for finite numbers only
+    # the answers are bits of a few longs, whose patterns are few: they are counted first, and then the bits
+    groups = [asked[k : k + 60] for k in range(0, len(asked), 60)]
+    masks = [sum((F.when(a, F.lit(1 << b)).otherwise(F.lit(0)).cast("long") for b, a in enumerate(g)), F.lit(0).cast("long")).alias(f"m{k}") for k, g in enumerate(groups)]
+    patterns = _cells(spark, path, p).select(*masks).groupBy(*[f"m{k}" for k in range(len(groups))]).count()
+    bit = lambda k: F.col(f"m{k // 60}").bitwiseAND(F.lit(1 << k % 60)) != 0
+    data = bit(0) & ~bit(1)
+    sums = [F.sum(F.when(data, F.col("count"))), F.sum(F.when(~bit(0), F.col("count")))]
+    sums += [F.sum(F.when(data & bit(k), F.col("count"))) for k in range(2, len(asked))]
+    got = [x or 0 for x in patterns.agg(*[s.alias(f"s{i}") for i, s in enumerate(sums)]).first()]
+    invalid, got = got[2], got[:2] + got[3:]
+    filled, finite, commas = (got[2 + k :: 3] for k in range(3))
     if got[1] > got[0] + 2 * p.skip:
         raise ValueError(f"{path}: {got[1]} lines have not the {len(p.names)} columns of its first lines")
     comma = p.comma or any(commas)
-    good = [a + b for a, b in zip(finite_, commas, strict=True)]
+    good = [a + b for a, b in zip(finite, commas, strict=True)]
     numeric = [n == 0 or 2 * g > n for n, g in zip(filled, good, strict=True)]
+    if comma != p.comma and p.time.mode == "numeric":  # its times are numbers too
+        t = time_ms(p.time, None, comma)
+        invalid = _cells(spark, path, replace(p, comma=comma)).filter(F.col("_fits") & ~F.col("_head") & t.isNull()).count()
     p = replace(p, comma=comma, numeric=numeric)
-    lost = rows.filter(fits & ~head[0])
-    invalid = 0 if p.time.mode == "index" else lost.filter(time_ms(p.time, None, comma).isNull()).count()
-    wrong = {n: f - k - c for n, f, k, c, is_number in zip(p.names, filled, numbers, commas, numeric, strict=True) if is_number and n not in p.time.columns and f - k - c}
+    lost = [n for n, f, g, is_number in zip(p.names, filled, good, numeric, strict=True) if is_number and f > g and n not in p.time.columns]
+    wrong = {}
+    if lost:  # infinite numbers and those that are none are told apart
+        cells = [F.trim(F.col(f"`{n}`")) for n in lost]
+        bad = _cells(spark, path, p).filter("_fits and not _head").agg(*[F.count_if((c != "") & number_of(c, comma).isNull()).alias(f"s{i}") for i, c in enumerate(cells)]).first()
+        wrong = {n: k for n, k in zip(lost, bad, strict=True) if k}
     return p, Counts(got[0], got[1], invalid, wrong)
 
 
@@ -277,11 +288,10 @@ def _cells(spark: SparkSession, path: str, profile: Profile) -> DataFrame:
         out = cut.select("_row", *[F.col(f"c.c{i}").alias(n) for i, n in enumerate(p.names)], F.col("c._corrupt").isNull().alias("_fits"))
     # headers are of text where most columns have numbers; each file of a folder may have its own
     kinds = [F.coalesce(F.trim(F.col(f"`{n}`")), F.lit("")) for n, is_number in zip(p.names, p.numeric, strict=True) if is_number]
-    texts = [(c != "") & number_of(c, p.comma).isNull() for c in kinds]
-    named = F.lit(True)
-    for t in texts:
-        named = named & t
-    return out.withColumn("_head", named if texts else F.lit(False))
+    named = F.lit(bool(kinds))
+    for c in reversed(kinds):  # a number in the first column settles it
+        named = F.when((c == "") | number_of(c, p.comma).isNotNull(), F.lit(False)).otherwise(named)
+    return out.withColumn("_head", named)
 
 
 def text_rows(spark: SparkSession, path: str, profile: Profile) -> DataFrame:

@@ -25,13 +25,16 @@ def number(cell: str, comma: bool = False) -> float | None:
 
 def number_of(c: Column, comma: bool = False) -> Column:
     """``number`` as a column; null where the text is no number."""
-    # most cells are plain numbers, which a cast reads faster; it would also take 1d, 1f and 0x1p1
-    last = F.substring(c, -1, 1)
-    fast = F.when((last.between("0", "9") | (last == ".")) & ~F.contains(c, F.lit("x")) & ~F.contains(c, F.lit("X")), c.try_cast("double"))
+    # most cells are plain numbers, which a cast reads; it would also take 1d, 1f and 0x1p1
+    plain = F.translate(c, "0123456789.+-eE", "") == ""
+    # what others may be is kept out of generated code, which it would outgrow
+    return F.when(plain, c.try_cast("double")).otherwise(F.element_at(F.transform(F.array(c), lambda x: _unlike(x, comma)), 1))
+
+
+def _unlike(c: Column, comma: bool) -> Column:
     s = F.regexp_replace(c, r"\s+", "")
     if comma:
         s = F.when(F.contains(s, F.lit(".")), s).otherwise(F.regexp_replace(s, ",", "."))
     s = F.regexp_replace(s, r"(?<=[\d.])[dD](?=[+-]?\d)", "E")
     named = F.when(F.lower(s).isin("inf", "+inf", "infinity", "+infinity"), F.lit(float("inf"))).when(F.lower(s).isin("-inf", "-infinity"), F.lit(float("-inf"))).when(F.lower(s) == "nan", F.lit(float("nan")))
-    slow = F.when(s.rlike(f"^{_NUMBER}$"), s.try_cast("double")).otherwise(named)
-    return F.coalesce(fast, slow)
+    return F.when(s.rlike(f"^{_NUMBER}$"), s.try_cast("double")).otherwise(named)

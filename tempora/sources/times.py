@@ -237,7 +237,10 @@ def time_ms(axis: TimeAxis, row: Column | None = None, comma: bool = False) -> C
         return row.cast("double")
     c = F.trim(F.col(f"`{axis.columns[0]}`"))
     if axis.mode == "iso":
-        return _groups(c, PATTERNS["iso"], lambda g: _date_ms(g, "iso", "YMD") + _clock_ms(g, 4) - _zone_ms(g(8)))
+        # yyyy-mm-dd hh:mm:ss is read by a cast, other forms by the pattern
+        usual = (F.length(c) == 19) & (F.substring(c, 5, 1) == "-") & (F.substring(c, 8, 1) == "-") & (F.substring(c, 14, 1) == ":") & (F.substring(c, 17, 1) == ":")
+        since = F.timestamp_diff("MILLISECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.when(usual, c.try_cast("timestamp_ntz"))).cast("double")
+        return F.coalesce(since, _groups(c, PATTERNS["iso"], lambda g: _date_ms(g, "iso", "YMD") + _clock_ms(g, 4) - _zone_ms(g(8))))
     if axis.mode in ("slash", "dash"):
         return _groups(c, PATTERNS[axis.mode], lambda g: _date_ms(g, axis.mode, axis.order) + _clock_ms(g, 4))
     if axis.mode == "year_month":
