@@ -40,7 +40,7 @@ def check_batch(delta: DataFrame, last: float | None, t: str = "t") -> tuple[int
 
 @dataclass
 class LiveTable:
-    """``base`` and the batches written under ``path``, a folder that the driver and all executors share.
+    """``base`` and the batches written under ``path``, a folder that the driver and all executors share; ``t`` is a number.
 
     A batch is written to a folder of its own, checked there, and becomes visible by a commit
     (`log.CommitLog`) that holds the totals so far: an append reads its own batch and the newest
