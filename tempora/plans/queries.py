@@ -120,10 +120,17 @@ def quadratic_moments(spark, sf):
     return out.select(*[F.round(c, 3).alias(c) for c in ("s0", "s2", "s3", "s4")], *[F.round(c, 1).alias(c) for c in ("t0", "t1", "t2")])
 
 
-@query("quadratic_fit")
+@query("quadratic_fit", """
+WITH m AS (SELECT avg(l_quantity) AS mx, stddev_samp(l_quantity) AS sx FROM lineitem), u AS (SELECT (l_quantity - mx) / sx AS u, l_extendedprice AS y, mx, sx FROM lineitem, m),
+s AS (SELECT count(*) AS s0, sum(u) AS s1, sum(u * u) AS s2, sum(u * u * u) AS s3, sum(u * u * u * u) AS s4, sum(y) AS t0, sum(u * y) AS t1, sum(u * u * y) AS t2, sum(y * y) AS yy, any_value(mx) AS mx, any_value(sx) AS sx FROM u),
+d AS (SELECT *, s0 * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s2 * s3) + s2 * (s1 * s3 - s2 * s2) AS d FROM s),
+f AS (SELECT *, (t0 * (s2 * s4 - s3 * s3) - s1 * (t1 * s4 - t2 * s3) + s2 * (t1 * s3 - t2 * s2)) / d AS p0, (s0 * (t1 * s4 - t2 * s3) - t0 * (s1 * s4 - s2 * s3) + s2 * (s1 * t2 - s2 * t1)) / d AS p1,
+             (s0 * (s2 * t2 - s3 * t1) - s1 * (s1 * t2 - s2 * t1) + t0 * (s1 * s3 - s2 * s2)) / d AS p2 FROM d), e AS (SELECT *, greatest(0, yy - (p0 * t0 + p1 * t1 + p2 * t2)) AS sse, yy - t0 * t0 / s0 AS sst FROM f)
+SELECT round(p2 / (sx * sx), 4) AS a, round(p1 / sx - 2 * p2 * mx / (sx * sx), 3) AS b, round(p0 - p1 * mx / sx + p2 * mx * mx / (sx * sx), 2) AS c, round(1 - sse / sst, 6) AS r2, round(sqrt(sse / s0), 3) AS rmse FROM e""")
 def quadratic_fit(spark, sf):
     fit = agg.quadratic_fit(table(spark, sf, "lineitem"), "l_quantity", "l_extendedprice") or dict.fromkeys(("a", "b", "c", "r2", "rmse"))
-    return spark.range(1).select(*[F.lit(v).cast("double").alias(k) for k, v in fit.items()])
+    digits = {"a": 4, "b": 3, "c": 2, "r2": 6, "rmse": 3}
+    return spark.range(1).select(*[F.round(F.lit(v).cast("double"), digits[k]).alias(k) for k, v in fit.items()])
 
 
 @query("fit_curve", "WITH e AS (SELECT min(l_quantity) AS lo, max(l_quantity) AS hi FROM lineitem) SELECT i AS id, lo + (hi - lo) * i / 199 AS x, round(1 + 2 * (lo + (hi - lo) * i / 199) + 3 * (lo + (hi - lo) * i / 199) * (lo + (hi - lo) * i / 199), 6) AS y FROM e, range(200) r(i)")
