@@ -90,6 +90,16 @@ def test_one_of_each_near_group_stays(spark, made):
     assert out.columns == docs.columns and rows_of(out) == sorted((r for r in rows if r[0] not in gone), key=str) and gone == {3, 5}
 
 
+def test_copies_without_id_leave_one(spark):
+    text = sentence(random.Random(3), 60)
+    rows = [(None, text), (None, text), (None, text + " more"), (7, sentence(random.Random(4), 40)), (None, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, "en", "a", None) for i, t in rows], COLS)
+    got = [(r.doc_id, r.text) for r in STAGES["near_dedup"](spark, docs, "").collect()]
+    assert sorted(got, key=str) == sorted([*rows[3:], next(g for g in got if g[1] in (text, text + " more"))], key=str)
+    named = docs.unionByName(spark.createDataFrame([(9, text, "en", "a", None)], COLS))
+    assert {r.doc_id for r in STAGES["near_dedup"](spark, named, "").collect() if r.text and r.text.startswith(text)} == {9}
+
+
 def test_contaminated_documents_go(spark, made):
     docs, rows, sf = made
     out = STAGES["decontamination"](spark, docs, sf)
