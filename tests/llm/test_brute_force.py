@@ -69,6 +69,21 @@ def test_lines_with_a_changed_word_are_found(spark, words):
     assert not sum(n for i, n in got.items() if i not in near)
 
 
+def test_mistyped_lines_are_found(spark):
+    """One of 25 characters is another one; recall against edit similarity alone."""
+    rng = random.Random(20)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    texts = []
+    for words in (12, 20, 30):
+        for _ in range(60):
+            line = " ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 9))) for _ in range(words))
+            texts += [line, "".join(rng.choice(letters) if c != " " and rng.random() < 0.04 else c for c in line)]
+    got = {r.doc_id: r.n_removed for r in linededup.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    near = [i for i in range(1, len(texts), 2) if edits(texts[i - 1], texts[i]) <= limit(texts[i - 1], texts[i])]
+    assert len(near) == 180 and sum(got[i] for i in near) >= 0.9 * len(near)
+    assert not sum(n for i, n in got.items() if i not in near)
+
+
 def test_first_of_each_group_stays(spark):
     texts = ["Page one of the long report about rivers\n--\nother words here that nobody has", "x\nPAGE ONE, of the long report about rivers!\n", "page two of the long report about rivers", None, ""]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
