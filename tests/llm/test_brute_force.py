@@ -136,3 +136,29 @@ def test_edit_similarity_is_exact_for_candidates(spark):
     nodes = docs.select(F.col("doc_id").alias("h"), F.xxhash64("doc_id", "text").alias("row"), F.lit(0).alias("line"))
     got = {tuple(r) for r in linededup._confirmed(docs, spark.createDataFrame(list(want), "src long, dst long"), nodes, 0.8).collect()}
     assert got == {p for p, near in want.items() if near}
+
+
+def test_large_buckets_are_not_cut(spark):
+    """200 nodes have two equal representatives, and others of their own."""
+    m = [f"cast({'7' if i < 2 else f'1000 * id + {i}'} as bigint) m{i}" for i in range(14)]
+    nodes = spark.range(1, 201).selectExpr("id h", "40 n", "0 kind", "1L step", "xxhash64(id) sim", "id row", "0 line", *m)
+    docs = spark.createDataFrame([(1, "")], "doc_id long, text string")
+    sizes = [r["count"] for r in linededup._buckets(docs, nodes).groupBy("key").count().collect()]
+    assert max(sizes, default=0) == 200
+
+
+def test_near_lines_of_a_large_bucket_meet_in_later_rounds(spark, monkeypatch):
+    monkeypatch.setattr(linededup, "CHOSEN", 2, raising=False)
+    monkeypatch.setattr(linededup, "GROWTH", 2, raising=False)
+    rng = random.Random(3)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    texts = []
+    for i in range(90):
+        words = [word(rng.randint(3, 5)) for _ in range(12)] + ["internationalisation", "characteristically"]
+        texts.append(" ".join(words))
+        if i % 3 == 0:
+            texts.append(" ".join([w[:-1] + "0" if k % 4 == 1 else w for k, w in enumerate(words[:-2])] + words[-2:]))
+    near = [i for i in range(1, len(texts)) if edits(texts[i - 1], texts[i]) <= limit(texts[i - 1], texts[i])]
+    got = {r.doc_id: r.n_removed for r in linededup.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    found = {i for i, n in got.items() if n}
+    assert len(near) == 30 and found <= set(near) and len(found) >= 27
