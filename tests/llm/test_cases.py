@@ -224,3 +224,10 @@ def test_grades_in_order(spark):
     got = {r.doc_id: r.expected_grade for r in quality.score(docs, model, 2.0).collect()}
     mean = [np.mean([got[i] for i in range(g, 400, 4)]) for g in range(4)]
     assert mean == sorted(mean) and all(abs(m - g) < 0.6 for g, m in enumerate(mean))
+
+
+def test_plain_words_have_the_codes_of_all_words(monkeypatch):
+    words = "you idiots. Idiots idioots idiooots you, .you a z.,. it's café 1d10t x".split() + ["a" * 63, "ab" * 40]
+    quick = {w: toxicity.WordCodes({"idiots": 1.5, "idio-": 1.0})[w] for w in words}
+    monkeypatch.setattr(toxicity, "PLAIN", False)
+    assert quick == {w: toxicity.WordCodes({"idiots": 1.5, "idio-": 1.0})[w] for w in words}
