@@ -162,3 +162,16 @@ def test_near_lines_of_a_large_bucket_meet_in_later_rounds(spark, monkeypatch):
     got = {r.doc_id: r.n_removed for r in linededup.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     found = {i for i, n in got.items() if n}
     assert len(near) == 30 and found <= set(near) and len(found) >= 27
+
+
+def test_unlike_lines_with_a_common_phrase_are_not_all_compared(spark, monkeypatch):
+    """150 lines have three long words in a row in common and nothing else, and one has a mistyped copy."""
+    rng = random.Random(9)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    phrase = ["internationalisation", "characteristically", "misunderstandings"]
+    texts = [" ".join([*(word(rng.randint(3, 5)) for _ in range(24)), *phrase, *(word(4) for _ in range(6))]) for _ in range(150)]
+    texts.append(texts[77][:40] + "q" + texts[77][41:])
+    compared, confirmed = [], linededup._confirmed
+    monkeypatch.setattr(linededup, "_confirmed", lambda docs, pairs, *rest: compared.append(pairs.count()) or confirmed(docs, pairs, *rest))
+    got = {r.doc_id: r.n_removed for r in linededup.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert {i for i, n in got.items() if n} == {150} and sum(compared) <= 10
