@@ -175,3 +175,33 @@ def test_unlike_lines_with_a_common_phrase_are_not_all_compared(spark, monkeypat
     monkeypatch.setattr(linededup, "_confirmed", lambda docs, pairs, *rest: compared.append(pairs.count()) or confirmed(docs, pairs, *rest))
     got = {r.doc_id: r.n_removed for r in linededup.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert {i for i, n in got.items() if n} == {150} and sum(compared) <= 10
+
+
+def test_lines_that_share_two_representatives_are_compared(spark):
+    """15 of 18 words have another letter, so 2 of 14 pairs of words agree; the edit similarity is 0.88."""
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    same = [word(16) for _ in range(3)]
+    short = [word(4) for _ in range(15)]
+    texts = [" ".join(short[:8] + same + short[8:]), " ".join([w[:2] + "7" + w[3:] for w in short[:8]] + same + [w[:1] + "7" + w[2:] for w in short[8:]])]
+    assert edits(*texts) == 15 <= limit(*texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in linededup.dedup_lines(docs).collect()} == {0: 0, 1: 1}
+
+
+def test_numbers_of_letters_drop_no_similar_line(spark):
+    rng = random.Random(9)
+    pairs = []
+    for n in (20, 60, 150):
+        for k in range(40):
+            a = "".join(rng.choice("aaeenntiors hludc") for _ in range(n))
+            b = list(a)
+            for i in rng.sample(range(n), n // 5 if k % 2 else n // 3):
+                b[i] = rng.choice(["", "e", "q", b[i] + "e"])
+            pairs.append((a, "".join(b)))
+    rows = spark.createDataFrame(pairs, "x string, y string")
+    cols = [c.alias(f"{c_name}{end}") for end in ("x", "y") for c_name, c in zip(linededup.LETTERS, linededup._letters(F.col(end)), strict=True)]
+    longer = F.greatest(F.char_length("x"), F.char_length("y"))
+    kept = {(r.x, r.y) for r in rows.select("x", "y", *cols).filter(linededup._possible("x", "y", longer, 0.8)).collect()}
+    near = {p for p in pairs if edits(*p) <= limit(*p)}
+    assert len(near) >= 60 and near <= kept and len(kept) < len(pairs)
