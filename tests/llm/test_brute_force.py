@@ -177,6 +177,21 @@ def test_unlike_lines_with_a_common_phrase_are_not_all_compared(spark, monkeypat
     assert {i for i, n in got.items() if n} == {150} and sum(compared) <= 10
 
 
+def test_long_unlike_lines_with_a_phrase_in_one_place_are_not_all_compared(spark, monkeypatch):
+    """150 lines have nine words in common in the same place; mistyped copies of ten of them are found."""
+    rng = random.Random(12)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    word = lambda _: "".join(rng.choice(letters) for _ in range(rng.randint(2, 9)))
+    phrase = [word(0) for _ in range(9)]
+    texts = [" ".join([*map(word, range(28)), *phrase, *map(word, range(28))]) for _ in range(150)]
+    texts += ["".join(rng.choice(letters) if c != " " and rng.random() < 0.04 else c for c in t) for t in texts[:10]]
+    compared, confirmed = [], linededup._confirmed
+    monkeypatch.setattr(linededup, "_confirmed", lambda docs, pairs, *rest: compared.append(pairs.count()) or confirmed(docs, pairs, *rest))
+    got = {r.doc_id: r.n_removed for r in linededup.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    found = {i for i, n in got.items() if n}
+    assert found <= set(range(150, 160)) and len(found) >= 9 and sum(compared) <= 40
+
+
 def test_lines_that_share_two_representatives_are_compared(spark):
     """15 of 18 words have another letter, so 2 of 14 pairs of words agree; the edit similarity is 0.88."""
     rng = random.Random(8)
