@@ -677,9 +677,9 @@ def interval_union(spark, sf):
 
 @query("live_append", f"SELECT {MS} AS t, value FROM events")
 def live_append(spark, sf):
-    """The events as a base and two batches appended to it."""
+    """The events as a base and two batches appended to it; events of one millisecond are rows of their own, those without a time are in the base."""
     all_ = table(spark, sf, "events").select(epoch_ms("ts").alias("t"), "value")
-    at = live.LiveTable(all_.filter(F.col("t") < T0), _folder(spark))
+    at = live.LiveTable(all_.filter((F.col("t") < T0) | F.col("t").isNull()), _folder(spark), most_rows=None, most_bytes=None, repeats=True)
     at.append(all_.filter((F.col("t") >= T0) & (F.col("t") < T1)), 0)
     at.append(all_.filter(F.col("t") >= T1), 1)
     return at.view()

@@ -14,7 +14,7 @@ from ..operators.aggregates import row_estimate
 from . import pyramid
 from .log import Commit, CommitLog, Conflict
 
-#: Rows and bytes that may be appended to a table (fixed values).
+#: Rows and bytes that may be appended to a table (fixed values); None is no limit.
 MOST_ROWS, MOST_BYTES = 1_000_000, 256 << 20
 
 
@@ -22,10 +22,11 @@ class RejectedBatch(ValueError):
     """A batch that must not be appended."""
 
 
-def check_batch(delta: DataFrame, last: float | None, t: str = "t") -> tuple[int, float | None, float | None]:
+def check_batch(delta: DataFrame, last: float | None, t: str = "t", repeats: bool = False) -> tuple[int, float | None, float | None]:
     """Number of valid rows, the least and the greatest time of a batch whose times are new: later than ``last``, and none twice.
 
-    Rows without a valid time are not counted. The check for repeated times is a grouped count.
+    Rows without a valid time are not counted. The check for repeated times is a grouped count; with ``repeats`` a
+    batch may have a time more than once.
     """
     valid = delta.filter(F.col(t).isNotNull() & ~F.isnan(F.col(t).cast("double")))
     n, lo, hi = valid.agg(F.count("*"), F.min(t), F.max(t)).first()
@@ -33,7 +34,7 @@ def check_batch(delta: DataFrame, last: float | None, t: str = "t") -> tuple[int
         return 0, None, last
     if last is not None and lo <= last:
         raise RejectedBatch(f"time {lo} is not after {last}")
-    if not valid.groupBy(t).count().filter("count > 1").isEmpty():
+    if not repeats and not valid.groupBy(t).count().filter("count > 1").isEmpty():
         raise RejectedBatch("a time is there twice")
     return n, lo, hi
 
@@ -46,7 +47,8 @@ class LiveTable:
     (`log.CommitLog`) that holds the totals so far: an append reads its own batch and the newest
     commit, not what was appended before. What has no commit is not part of the table. A batch
     that a stream repeats after a failure is passed over. With ``generated`` the axis is a generated index: ``t`` of new rows goes
-    on from the number of rows so far.
+    on from the number of rows so far. With ``repeats`` several rows of a batch may have one time, as samples of one
+    millisecond do; a batch's times must be later than those before it all the same.
 
     With ``envelopes``, the names of series, each batch also writes its least and greatest values in
     cells of time of several widths, ``finest`` being the least, of which `zoom` reads one.
@@ -56,10 +58,11 @@ class LiveTable:
     path: str
     t: str = "t"
     generated: bool = False
-    most_rows: int = MOST_ROWS
-    most_bytes: int = MOST_BYTES
+    most_rows: int | None = MOST_ROWS
+    most_bytes: int | None = MOST_BYTES
     envelopes: tuple[str, ...] = ()
     finest: float = 1000.0
+    repeats: bool = False
 
     def __post_init__(self) -> None:
         self.log = CommitLog(self.base.sparkSession, f"{self.path}/_log")
@@ -108,11 +111,11 @@ class LiveTable:
         folder = f"batch-{batch}-{uuid.uuid4().hex}"
         delta.filter(F.col(self.t).isNotNull() & ~F.isnan(F.col(self.t).cast("double"))).write.parquet(f"{self.path}/{folder}")
         try:
-            n, lo, last = check_batch(self.base.sparkSession.read.schema(self.base.schema).parquet(f"{self.path}/{folder}"), newest.last, self.t)
+            n, lo, last = check_batch(self.base.sparkSession.read.schema(self.base.schema).parquet(f"{self.path}/{folder}"), newest.last, self.t, self.repeats)
             size = self._bytes(folder)
-            if newest.total_rows + n > self.most_rows:
+            if self.most_rows is not None and newest.total_rows + n > self.most_rows:
                 raise RejectedBatch(f"more than {self.most_rows} rows would be appended")
-            if n and newest.total_bytes + size > self.most_bytes:
+            if n and self.most_bytes is not None and newest.total_bytes + size > self.most_bytes:
                 raise RejectedBatch(f"more than {self.most_bytes} bytes would be appended")
             if not n:
                 self._delete(folder)

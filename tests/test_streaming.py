@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from tempora.functions.formula import compile_formula
 from tempora.operators import intervals
 from tempora.operators import series as ser
+from tempora.plans import queries as _registered  # noqa: F401
+from tempora.plans.registry import QUERIES
 from tempora.streaming import live, tail
 
 
@@ -126,6 +128,19 @@ def test_batches_are_checked(spark, tmp_path):
     assert table.view().count() == 3
 
 
+def test_events_of_one_millisecond_are_appended(spark, tmp_path):
+    at = [start + k for start in (1_704_067_200_000, 1_704_412_800_000, 1_705_017_600_000) for k in (0, 7, 7)] + [None]
+    rows = [(i, t, float(i)) for i, t in enumerate(at)]
+    df = spark.createDataFrame(rows, "event_id long, t long, value double").selectExpr("event_id", "timestamp_millis(t) as ts", "value")
+    df.write.parquet(f"{tmp_path}/events.parquet")
+    got = QUERIES["live_append"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got), key=lambda r: r[1]) == [(t, v) for _, t, v in rows]
+    table = live.LiveTable(points(spark, (1, 1)), f"file://{tmp_path}/live", repeats=True)
+    assert table.append(points(spark, (2, 1), (2, 2)), 0) == 2
+    with pytest.raises(live.RejectedBatch):  # batches are later than those before
+        table.append(points(spark, (2, 3)), 1)
+
+
 def test_limits_count_the_batch_itself(spark, tmp_path):
     table = live.LiveTable(points(spark, (0, 0)), f"file://{tmp_path}/live", most_bytes=100)
     with pytest.raises(live.RejectedBatch):
