@@ -690,12 +690,11 @@ SELECT min(t) AS t_lo, max(t) AS t_hi, min(v) AS value_min, max(v) AS value_max
 WHERE t // 15360000 BETWEEN {T0} // 15360000 AND {T1} // 15360000 GROUP BY t // 15360000""")
 def envelope_zoom(spark, sf):
     """A week of a live table of a base and two batches, from one level of its envelopes: 50 buckets need cells of 256 minutes."""
-    all_ = table(spark, sf, "events").groupBy(epoch_ms("ts").alias("t")).agg(F.min("value").alias("a"), F.max("value").alias("b"))
-    # times are unique in a live table: equal ones are one row of their least and greatest values
-    at = live.LiveTable(all_.filter(F.col("t") < T0), _folder(spark), envelopes=("a", "b"), finest=60_000.0)
+    all_ = table(spark, sf, "events").select(epoch_ms("ts").alias("t"), "value")
+    at = live.LiveTable(all_.filter(F.col("t") < T0), _folder(spark), most_rows=None, most_bytes=None, envelopes=("value",), finest=60_000.0, repeats=True)
     at.append(all_.filter((F.col("t") >= T0) & (F.col("t") < T1 - 3 * DAY)), 0)
     at.append(all_.filter(F.col("t") >= T1 - 3 * DAY), 1)
-    return at.zoom(T0, T1, 100).select("t_lo", "t_hi", F.col("a_min").alias("value_min"), F.col("b_max").alias("value_max"))
+    return at.zoom(T0, T1, 100)
 
 
 @query("tail_stream", f"SELECT event_id, {MS} AS t, event_type FROM events")

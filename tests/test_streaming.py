@@ -214,6 +214,16 @@ def test_a_zoom_reads_one_level(spark, tmp_path):
         live.LiveTable(wave, f"file://{tmp_path}/other").zoom(0, 1)
 
 
+def test_a_zoom_of_more_rows_than_a_browser_holds(spark, tmp_path):
+    n = live.MOST_ROWS + 100  # a row each half second from 2024-01-05 on, all of them appended
+    spark.range(n).selectExpr("id as event_id", "timestamp_millis(1704412800000 + id * 500) as ts", "double(id) as value").write.parquet(f"{tmp_path}/events.parquet")
+    got = sorted(map(tuple, QUERIES["envelope_zoom"](spark, str(tmp_path)).collect()))
+    cells = {}
+    for i in range(n):
+        cells.setdefault((1_704_412_800_000 + i * 500) // 15_360_000, []).append(i)
+    assert got == [(1_704_412_800_000 + c[0] * 500, 1_704_412_800_000 + c[-1] * 500, c[0], c[-1]) for k, c in sorted(cells.items()) if k <= 1_705_017_600_000 // 15_360_000]
+
+
 def test_levels_of_odd_rows(spark, tmp_path):
     nan = float("nan")
     odd = points(spark, (-5, 1), (-0.5, nan), (3, 7)).unionByName(spark.createDataFrame([(nan, 1.0), (None, 2.0)], "t double, v double"))
