@@ -61,13 +61,14 @@ class Counts:
     invalid_cells: dict[str, int]
 
 
-def _lines(spark: SparkSession, path: str, encoding: str) -> DataFrame:
-    """``line`` and ``_row``: the lines of a file, decoded, and their order. A byte-order mark is left out."""
+def _lines(spark: SparkSession, path: str, encoding: str, places: bool = False) -> DataFrame:
+    """``line`` and ``_row``: the lines of a file, decoded, and their order. A byte-order mark is left out. With ``places``, the file and the byte its split begins at too."""
     raw = spark.read.text(path)
+    at = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start")] if places else []
     if encoding == LATIN:
-        return raw.select(F.translate(F.decode(F.col("value").cast("binary"), LATIN), _FROM, _TO).alias("line"), F.monotonically_increasing_id().alias("_row"))
+        return raw.select(F.translate(F.decode(F.col("value").cast("binary"), LATIN), _FROM, _TO).alias("line"), F.monotonically_increasing_id().alias("_row"), *at)
     bare = F.when(F.startswith("value", F.lit("\ufeff")), F.substr("value", F.lit(2))).otherwise(F.col("value"))
-    return raw.select(bare.alias("line"), F.monotonically_increasing_id().alias("_row"))
+    return raw.select(bare.alias("line"), F.monotonically_increasing_id().alias("_row"), *at)
 
 
 def _quotes(line: Column) -> Column:
@@ -75,38 +76,47 @@ def _quotes(line: Column) -> Column:
 
 
 def _records(lines: DataFrame) -> DataFrame:
-    """Lines put together where a quote that is open at a line's end goes on in the next."""
-    part = F.shiftright("_row", 33)
-    odd = {r.p: r.odd for r in lines.groupBy(part.alias("p")).agg(F.sum(_quotes(F.col("line")) % 2).alias("odd")).collect()}  # a row a split
-    inside, owner, open_, last = {}, {}, False, -1
-    for p in sorted(odd):
-        inside[p], owner[p] = open_, last
-        if not (open_ and odd[p] == 0):  # the record that is open at its end begins here
-            last = p
-        open_ ^= odd[p] % 2 == 1
+    """Lines put together where a quote that is open at a line's end goes on in the next; files begin outside quotes.
+
+    ``lines`` has their places. A task may read splits of several files, and those of a file aren't read in
+    one row (Spark deals them by size), so each is known by its file and first byte.
+    """
+    found = lines.groupBy("_file", "_start").agg(F.sum(_quotes(F.col("line")) % 2).alias("odd")).collect()  # a row a split
+    splits, file, open_, owner = [], None, False, -1
+    for n, r in enumerate(sorted(found, key=lambda r: (r["_file"], r["_start"]))):
+        if r["_file"] != file:
+            file, open_, owner = r["_file"], False, -1
+        splits.append((r["_file"], r["_start"], n, open_, owner))
+        if not (open_ and r.odd == 0):  # the record that is open at its end begins here
+            owner = n
+        open_ ^= r.odd % 2 == 1
+    table = F.broadcast(lines.sparkSession.createDataFrame(splits, "_file string, _start long, _split int, _inside boolean, _before int"))
+    numbered = lines.join(table, ["_file", "_start"]).select("line", "_row", "_split", "_inside", "_before")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, first, within, began = [], None, None, None
+        held, first, at, within, owner = [], None, None, False, None
         for batch in batches:
             out = []
-            for line, row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if within is None:
-                    within = inside[row >> 33]
-                    began = within
+            for line, row, split, inside, before in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if split != at:
+                    if held:  # open at the end: the splits that follow have the rest
+                        out.append(("\n".join(held), first, at, at if owner is None else owner))
+                    held, at, within, owner = [], split, inside, before if inside else None
                 first = row if not held else first
                 held.append(line)
                 within ^= line.count('"') % 2 == 1
                 if not within:
-                    out.append(("\n".join(held), first, owner[first >> 33] if began else None))
-                    held, began = [], False
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else ([], [], []), (pa.string(), pa.int64(), pa.int64()), strict=True)], ["line", "_row", "_owner"])
-        if held:  # open at the end: the next splits have the rest
-            end = owner[first >> 33] if began else first >> 33
-            yield pa.RecordBatch.from_arrays([pa.array(["\n".join(held)]), pa.array([first], pa.int64()), pa.array([end], pa.int64())], ["line", "_row", "_owner"])
-
-    got = lines.mapInArrow(run, "line string, _row long, _owner long")
+                    out.append(("\n".join(held), first, at, owner))
+                    held, owner = [], None
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else ([], [], [], []), kinds, strict=True)], names)
+        if held:
+            last = ("\n".join(held), first, at, at if owner is None else owner)
+            yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(last, kinds, strict=True)], names)
+
+    kinds, names = (pa.string(), pa.int64(), pa.int32(), pa.int32()), ["line", "_row", "_split", "_owner"]
+    got = numbered.mapInArrow(run, "line string, _row long, _split int, _owner int")
     # a part or two of each split
-    parts = got.filter("_owner is not null").groupBy("_owner").agg(F.array_sort(F.collect_list(F.struct("_row", "line"))).alias("p"))
+    parts = got.filter("_owner is not null").groupBy("_owner").agg(F.array_sort(F.collect_list(F.struct("_split", "_row", "line"))).alias("p"))
     joined = parts.select(F.array_join(F.col("p.line"), "\n").alias("line"), F.col("p")[0]["_row"].alias("_row"))
     return got.filter("_owner is null").select("line", "_row").unionByName(joined)
 
@@ -276,7 +286,7 @@ def row_filter(column: str, how: str, value: str = "", comma: bool = False) -> C
 def _cells(spark: SparkSession, path: str, profile: Profile) -> DataFrame:
     """``_row``, the text columns, ``_fits`` (a line has the table's width) and ``_head`` (it is a header), for every line that is not blank."""
     p, width = profile, len(profile.names)
-    lines = _lines(spark, path, p.encoding)
+    lines = _lines(spark, path, p.encoding, places=p.quoted)
     lines = (_records(lines) if p.quoted else lines).filter(F.trim("line") != "")
     if p.delimiter == " ":
         cut = lines.select("_row", F.split(F.trim("line"), r"\s+", -1).alias("c"))

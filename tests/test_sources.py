@@ -189,6 +189,29 @@ def test_quoted_line_ends_in_splits(spark, tmp_path, split):
             spark.conf.set(k, before[k]) if k in before else spark.conf.unset(k)
 
 
+def test_quoted_line_ends_in_splits_of_several_files(spark, tmp_path):
+    """Whole splits of all files are dealt before the last ones, and a task may read parts of several files."""
+    rng, want = random.Random(5), []
+    (tmp_path / "many").mkdir()
+    for f in range(3):
+        lines = ["t,v,note"]
+        for i in range(40 * f, 40 * f + 40):
+            note = "".join(rng.choice(["a", ",", "\n", '""']) for _ in range(rng.choice((0, 3, 11, 90 if i % 13 == 7 else 1))))
+            lines.append(f'{i},{i * 2},"{note}x\n{i}"')
+            want.append((i, i * 2, note.replace('""', '"') + f"x\n{i}"))
+        (tmp_path / "many" / f"{f}.csv").write_text("\n".join(lines) + "\n")
+    sizes = {"spark.sql.files.maxPartitionBytes": "211", "spark.sql.files.openCostInBytes": "1"}
+    before = {k: spark.conf.get(k, None) for k in sizes}
+    for k, v in sizes.items():
+        spark.conf.set(k, v)
+    try:
+        df = delimited.read_delimited(spark, str(tmp_path / "many"))
+        assert [(r.t, r.v, r.note) for r in df.orderBy("t").collect()] == want
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def test_a_profile_that_does_not_fit(spark, tmp_path):
     path = many(tmp_path, lambda i: "t,v" if i < 0 else f"{i},{i}" if i < 900 else f"{i},{i},{i},x")
     with pytest.raises(ValueError):
