@@ -151,11 +151,12 @@ def nearest_valid(df: DataFrame, value: Column, rows: int = ROWS) -> DataFrame:
     edge = edge.select(
         "_c",
         F.last("_l", True).over(by.rowsBetween(Window.unboundedPreceding, -1)).alias("_pl"),
-        F.first("_f", True).over(by.rowsBetween(1, Window.unboundedFollowing)).alias("_nf"),
+        F.last("_f", True).over(Window.orderBy(F.desc("_c")).rowsBetween(Window.unboundedPreceding, -1)).alias("_nf"),
     )
-    w = Window.partitionBy("_c").orderBy("_i")
-    prev = F.last("_v", True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    following = F.first("_v", True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    # what follows is what precedes in the other order: Spark goes over the rest of a chunk anew for each row of a frame that ends with it
+    before = Window.unboundedPreceding, 0
+    prev = F.last("_v", True).over(Window.partitionBy("_c").orderBy("_i").rowsBetween(*before))
+    following = F.last("_v", True).over(Window.partitionBy("_c").orderBy(F.desc("_i")).rowsBetween(*before))
     df = df.withColumn("_p", prev).withColumn("_q", following).join(F.broadcast(edge), "_c", "left")
     return df.withColumn("_prev", F.coalesce("_p", "_pl")).withColumn("_next", F.coalesce("_q", "_nf")).drop("_v", "_p", "_q", "_pl", "_nf")
 

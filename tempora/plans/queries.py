@@ -279,7 +279,8 @@ WITH {HOLES}, r AS (SELECT t, v, last_value(CASE WHEN v IS NOT NULL THEN t END I
   first_value(CASE WHEN v IS NOT NULL THEN t END IGNORE NULLS) OVER (ORDER BY t, event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS first_good FROM e)
 SELECT last_good, first_good, count(*) AS n FROM r WHERE v IS NULL GROUP BY 1, 2""")
 def nan_runs(spark, sf):
-    return ser.nan_runs(holes(spark, sf))
+    # runs between samples of the same two times are one row of the SQL
+    return ser.nan_runs(holes(spark, sf)).groupBy("last_good", "first_good").agg(F.sum("n").alias("n"))
 
 
 _NEAR = "SELECT event_id, t, v, lag(t) OVER w AS pt, lag(v) OVER w AS pv, lead(t) OVER w AS nt, lead(v) OVER w AS nv FROM e WINDOW w AS (ORDER BY t, event_id)"

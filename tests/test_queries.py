@@ -89,3 +89,18 @@ def test_raw_range_is_whole(spark, tmp_path):
     span = ("ts", ["value"], 1704412800000, 1704412800000 + 9_000)
     assert [(r.value, r.truncated) for r in aggregates.raw_range(df, *span, limit=3).collect()] == [(0, True), (1, True), (2, True)]
     assert [r.truncated for r in aggregates.raw_range(df, *span, limit=10).collect()] == [False] * 10
+
+
+@pytest.mark.parametrize("name", ["nan_runs"])
+def test_no_window_goes_over_the_rest_for_each_row(spark, name):
+    """A frame that ends with its partition costs the square of the rows."""
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "unboundedpreceding$()" in plan and "unboundedfollowing$()" not in plan
+
+
+def test_runs_between_the_same_times_are_one_row(spark, tmp_path):
+    """Events of one millisecond, of which those with key 17 and 34 are missing."""
+    spark.range(10, 40).selectExpr("id as event_id", "timestamp_millis(1704412800000 + id div 20) as ts", "double(id) as value").write.parquet(f"{tmp_path}/events.parquet")
+    spark.range(40, 80).selectExpr("id as event_id", "timestamp_millis(1704412800009) as ts", "double(id) as value").write.mode("append").parquet(f"{tmp_path}/events.parquet")
+    at = 1_704_412_800_000
+    assert sorted(map(tuple, QUERIES["nan_runs"](spark, str(tmp_path)).collect())) == [(at, at, 1), (at + 1, at + 1, 1), (at + 9, at + 9, 2)]
