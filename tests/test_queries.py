@@ -91,7 +91,7 @@ def test_raw_range_is_whole(spark, tmp_path):
     assert [r.truncated for r in aggregates.raw_range(df, *span, limit=10).collect()] == [False] * 10
 
 
-@pytest.mark.parametrize("name", ["nan_runs", "outliers_iqr_interpolate"])
+@pytest.mark.parametrize("name", ["asof_interpolate", "nan_runs", "outliers_iqr_interpolate"])
 def test_no_window_goes_over_the_rest_for_each_row(spark, name):
     """A frame that ends with its partition costs the square of the rows."""
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
