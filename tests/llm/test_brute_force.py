@@ -138,6 +138,20 @@ def test_edit_similarity_is_exact_for_candidates(spark):
     assert got == {p for p, near in want.items() if near}
 
 
+def test_pairs_are_compared_in_parts(spark, monkeypatch):
+    """The texts of all pairs are not in one shuffle, and every pair is compared once."""
+    monkeypatch.setattr(linededup, "PAIRS_AT_ONCE", 10)
+    monkeypatch.setattr(linededup, "PAIRS_A_TEXT", 0)
+    rng, parts, compared = random.Random(4), [], linededup._compared
+    texts = [" ".join(rng.choice(WORDS) for _ in range(12)) for _ in range(12)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts + [t + " x" for t in texts])], "doc_id long, text string")
+    nodes = docs.select(F.col("doc_id").alias("h"), F.xxhash64("doc_id", "text").alias("row"), F.lit(0).alias("line"))
+    pairs = spark.createDataFrame([(i, i + 12) for i in range(12)] + [(i, i + 13) for i in range(11)], "src long, dst long")
+    monkeypatch.setattr(linededup, "_compared", lambda some, *rest: parts.append({tuple(r) for r in some.collect()}) or compared(some, *rest))
+    assert sorted(map(tuple, linededup._confirmed(docs, pairs, nodes, 0.8).collect())) == [(i, i + 12) for i in range(12)]
+    assert len(parts) == 3 and sum(map(len, parts)) == len(set.union(*parts)) == 23
+
+
 def test_large_buckets_are_not_cut(spark):
     """200 nodes have two equal representatives, and others of their own."""
     m = [f"cast({'7' if i < 2 else f'1000 * id + {i}'} as bigint) m{i}" for i in range(14)]
